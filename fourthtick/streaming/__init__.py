@@ -1,0 +1,6 @@
+"""Left empty on purpose.
+
+The data arrives as one incremental batch (see ``plans.ingest``): there is no
+event-time state, watermark or continuous query to express, so no streaming
+operator is provided.
+"""
