@@ -52,10 +52,10 @@ def _resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _winners(spark: SparkSession, sf_dir: str) -> DataFrame:
-    games = relations(spark, sf_dir).games
-    return ingest.select_winner_market(
-        raw.markets(spark, sf_dir), _resolved(spark, sf_dir), games, raw.CODES
-    )
+    t = relations(spark, sf_dir)
+    landed = raw.markets(spark, sf_dir)
+    resolved = ingest.resolve_event_ticker(_candidates(t), landed)
+    return ingest.select_winner_market(landed, resolved, t.games, raw.CODES)
 
 
 def _new_markets(spark: SparkSession, sf_dir: str) -> DataFrame:

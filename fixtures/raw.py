@@ -10,127 +10,117 @@ Fixed rules, by u = user_id:
 * Candles arrive in pages of 500 event ids, so that no page grows with the data.
 """
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+import uuid
 
-from fixtures import relations as rel
-from fourthtick.functions.text import replace_codes
-from fourthtick.functions.times import epoch_seconds
+from pyspark.sql import DataFrame, SparkSession
 
-U, E = rel.U, rel.E
+from fixtures import relations as rel
+from fourthtick.sources import storage
 
 CODES = {"T03": "X03", "T11": "X11"}
 OVERRIDES = {"G7": "EV-SPECIAL"}
 TEAM_NAMES = {f"T{n:02d}": f"Team {n}" for n in range(20)}
 PREFIX = "GAME-"
 
-
-def play_by_play(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clock = F.concat(F.translate(F.col("timestamp_utc").cast("string"), " ", "T"), F.lit("Z"))
-    floats = ["play_id", "qtr", "down", "ydstogo", "total_home_score", "total_away_score"]
-    floats += ["interception", "fumble", "touchdown"]
-    return (
-        rel.play_events(spark, sf_dir)
-        .withColumns({c: F.col(c).cast("double") for c in floats})
-        .select(
-            "game_id",
-            F.lit(2024).alias("season"),
-            (1 + U % 20).cast("int").alias("week"),
-            rel.home_team().alias("home_team"),
-            rel.away_team().alias("away_team"),
-            rel.game_date().cast("string").alias("game_date"),
-            "play_id",
-            "qtr",
-            "quarter_seconds_remaining",
-            "down",
-            "ydstogo",
-            "play_type",
-            F.col("description").alias("desc"),
-            "total_home_score",
-            "total_away_score",
-            "wp",
-            "vegas_wp",
-            "interception",
-            "fumble",
-            "touchdown",
-            clock.alias("time_of_day"),
-        )
-    )
+FLOATS = {
+    "play_id",
+    "qtr",
+    "down",
+    "ydstogo",
+    "total_home_score",
+    "total_away_score",
+    "interception",
+    "fumble",
+    "touchdown",
+}
 
 
-def _event_ticker() -> Column:
-    own = F.concat(rel.away_team(), rel.home_team())
-    market = F.concat(replace_codes(rel.away_team(), CODES), replace_codes(rel.home_team(), CODES))
-    day = F.date_add(rel.game_date(), (U % 2).cast("int"))
-    listed = F.concat(
-        F.lit(PREFIX),
-        F.upper(F.date_format(day, "yyMMMdd")),
-        F.when(U % 4 < 2, own).otherwise(market),
-    )
-    return F.when(U == 7, "EV-SPECIAL").otherwise(listed)
+def play_by_play(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = {**rel.GAME, **rel.PLAY}
+    columns |= {name: f"cast({rel.PLAY[name]} as double)" for name in FLOATS}
+    columns["game_date"] = f"cast({rel.GAME['game_date']} as string)"
+    columns["desc"] = columns.pop("description")
+    clock = columns.pop("timestamp_utc")
+    columns["time_of_day"] = f"concat(translate(cast({clock} as string), ' ', 'T'), 'Z')"
+    return rel.pick(rel.play_events(spark, sf_dir), columns)
 
 
-def close_time() -> Column:
-    return F.format_string("2024-01-%02dT06:00:00Z", 10 + U % 10)
+def _market_code(code: str) -> str:
+    return f"CASE {code} WHEN 'T03' THEN 'X03' WHEN 'T11' THEN 'X11' ELSE {code} END"
 
 
 def markets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Landed market lists, one line per event."""
-
-    def market(suffix: Column, title: Column) -> Column:
-        return F.struct(
-            F.concat(_event_ticker(), F.lit("-"), suffix).alias("ticker"),
-            title.alias("title"),
-            close_time().alias("close_time"),
-        )
-
-    spread = market(F.lit("S"), F.concat(rel.home_team(), F.lit(" WIN spread")))
-    winner = market(
-        replace_codes(rel.target_team(), CODES), F.concat(rel.home_team(), F.lit(" Win"))
-    )
+    """Market lists landed as JSON files, one line per event."""
+    home, away = rel.GAME["home_team"], rel.GAME["away_team"]
+    own, market = f"concat({away}, {home})", f"concat({_market_code(away)}, {_market_code(home)})"
+    day = f"date_add({rel.GAME['game_date']}, cast(user_id % 2 as int))"
     listed = (
-        F.when(U % 20 == 6, F.slice(F.array(spread), 1, 0))
-        .when(U % 20 == 4, F.array(spread))
-        .otherwise(F.array(spread, winner))
+        f"concat('{PREFIX}', upper(date_format({day}, 'yyMMMdd')), if(user_id % 4 < 2, {own}, {market}))"
     )
-    return (
-        rel.events(spark, sf_dir)
-        .select("user_id")
-        .distinct()
-        .filter(rel.HAS_MARKET)
-        .select(
-            _event_ticker().alias("event_ticker"),
-            F.to_json(F.struct(listed.alias("markets"))).alias("payload"),
-        )
+    target = rel.MARKET["target_team"]
+    named = rel.users(spark, sf_dir).filter(rel.HAS_MARKET).selectExpr(
+        "user_id",
+        f"if(user_id = 7, 'EV-SPECIAL', {listed}) AS event_ticker",
+        f"{home} AS home",
+        f"{_market_code(target)} AS winner",
+        f"{CLOSE_TIME} AS close_time",
+    )
+    spread = (
+        "named_struct('ticker', concat(event_ticker, '-S'), 'title', concat(home, ' WIN spread'),"
+        " 'close_time', close_time)"
+    )
+    winner = (
+        "named_struct('ticker', concat(event_ticker, '-', winner), 'title', concat(home, ' Win'),"
+        " 'close_time', close_time)"
     )
+    listing = (
+        f"CASE user_id % 20 WHEN 6 THEN slice(array({spread}), 1, 0) WHEN 4 THEN array({spread})"
+        f" ELSE array({spread}, {winner}) END"
+    )
+    lines = named.selectExpr(
+        "event_ticker", f"to_json(named_struct('markets', {listing})) AS payload"
+    )
+    folder = f"{storage.shared_folder(spark)}/markets-{uuid.uuid4().hex}"
+    lines.write.json(folder)
+    return storage.read_landed_markets(spark, folder)
 
 
-def candles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Landed candle lists, pages of each market's candles."""
+CLOSE_TIME = "concat('2024-01-', 10 + user_id % 10, 'T06:00:00Z')"
 
-    def price(name: str) -> Column:
-        value = F.col(f"kalshi_{name}")
-        return F.when(value != 0, value).cast("string").alias(name)
 
-    candle = F.struct(
-        epoch_seconds(F.col("ts")).alias("end_period_ts"),
-        F.struct(*[price(n) for n in ("open", "high", "low", "close")]).alias("price"),
-        F.concat(F.col("kalshi_volume").cast("string"), F.lit(".00")).alias("volume"),
+def candles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Landed candle lists, pages of each market's candles."""
+    prices = ", ".join(
+        f"'{name}', cast(nullif({rel.PRICE[f'kalshi_{name}']}, 0D) as string)"
+        for name in ("open", "high", "low", "close")
+    )
+    seconds = (
+        "unix_date(cast(ts as date)) * 86400L + hour(ts) * 3600 + minute(ts) * 60 + second(ts)"
+    )
+    candle = (
+        f"named_struct('end_period_ts', {seconds}, 'price', named_struct({prices}),"
+        " 'volume', concat(event_id % 50, '.00'))"
     )
     return (
         rel.candle_events(spark, sf_dir)
-        .groupBy("market_ticker", F.floor(E / 500).alias("page"))
-        .agg(F.to_json(F.struct(F.collect_list(candle).alias("candlesticks"))).alias("payload"))
-        .select("market_ticker", "payload")
+        .selectExpr(
+            f"{rel.MARKET['market_ticker']} AS market_ticker",
+            "event_id div 500 AS page",
+            f"{candle} AS candle",
+        )
+        .groupBy("market_ticker", "page")
+        .agg({"candle": "collect_list"})
+        .selectExpr(
+            "market_ticker",
+            "to_json(named_struct('candlesticks', `collect_list(candle)`)) AS payload",
+        )
     )
 
 
 def closings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Closing time of each market of the relations."""
     return (
-        rel.events(spark, sf_dir)
-        .select("user_id")
-        .distinct()
+        rel.users(spark, sf_dir)
         .filter(rel.HAS_MARKET)
-        .select(rel.market_ticker().alias("market_ticker"), close_time().alias("close_time"))
+        .selectExpr(f"{rel.MARKET['market_ticker']} AS market_ticker", f"{CLOSE_TIME} AS close_time")
     )

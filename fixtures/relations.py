@@ -1,129 +1,107 @@
 """Test tables -> the five relations. The mapping is specified in FIXTURES.md."""
 
-from datetime import timedelta
-
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from fourthtick import Tables, schemas
 
-U, E = F.col("user_id"), F.col("event_id")
-HAS_MARKET = U % 10 != 9
-
-
-def _div(a: Column, n: int) -> Column:
-    return F.floor(a / n)
-
-
-def team_code(number: Column) -> Column:
-    return F.concat(F.lit("T"), F.lpad(number.cast("string"), 2, "0"))
-
-
-def game_id() -> Column:
-    return F.concat(F.lit("G"), U.cast("string"))
-
-
-def market_ticker() -> Column:
-    return F.concat(F.lit("MK-"), U.cast("string"))
+EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, props string"
+
+HAS_MARKET = "user_id % 10 <> 9"
+HOME = "user_id % 25"
+AWAY = "(user_id % 25 + 1 + user_id div 25 % 24) % 25"
+
+
+def code(number: str) -> str:
+    return f"concat('T', lpad(cast({number} as string), 2, '0'))"
+
+
+# Columns of a game, as expressions over user_id.
+GAME = {
+    "game_id": "concat('G', user_id)",
+    "season": "2024",
+    "week": "cast(1 + user_id % 20 as int)",
+    "game_date": "date_add(DATE'2024-01-01', cast(user_id % 10 as int))",
+    "home_team": code(HOME),
+    "away_team": code(AWAY),
+}
+
+MARKET = {
+    "market_ticker": "concat('MK-', user_id)",
+    "game_id": GAME["game_id"],
+    "target_team": f"if(user_id % 3 = 0, {code(AWAY)}, {code(HOME)})",
+    "market_title": f"concat({code(HOME)}, ' win')",
+}
+
+OPEN = "if(event_id % 23 = 0, 0D, (1 + (53 * event_id + 7 * user_id) % 99) / 100)"
+CLOSE = "if(event_id % 23 = 0, 0D, (1 + (37 * event_id + 11 * user_id) % 99) / 100)"
+
+PRICE = {
+    "market_ticker": MARKET["market_ticker"],
+    "datetime_utc": "ts - INTERVAL '5' HOUR",
+    "kalshi_open": OPEN,
+    "kalshi_high": f"greatest({OPEN}, {CLOSE})",
+    "kalshi_low": f"least({OPEN}, {CLOSE})",
+    "kalshi_close": CLOSE,
+    "kalshi_volume": "cast(event_id % 50 as int)",
+}
+
+HOME_SCORE = "cast(3 * ((7 * event_id) % 11) as int)"
+AWAY_SCORE = "cast(3 * ((5 * event_id + user_id) % 11) as int)"
+WP = f"({HOME_SCORE} - {AWAY_SCORE} + 40) / 80D"
+
+PLAY = {
+    "game_id": GAME["game_id"],
+    "play_id": "cast(event_id as int)",
+    "qtr": "cast(1 + (day(ts) - 1) div 7 as int)",
+    "quarter_seconds_remaining": "cast(900 - (31 * event_id) % 900 as double)",
+    "down": "if(event_id % 19 = 0, NULL, cast(1 + event_id % 4 as int))",
+    "ydstogo": "cast(1 + event_id % 10 as int)",
+    "play_type": "event_type",
+    "description": "props",
+    "total_home_score": HOME_SCORE,
+    "total_away_score": AWAY_SCORE,
+    "wp": WP,
+    "vegas_wp": f"if(event_id % 17 = 0, NULL, {WP})",
+    "interception": "cast(event_id % 29 = 0 as int)",
+    "fumble": "cast(event_id % 31 = 0 as int)",
+    "touchdown": "cast(event_id % 37 = 0 as int)",
+    "timestamp_utc": "if(event_id % 13 = 0, NULL, ts)",
+}
+
+
+def pick(rows: DataFrame, expressions: dict[str, str]) -> DataFrame:
+    return rows.selectExpr(*[f"{value} AS {name}" for name, value in expressions.items()])
+
+
+def read(spark: SparkSession, sf_dir: str, table: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).parquet(f"{sf_dir}/{table}.parquet")
 
 
-def home_team() -> Column:
-    return team_code(U % 25)
-
-
-def away_team() -> Column:
-    return team_code((U % 25 + 1 + _div(U, 25) % 24) % 25)
-
-
-def target_team() -> Column:
-    return F.when(U % 3 == 0, away_team()).otherwise(home_team())
-
-
-def game_date() -> Column:
-    return F.date_add(F.lit("2024-01-01").cast("date"), (U % 10).cast("int"))
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "events", EVENTS)
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+def users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events(spark, sf_dir).select("user_id").distinct()
 
 
 def candle_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The candle rows with their prices, still with user_id and event_id."""
-    zero = E % 23 == 0
-    opening = F.when(zero, 0.0).otherwise((1 + (53 * E + 7 * U) % 99) / 100)
-    closing = F.when(zero, 0.0).otherwise((1 + (37 * E + 11 * U) % 99) / 100)
-    return (
-        events(spark, sf_dir)
-        .filter(F.col("event_type").isin("view", "click", "purchase") & HAS_MARKET)
-        .withColumns({"kalshi_open": opening, "kalshi_close": closing})
-        .withColumns(
-            {
-                "market_ticker": market_ticker(),
-                "datetime_utc": F.col("ts") - F.lit(timedelta(hours=5)),
-                "kalshi_high": F.greatest("kalshi_open", "kalshi_close"),
-                "kalshi_low": F.least("kalshi_open", "kalshi_close"),
-                "kalshi_volume": (E % 50).cast("int"),
-            }
-        )
+    return events(spark, sf_dir).filter(
+        f"event_type IN ('view', 'click', 'purchase') AND {HAS_MARKET}"
     )
 
 
 def play_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The plays, still with user_id and event_id."""
-    home = (3 * ((7 * E) % 11)).cast("int")
-    away = (3 * ((5 * E + U) % 11)).cast("int")
-    wp = (home - away + 40) / F.lit(80.0)
-
-    def flag(n: int) -> Column:
-        return (E % n == 0).cast("int")
-
-    return (
-        events(spark, sf_dir)
-        .filter(F.col("event_type").isin("signup", "error") & (U % 14 != 13))
-        .withColumns(
-            {
-                "game_id": game_id(),
-                "play_id": E.cast("int"),
-                "qtr": (1 + F.floor((F.day("ts") - 1) / 7)).cast("int"),
-                "quarter_seconds_remaining": (900 - (31 * E) % 900).cast("double"),
-                "down": F.when(E % 19 != 0, 1 + E % 4).cast("int"),
-                "ydstogo": (1 + E % 10).cast("int"),
-                "play_type": F.col("event_type"),
-                "description": F.col("props"),
-                "total_home_score": home,
-                "total_away_score": away,
-                "wp": wp,
-                "vegas_wp": F.when(E % 17 != 0, wp),
-                "interception": flag(29),
-                "fumble": flag(31),
-                "touchdown": flag(37),
-                "timestamp_utc": F.when(E % 13 != 0, F.col("ts")),
-            }
-        )
-    )
+    return events(spark, sf_dir).filter("event_type IN ('signup', 'error') AND user_id % 14 <> 13")
 
 
 def relations(spark: SparkSession, sf_dir: str) -> Tables:
-    nations = spark.read.parquet(f"{sf_dir}/nation.parquet")
-    users = events(spark, sf_dir).select("user_id").distinct()
+    nations = read(spark, sf_dir, "nation", "n_nationkey int, n_name string")
+    games = users(spark, sf_dir)
     return Tables(
-        teams=nations.select(
-            team_code(F.col("n_nationkey")).alias("team_abbr"), F.col("n_name").alias("team_name")
-        ),
-        games=users.select(
-            game_id().alias("game_id"),
-            F.lit(2024).alias("season"),
-            (1 + U % 20).cast("int").alias("week"),
-            game_date().alias("game_date"),
-            home_team().alias("home_team"),
-            away_team().alias("away_team"),
-        ),
-        plays=play_events(spark, sf_dir).select(*schemas.PLAYS.fieldNames()),
-        markets=users.filter(HAS_MARKET).select(
-            market_ticker().alias("market_ticker"),
-            game_id().alias("game_id"),
-            target_team().alias("target_team"),
-            F.concat(home_team(), F.lit(" win")).alias("market_title"),
-        ),
-        prices=candle_events(spark, sf_dir).select(*schemas.PRICES.fieldNames()),
+        teams=nations.selectExpr(f"{code('n_nationkey')} AS team_abbr", "n_name AS team_name"),
+        games=pick(games, GAME),
+        plays=pick(play_events(spark, sf_dir), PLAY).select(*schemas.PLAYS.fieldNames()),
+        markets=pick(games.filter(HAS_MARKET), MARKET),
+        prices=pick(candle_events(spark, sf_dir), PRICE),
     )

@@ -25,15 +25,11 @@ def summary_cards(
     min_prob = favorite_threshold or 0.5
     max_prob = round(1 - min_prob, 2)
     wide = F.col("price_swing") >= (volatility_threshold or 0.5)
-    price, won = F.col("kalshi_close"), F.col("won")
-    sums = {
-        "favorites": F.when(price >= min_prob, 1).otherwise(0),
-        "favorite_wins": F.when(price >= min_prob, won),
-        "underdogs": F.when(price <= max_prob, 1).otherwise(0),
-        "underdog_wins": F.when(price <= max_prob, won),
-    }
+    sums = ["favorites", "favorites_won", "underdogs", "underdogs_won"]
     weekly = (
-        reports.game_totals(t, **sums)
+        reports.game_totals(
+            t, favorites=F.col("price") >= min_prob, underdogs=F.col("price") <= max_prob
+        )
         .groupBy("week")
         .agg(
             *[F.sum(name).alias(name) for name in sums],
@@ -46,18 +42,18 @@ def summary_cards(
     def count(name: str) -> Column:
         return F.coalesce(F.sum(name), F.lit(0))
 
-    def rate(wins: str, games: str) -> Column:
-        share = round_half_up(F.sum(wins) / F.nullif(F.sum(games), F.lit(0)), 3)
+    def rate(name: str) -> Column:
+        share = round_half_up(F.sum(f"{name}_won") / F.nullif(F.sum(name), F.lit(0)), 3)
         return percent(F.coalesce(share, F.lit(0.0)))
 
     wide_error = round_half_up(F.sum("wide_error") / F.sum("wide_n"), 3)
     return weekly.agg(
-        rate("favorite_wins", "favorites").alias("favorite_win_rate_pct"),
+        rate("favorites").alias("favorite_win_rate_pct"),
         count("favorites").alias("favorite_games"),
-        rate("underdog_wins", "underdogs").alias("underdog_win_rate_pct"),
+        rate("underdogs").alias("underdog_win_rate_pct"),
         count("underdogs").alias("underdog_games"),
         percent(1 - wide_error).alias("high_volatility_accuracy_pct"),
-        round_half_up(F.avg(F.when(reports.REGULAR_SEASON, F.col("error"))), 3).alias(
+        round_half_up(F.avg(F.when(F.expr(reports.REGULAR_SEASON), F.col("error"))), 3).alias(
             "avg_weekly_error"
         ),
     )

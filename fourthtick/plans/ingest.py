@@ -138,15 +138,10 @@ def event_ticker_candidates(
     return games.select("game_id", F.posexplode(tickers).alias("pos", "ticker"))
 
 
-def listed_markets(landed: DataFrame) -> DataFrame:
-    """Parsed market list per event ticker; events without any market are dropped."""
-    parsed = F.from_json("payload", schemas.MARKETS_PAYLOAD)["markets"]
-    return landed.select("event_ticker", parsed.alias("markets")).filter(F.size("markets") > 0)
-
-
 def resolve_event_ticker(candidates: DataFrame, landed: DataFrame) -> DataFrame:
     """First candidate of each game for which markets exist."""
-    existing = listed_markets(landed).select(F.col("event_ticker").alias("ticker")).distinct()
+    listed = F.get_json_object("payload", "$.markets[0]").isNotNull()
+    existing = landed.filter(listed).select(F.col("event_ticker").alias("ticker")).distinct()
     return (
         candidates.join(existing, "ticker")
         .groupBy("game_id")
@@ -154,30 +149,42 @@ def resolve_event_ticker(candidates: DataFrame, landed: DataFrame) -> DataFrame:
     )
 
 
-def select_winner_market(
-    landed: DataFrame,
-    resolved: DataFrame,
-    games: DataFrame,
-    market_codes: Mapping[str, str] = MARKET_CODES,
+def _first_winner_market(
+    landed: DataFrame, resolved: DataFrame, games: DataFrame, market_codes: Mapping[str, str]
 ) -> DataFrame:
-    """First market of each game's event that asks who wins and names a team of the game.
+    """Each resolved game with its winner market ``m``, NULL where its event has none.
 
-    The choice is made inside each event's own list, so no list is exploded.
+    Only lists of resolved events are parsed, and the choice is made inside each
+    list, so none is exploded. If an event was landed several times, any of its
+    lists may hold the market.
     """
     teams = F.array("home_team", "away_team")
-    codes = F.array_distinct(
-        F.concat(teams, F.transform(teams, lambda c: replace_codes(c, market_codes)))
-    )
+    codes = F.concat(teams, F.transform(teams, lambda c: replace_codes(c, market_codes)))
 
     def wins(market: Column) -> Column:
         title = F.lower(market["title"])
         about_winner = title.contains("win") & ~title.contains("spread")
         return about_winner & F.exists("codes", lambda code: market["ticker"].contains(code))
 
+    markets = F.from_json("payload", schemas.MARKETS_PAYLOAD)["markets"]
     return (
         resolved.join(games.select("game_id", codes.alias("codes")), "game_id")
-        .join(listed_markets(landed), "event_ticker")
-        .select("game_id", "event_ticker", F.get(F.filter("markets", wins), F.lit(0)).alias("m"))
+        .join(landed, "event_ticker")
+        .select("game_id", "event_ticker", F.get(F.filter(markets, wins), F.lit(0)).alias("m"))
+        .groupBy("game_id", "event_ticker")
+        .agg(F.min("m").alias("m"))
+    )
+
+
+def select_winner_market(
+    landed: DataFrame,
+    resolved: DataFrame,
+    games: DataFrame,
+    market_codes: Mapping[str, str] = MARKET_CODES,
+) -> DataFrame:
+    """First market of each game's event that asks who wins and names a team of the game."""
+    return (
+        _first_winner_market(landed, resolved, games, market_codes)
         .filter(F.col("m").isNotNull())
         .select(
             "game_id",
@@ -283,15 +290,17 @@ def failed_games_report(
     """Games without a usable market: the reason, and the tickers that were tried."""
     candidates = event_ticker_candidates(games, overrides, market_codes, prefix)
     resolved = resolve_event_ticker(candidates, landed)
-    winners = select_winner_market(landed, resolved, games, market_codes)
+    found = _first_winner_market(landed, resolved, games, market_codes)
 
-    tried = _candidates(overrides, market_codes, prefix)
-    unresolved = (
-        games.select("game_id", F.array_join(tried, ", ").alias("tried"))
-        .join(resolved, "game_id", "left_anti")
-        .select("game_id", F.lit("no markets found").alias("reason"), "tried")
-    )
-    unmatched = resolved.join(winners, "game_id", "left_anti").select(
-        "game_id", F.lit("no winner market").alias("reason"), F.col("event_ticker").alias("tried")
+    unresolved = F.col("event_ticker").isNull()
+    all_tickers = F.array_join("tickers", ", ")
+    return (
+        games.select("game_id", _candidates(overrides, market_codes, prefix).alias("tickers"))
+        .join(found, "game_id", "left")
+        .filter(F.col("m").isNull())
+        .select(
+            "game_id",
+            F.when(unresolved, "no markets found").otherwise("no winner market").alias("reason"),
+            F.coalesce("event_ticker", all_tickers).alias("tried"),
+        )
     )
-    return unresolved.unionByName(unmatched).dropDuplicates(["game_id"])

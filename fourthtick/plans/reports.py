@@ -21,7 +21,7 @@ from fourthtick.plans.views import (
 )
 from fourthtick.tables import Tables
 
-REGULAR_SEASON = F.col("week").between(1, 18)
+REGULAR_SEASON = "week BETWEEN 1 AND 18"
 
 
 def mean(value: str | Column, digits: int) -> Column:
@@ -131,29 +131,50 @@ def accuracy_by_week(t: Tables) -> DataFrame:
     )
 
 
-def game_totals(t: Tables, **more_sums: Column) -> DataFrame:
+def game_totals(t: Tables, **counted: Column) -> DataFrame:
     """Per finished game: price swing, and sums over its markets with a pregame price.
 
     All markets of a game share its swing, so sums per game are enough for any
-    average over swing groups, and candles are aggregated once. ``more_sums``
-    adds sums of expressions over ``kalshi_close`` (the pregame price) and ``won``.
+    average over swing groups, and candles are aggregated once. Markets are first
+    summed per game and team, which needs no result yet, so a game with many
+    markets is reduced before the join. ``counted`` adds, for a condition on
+    ``price``, the number of such markets (``name``) and of their wins
+    (``name_won``).
     """
-    won = F.when(F.col("winner") == F.col("target_team"), 1.0).otherwise(0.0)
-    priced = F.col("kalshi_close").isNotNull()
-    return (
+    price = F.col("price")
+    per_team = (
         market_facts(t)
-        .withColumnRenamed("pregame_close", "kalshi_close")
+        .withColumnRenamed("pregame_close", "price")
         .join(t.markets.select("market_ticker", "game_id", "target_team"), "market_ticker")
-        .join(finished_games(t).select("game_id", "week", "winner"), "game_id")
-        .withColumn("won", F.when(priced, won))
+        .groupBy("game_id", "target_team")
+        .agg(
+            F.min("min_close").alias("low"),
+            F.max("max_close").alias("high"),
+            F.count(price).alias("n"),
+            F.sum(price).alias("predicted"),
+            F.sum(F.abs(price - 1.0)).alias("error_if_won"),
+            F.sum(F.abs(price)).alias("error_if_lost"),
+            *[F.count(F.when(condition, 1)).alias(name) for name, condition in counted.items()],
+        )
+    )
+    won = F.coalesce(F.col("winner") == F.col("target_team"), F.lit(False))
+
+    def wins(name: str) -> Column:
+        return F.sum(F.when(won, F.col(name)).otherwise(0))
+
+    return (
+        per_team.join(finished_games(t).select("game_id", "week", "winner"), "game_id")
         .groupBy("game_id", "week")
         .agg(
-            (F.max("max_close") - F.min("min_close")).alias("price_swing"),
-            F.count("kalshi_close").alias("n"),
-            F.sum("kalshi_close").alias("predicted"),
-            F.sum("won").alias("wins"),
-            F.sum(F.abs(F.col("kalshi_close") - F.col("won"))).alias("error"),
-            *[F.sum(value).alias(name) for name, value in more_sums.items()],
+            (F.max("high") - F.min("low")).alias("price_swing"),
+            F.sum("n").alias("n"),
+            F.sum("predicted").alias("predicted"),
+            wins("n").alias("n_won"),
+            F.sum(
+                F.when(won, F.col("error_if_won")).otherwise(F.col("error_if_lost"))
+            ).alias("error"),
+            *[F.sum(name).alias(name) for name in counted],
+            *[wins(name).alias(f"{name}_won") for name in counted],
         )
         .filter(F.col("n") > 0)
     )
@@ -164,15 +185,15 @@ def volatility_comparison(t: Tables, volatility_threshold: float = 0.5) -> DataF
     group = F.when(F.col("price_swing") >= volatility_threshold, "high_volatility").otherwise(
         "low_volatility"
     )
-    games = F.sum("n")
+    markets = F.sum("n")
     return (
         game_totals(t)
         .groupBy(group.alias("volatility_group"))
         .agg(
-            games.alias("numberofgames"),
-            round_half_up(F.sum("predicted") / games, 3).alias("avg_predicted_prob"),
-            round_half_up(F.sum("wins") / games, 3).alias("actual_win_rate"),
-            round_half_up(F.sum("error") / games, 3).alias("avg_error"),
+            markets.alias("numberofgames"),
+            round_half_up(F.sum("predicted") / markets, 3).alias("avg_predicted_prob"),
+            round_half_up(F.sum("n_won") / markets, 3).alias("actual_win_rate"),
+            round_half_up(F.sum("error") / markets, 3).alias("avg_error"),
         )
     )
 

@@ -14,7 +14,7 @@ from __future__ import annotations
 import uuid
 from dataclasses import replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fourthtick.functions.ordering import ascending, descending, sort_key
@@ -22,13 +22,20 @@ from fourthtick.operators.ranking import rank_by_time
 from fourthtick.sources.storage import shared_folder
 from fourthtick.tables import Tables
 
-TRADED = F.col("kalshi_close") > 0
+TRADED = "kalshi_close > 0"
 
-# Late plays of the fourth quarter, where the model only confirms the outcome.
-GARBAGE_TIME = (F.col("qtr") == 4) & (F.col("quarter_seconds_remaining") < 120)
+# Before the last two minutes, in which the model only confirms the outcome.
+CONTESTED = "NOT (qtr = 4 AND quarter_seconds_remaining < 120)"
 
-FIRST_PLAY = sort_key(ascending("qtr"), descending("quarter_seconds_remaining"), ascending("play_id"))
-LAST_PLAY = sort_key(descending("qtr"), ascending("quarter_seconds_remaining"), descending("play_id"))
+
+def first_play() -> Column:
+    """Sort key whose minimum is the first play of a game."""
+    return sort_key(ascending("qtr"), descending("quarter_seconds_remaining"), ascending("play_id"))
+
+
+def last_play() -> Column:
+    """Sort key whose minimum is the last play of a game."""
+    return sort_key(descending("qtr"), ascending("quarter_seconds_remaining"), descending("play_id"))
 
 
 def pregame_prices(t: Tables) -> DataFrame:
@@ -65,7 +72,7 @@ def market_facts(t: Tables) -> DataFrame:
     if t.market_facts is not None:
         return t.market_facts
     return t.prices.groupBy("market_ticker").agg(
-        F.min_by("kalshi_close", F.when(TRADED, F.col("datetime_utc"))).alias("pregame_close"),
+        F.min_by("kalshi_close", F.when(F.expr(TRADED), F.col("datetime_utc"))).alias("pregame_close"),
         F.min("kalshi_close").alias("min_close"),
         F.max("kalshi_close").alias("max_close"),
     )
@@ -76,13 +83,13 @@ def play_facts(t: Tables) -> DataFrame:
     if t.play_facts is not None:
         return t.play_facts
     has_wp = F.col("vegas_wp").isNotNull()
-    contested_wp = F.when(~GARBAGE_TIME, F.col("vegas_wp"))
+    contested_wp = F.when(F.expr(CONTESTED), F.col("vegas_wp"))
     final = F.struct("total_home_score", "total_away_score")
     return (
         t.plays.groupBy("game_id")
         .agg(
-            F.min_by(final, LAST_PLAY).alias("final"),
-            F.min_by("vegas_wp", F.when(has_wp, FIRST_PLAY)).alias("home_vegas_wp"),
+            F.min_by(final, last_play()).alias("final"),
+            F.min_by("vegas_wp", F.when(has_wp, first_play())).alias("home_vegas_wp"),
             F.min(contested_wp).alias("min_home_wp"),
             F.max(contested_wp).alias("max_home_wp"),
         )
@@ -122,7 +129,7 @@ def first_play_wp(t: Tables) -> DataFrame:
     return (
         t.plays.filter(F.col("vegas_wp").isNotNull())
         .groupBy("game_id")
-        .agg(F.min_by("vegas_wp", FIRST_PLAY).alias("home_vegas_wp"))
+        .agg(F.min_by("vegas_wp", first_play()).alias("home_vegas_wp"))
     )
 
 
