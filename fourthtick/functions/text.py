@@ -19,10 +19,10 @@ def title_from_snake(name: Column) -> Column:
 
 def classify(value: Column, above: list[tuple[float, str]], otherwise: str) -> Column:
     """Label of the first threshold the value exceeds (strictly)."""
-    chain = F
-    for threshold, label in above:
-        chain = chain.when(value > threshold, label)
-    return chain.otherwise(otherwise)
+    label = F.lit(otherwise)
+    for threshold, name in reversed(above):
+        label = F.when(value > threshold, name).otherwise(label)
+    return label
 
 
 def signed_class(value: Column, band: float, over: str, under: str, neutral: str) -> Column:

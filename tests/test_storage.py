@@ -1,0 +1,133 @@
+import json
+from datetime import date, datetime
+
+import pytest
+from build import at, frame, game, market, play, price, rows, tables
+from fourthtick import schemas
+from fourthtick.operators import quality
+from fourthtick.sources import storage
+
+
+def sample(spark):
+    return tables(
+        spark,
+        teams=[dict(team_abbr="H", team_name="Home"), dict(team_abbr="A", team_name="Away, Inc.")],
+        games=[game(season=2025, game_date=date(2025, 9, 7))],
+        plays=[
+            {
+                **play(1, wp=0.25, at=datetime(2025, 9, 7, 17, 2, 3, 456789)),
+                "description": 'says "go", then \\ runs',
+            },
+            {**play(2), "description": None},
+        ],
+        markets=[market()],
+        prices=[price(at(13), 0.5), price(at(14), 0.0)],
+    )
+
+
+def same(left, right):
+    for name, df in left.named().items():
+        other = right.named()[name]
+        assert df.schema.simpleString() == other.schema.simpleString()
+        assert sorted(rows(df), key=repr) == sorted(rows(other), key=repr)
+
+
+def test_csv_round_trip(spark, tmp_path):
+    t = sample(spark)
+    for name, df in t.named().items():
+        storage.write_csv_table(df, str(tmp_path), name)
+    same(t, storage.load_tables(spark, str(tmp_path)))
+
+
+def test_games_csv_keeps_its_own_column_order(spark, tmp_path):
+    storage.write_csv_table(sample(spark).games, str(tmp_path), "games")
+    lines = spark.read.text(f"{tmp_path}/games.csv")
+    assert {r.value for r in lines.collect()} == {
+        "game_id,season,week,home_team,away_team,game_date",
+        "G,2025,1,H,A,2025-09-07",
+    }
+
+
+def test_plays_csv_calls_the_description_desc(spark, tmp_path):
+    storage.write_csv_table(sample(spark).plays, str(tmp_path), "plays")
+    header = spark.read.csv(f"{tmp_path}/plays.csv", header=True).columns
+    assert header[7] == "desc" and header[-1] == "timestamp_utc"
+
+
+def test_texts_with_line_breaks_can_be_read(spark, tmp_path):
+    plays = frame(spark, "plays", [{**play(1), "description": "first\nsecond"}])
+    storage.write_csv_table(plays, str(tmp_path), "plays")
+    back = storage.read_csv_table(spark, str(tmp_path), "plays", line_breaks=True)
+    assert rows(back) == rows(plays)
+
+
+def test_existing_csv_can_be_left_alone(spark, tmp_path):
+    t = sample(spark)
+    storage.write_csv_table(t.teams, str(tmp_path), "teams")
+    storage.write_csv_table(t.teams.limit(0), str(tmp_path), "teams", only_if_absent=True)
+    assert storage.read_csv_table(spark, str(tmp_path), "teams").count() == 2
+    with pytest.raises(Exception, match="(?i)already exists"):
+        storage.write_csv_table(t.teams, str(tmp_path), "teams")
+
+
+def test_parquet_round_trip(spark, tmp_path):
+    t = sample(spark)
+    storage.save_tables(t, str(tmp_path))
+    same(t, storage.open_tables(spark, str(tmp_path)))
+
+
+def test_landed_files(spark, tmp_path):
+    (tmp_path / "m.json").write_text(json.dumps({"event_ticker": "E", "payload": '{"markets":[]}'}))
+    (tmp_path / "c.json").write_text(json.dumps({"market_ticker": "M", "payload": "{}"}))
+    assert rows(storage.read_landed_markets(spark, str(tmp_path / "m.json"))) == [
+        ("E", '{"markets":[]}')
+    ]
+    assert rows(storage.read_landed_candles(spark, str(tmp_path / "c.json"))) == [("M", "{}")]
+
+
+def test_play_by_play_with_integer_counters_and_other_columns(spark, tmp_path):
+    names = schemas.RAW_PLAY_BY_PLAY.fieldNames()
+    integers = {"play_id": 40, "qtr": 1, "season": 2025, "week": 1}
+    row = [integers.get(n) for n in names] + ["unused"]
+    types = ["int" if n in integers else f.dataType.simpleString() for n, f in
+             zip(names, schemas.RAW_PLAY_BY_PLAY.fields)]
+    schema = ", ".join(f"`{n}` {t}" for n, t in zip(names + ["other"], types + ["string"]))
+    spark.createDataFrame([tuple(row)], schema).write.parquet(f"{tmp_path}/pbp")
+    raw = storage.read_play_by_play(spark, f"{tmp_path}/pbp")
+    assert raw.schema.simpleString() == schemas.RAW_PLAY_BY_PLAY.simpleString()
+    assert raw.first().play_id == 40.0
+
+
+def test_key_violations(spark):
+    t = tables(
+        spark,
+        teams=[dict(team_abbr="H"), dict(team_abbr="H", team_name="x"), dict(team_name="y")],
+        prices=[price(at(13), 0.5), price(at(13), 0.6), price(at(14), 0.5)],
+    )
+    assert sorted(rows(quality.key_violations(t.teams, ["team_abbr"])), key=repr) == [
+        ("H", 2),
+        (None, 1),
+    ]
+    found = {(r.table_name, r.rule): r.violations for r in quality.check_keys(t).collect()}
+    assert found[("teams", "primary key")] == 2
+    assert found[("teams", "not null")] == 1
+    assert found[("kalshi_prices", "primary key")] == 1
+    assert found[("plays", "primary key")] == 0
+
+
+def test_orphans(spark):
+    t = tables(
+        spark,
+        teams=[dict(team_abbr="H", team_name="h")],
+        games=[game("G1", home="H", away=None), game("G2", home="X", away="X")],
+        plays=[play(1, game_id="G1"), play(1, game_id="G9"), play(2, game_id="G9")],
+    )
+    assert rows(quality.orphans(t.plays, "game_id", t.games, "game_id")) == [("G9", 2)]
+    found = {
+        (r.child_table, r.child_column): (r.orphan_keys, r.orphan_rows)
+        for r in quality.check_references(t).collect()
+    }
+    assert found[("plays", "game_id")] == (1, 2)
+    assert found[("games", "home_team")] == (1, 1)
+    assert found[("games", "away_team")] == (1, 1)
+    assert found[("kalshi_prices", "market_ticker")] == (0, 0)
