@@ -154,23 +154,31 @@ def _first_winner_market(
 ) -> DataFrame:
     """Each resolved game with its winner market ``m``, NULL where its event has none.
 
-    Only lists of resolved events are parsed, and the choice is made inside each
-    list, so none is exploded. If an event was landed several times, any of its
-    lists may hold the market.
+    Each list is cut down to its winner markets where it is read, so that is all
+    that travels; the game's team codes then pick from it. An event that was
+    landed several times counts once per distinct list, and any of its lists may
+    hold the market.
     """
-    teams = F.array("home_team", "away_team")
-    codes = F.concat(teams, F.transform(teams, lambda c: replace_codes(c, market_codes)))
 
-    def wins(market: Column) -> Column:
+    def about_winner(market: Column) -> Column:
         title = F.lower(market["title"])
-        about_winner = title.contains("win") & ~title.contains("spread")
-        return about_winner & F.exists("codes", lambda code: market["ticker"].contains(code))
+        return title.contains("win") & ~title.contains("spread")
+
+    def names_a_team(market: Column) -> Column:
+        return F.exists("codes", lambda code: market["ticker"].contains(code))
 
     markets = F.from_json("payload", schemas.MARKETS_PAYLOAD)["markets"]
+    winner_lists = landed.select(
+        "event_ticker", F.filter(markets, about_winner).alias("markets")
+    ).distinct()
+
+    teams = F.array("home_team", "away_team")
+    codes = F.concat(teams, F.transform(teams, lambda c: replace_codes(c, market_codes)))
+    first = F.get(F.filter("markets", names_a_team), F.lit(0))
     return (
         resolved.join(games.select("game_id", codes.alias("codes")), "game_id")
-        .join(landed, "event_ticker")
-        .select("game_id", "event_ticker", F.get(F.filter(markets, wins), F.lit(0)).alias("m"))
+        .join(winner_lists, "event_ticker")
+        .select("game_id", "event_ticker", first.alias("m"))
         .groupBy("game_id", "event_ticker")
         .agg(F.min("m").alias("m"))
     )
