@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from fourthtick import schemas
 from fourthtick.functions.text import replace_codes
 from fourthtick.functions.times import EASTERN, from_epoch_seconds, utc_to_wall
+from fourthtick.sources.storage import stage
+from fourthtick.tables import Tables
 
 # Names of the teams by their code.
 TEAM_NAMES = {
@@ -191,16 +193,16 @@ def select_winner_market(
     market_codes: Mapping[str, str] = MARKET_CODES,
 ) -> DataFrame:
     """First market of each game's event that asks who wins and names a team of the game."""
-    return (
-        _first_winner_market(landed, resolved, games, market_codes)
-        .filter(F.col("m").isNotNull())
-        .select(
-            "game_id",
-            "event_ticker",
-            F.col("m.ticker").alias("market_ticker"),
-            F.col("m.title").alias("market_title"),
-            F.col("m.close_time").alias("close_time"),
-        )
+    return _winners(_first_winner_market(landed, resolved, games, market_codes))
+
+
+def _winners(found: DataFrame) -> DataFrame:
+    return found.filter(F.col("m").isNotNull()).select(
+        "game_id",
+        "event_ticker",
+        F.col("m.ticker").alias("market_ticker"),
+        F.col("m.title").alias("market_title"),
+        F.col("m.close_time").alias("close_time"),
     )
 
 
@@ -299,11 +301,14 @@ def failed_games_report(
     candidates = event_ticker_candidates(games, overrides, market_codes, prefix)
     resolved = resolve_event_ticker(candidates, landed)
     found = _first_winner_market(landed, resolved, games, market_codes)
+    return _failures(games, found, _candidates(overrides, market_codes, prefix))
 
+
+def _failures(games: DataFrame, found: DataFrame, candidates: Column) -> DataFrame:
     unresolved = F.col("event_ticker").isNull()
     all_tickers = F.array_join("tickers", ", ")
     return (
-        games.select("game_id", _candidates(overrides, market_codes, prefix).alias("tickers"))
+        games.select("game_id", candidates.alias("tickers"))
         .join(found, "game_id", "left")
         .filter(F.col("m").isNull())
         .select(
@@ -312,3 +317,49 @@ def failed_games_report(
             F.coalesce("event_ticker", all_tickers).alias("tried"),
         )
     )
+
+
+def build_tables(
+    play_by_play: DataFrame,
+    landed_markets: DataFrame,
+    landed_candles: DataFrame,
+    existing: Tables | None = None,
+    force: Iterable[str] = (),
+    team_names: Mapping[str, str] = TEAM_NAMES,
+    overrides: Mapping[str, str] = TICKER_OVERRIDES,
+    market_codes: Mapping[str, str] = MARKET_CODES,
+    prefix: str = EVENT_PREFIX,
+    zone: str = EASTERN,
+) -> tuple[Tables, DataFrame]:
+    """The whole ingest: landed data to the five tables, and the report of failed games.
+
+    With ``existing`` tables only games without a market (and those in ``force``)
+    are resolved, and their markets and candles are appended.
+    """
+    spark = play_by_play.sparkSession
+    games = build_games(play_by_play)
+    if existing is None:
+        known_markets = spark.createDataFrame([], schemas.MARKETS)
+        known_prices = spark.createDataFrame([], schemas.PRICES)
+    else:
+        known_markets, known_prices = existing.markets, existing.prices
+
+    open_games = incremental_new_games(games, known_markets, force)
+    candidates = event_ticker_candidates(open_games, overrides, market_codes, prefix)
+    resolved = resolve_event_ticker(candidates, landed_markets)
+    # Markets, candles and the report of failures all start from this result.
+    found = stage(
+        _first_winner_market(landed_markets, resolved, open_games, market_codes), "winner_markets"
+    )
+
+    winners = _winners(found)
+    added = unknown_markets(known_markets, market_target_team(winners, market_codes))
+    candles = candle_window(flatten_candles(landed_candles, zone), winners)
+    tables = Tables(
+        teams=build_teams(games, team_names),
+        games=games,
+        plays=build_plays(play_by_play),
+        markets=known_markets.unionByName(added),
+        prices=append_prices(known_prices, added, candles),
+    )
+    return tables, _failures(open_games, found, _candidates(overrides, market_codes, prefix))

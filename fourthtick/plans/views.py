@@ -11,7 +11,6 @@ run time) and shuffles both otherwise, splitting skewed partitions.
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
@@ -19,7 +18,7 @@ from pyspark.sql import functions as F
 
 from fourthtick.functions.ordering import ascending, descending, sort_key
 from fourthtick.operators.ranking import rank_by_time
-from fourthtick.sources.storage import shared_folder
+from fourthtick.sources.storage import stage
 from fourthtick.tables import Tables
 
 TRADED = "kalshi_close > 0"
@@ -154,15 +153,13 @@ def with_facts(t: Tables, folder: str | None = None) -> Tables:
     """Write both fact summaries once and return tables whose reports read them.
 
     One pass over candles and one over plays then serve every report that needs
-    only per-market or per-game facts. The default folder lies in the shared
-    folder of the cluster, so the files survive the loss of an executor.
+    only per-market or per-game facts.
     """
-    folder = folder or f"{shared_folder(t.spark)}/facts-{uuid.uuid4().hex}"
-    written = {}
-    for name, facts in [("market_facts", market_facts(t)), ("play_facts", play_facts(t))]:
-        facts.write.parquet(f"{folder}/{name}")
-        written[name] = t.spark.read.schema(facts.schema).parquet(f"{folder}/{name}")
-    return replace(t, **written)
+    return replace(
+        t,
+        market_facts=stage(market_facts(t), "market_facts", folder),
+        play_facts=stage(play_facts(t), "play_facts", folder),
+    )
 
 
 # Fixed names under which the views are published.

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +28,18 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def stage(rows: DataFrame, name: str, folder: str | None = None) -> DataFrame:
+    """Write an intermediate result once and go on from the written files.
+
+    Whatever reads the result afterwards starts from these files: it is computed
+    once, its lineage ends here, and no executor holds the only copy.
+    """
+    spark = rows.sparkSession
+    path = f"{folder or shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 def open_tables(spark: SparkSession, folder: str) -> Tables:
     """The five stored parquet tables, read with their explicit schemas."""
     return Tables(

@@ -211,3 +211,52 @@ def test_known_tickers_are_not_added_again(spark):
     added = ingest.unknown_markets(existing, new)
     appended = ingest.append_prices(stored, added, fetched)
     assert sorted(r.market_ticker for r in appended.collect()) == ["M1", "M2"]
+
+
+def test_whole_ingest_and_its_increment(spark):
+    event = "KXNFLGAME-25SEP07DALPHI"
+    other = "KXNFLGAME-25SEP07KCLAC"
+    raw = spark.createDataFrame(
+        [
+            raw_play(game_id="G1", home_team="PHI", away_team="DAL"),
+            raw_play(game_id="G2", home_team="LAC", away_team="KC"),
+            raw_play(game_id="G3", home_team="GB", away_team="CHI"),
+        ],
+        schemas.RAW_PLAY_BY_PLAY,
+    )
+    close = 1757291400  # 2025-09-08T00:30:00Z
+
+    def candles(ticker):
+        price = {"open": "0.5", "high": "0.6", "low": "0.4", "close": "0.55"}
+        payload = {
+            "candlesticks": [
+                {"end_period_ts": close - 60, "price": price, "volume": "3"},
+                {"end_period_ts": close - 20000, "price": price, "volume": "3"},
+            ]
+        }
+        return ticker, json.dumps(payload)
+
+    landed_candles = spark.createDataFrame(
+        [candles(f"{event}-DAL"), candles(f"{other}-KC")], schemas.LANDED_CANDLES
+    )
+    first = [(event, [listed(f"{event}-DAL", "Dallas to win")])]
+    tables, failed = ingest.build_tables(raw, landed_markets(spark, first), landed_candles)
+    assert tables.plays.count() == 3
+    assert sorted(r.team_abbr for r in tables.teams.collect()) == [
+        "CHI", "DAL", "GB", "KC", "LAC", "PHI",
+    ]
+    assert rows(tables.markets) == [(f"{event}-DAL", "G1", "DAL", "Dallas to win")]
+    assert rows(tables.prices) == [
+        (f"{event}-DAL", datetime(2025, 9, 7, 20, 29), 0.5, 0.6, 0.4, 0.55, 3)
+    ]
+    assert sorted(r.game_id for r in failed.collect()) == ["G2", "G3"]
+
+    both = first + [(other, [listed(f"{other}-KC", "Kansas City to win")])]
+    again, failed = ingest.build_tables(
+        raw, landed_markets(spark, both), landed_candles, existing=tables, force=["G1"]
+    )
+    assert sorted(r.market_ticker for r in again.markets.collect()) == [
+        f"{event}-DAL", f"{other}-KC",
+    ]
+    assert again.prices.count() == 2
+    assert [r.game_id for r in failed.collect()] == ["G3"]
