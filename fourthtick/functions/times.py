@@ -30,18 +30,16 @@ def wall_to_utc(wall: Column, zone: str = EASTERN) -> Column:
 
 def epoch_seconds(t: Column) -> Column:
     """Whole seconds since 1970-01-01 on the timestamp's own clock."""
-    return (
-        F.unix_date(t.cast("date")).cast("long") * 86400
-        + F.hour(t) * 3600
-        + F.minute(t) * 60
-        + F.second(t)
-    )
+    return (t - _epoch()).cast("interval second").cast("long")
 
 
 def from_epoch_seconds(seconds: Column) -> Column:
     """Zone-less UTC timestamp of an epoch second."""
-    origin = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-    return origin + F.make_dt_interval(secs=seconds)
+    return _epoch() + F.make_dt_interval(secs=seconds)
+
+
+def _epoch() -> Column:
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
 
 
 def time_slice(t: Column, width_seconds: int) -> Column:

@@ -75,15 +75,21 @@ COUNTERS = [
 
 
 def build_games(raw: DataFrame) -> DataFrame:
-    """One row per game of the play-by-play."""
-    return raw.select(
+    """One row per game of the play-by-play.
+
+    All plays of a game repeat the same columns; ``distinct`` removes them by
+    hashing before anything is sorted or moved. Should a game differ in some
+    play, one of its rows is kept.
+    """
+    per_play = raw.select(
         "game_id",
         "season",
         "week",
         F.col("game_date").cast("date").alias("game_date"),
         "home_team",
         "away_team",
-    ).dropDuplicates(["game_id"])
+    )
+    return per_play.distinct().dropDuplicates(["game_id"])
 
 
 def build_plays(raw: DataFrame) -> DataFrame:

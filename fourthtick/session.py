@@ -1,6 +1,7 @@
 from pyspark.sql import SparkSession
 
-# Defaults for the analytics. A setting the cluster or the caller already made wins.
+# Runtime settings for the analytics, used where the cluster or the caller has
+# not chosen otherwise.
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     # AQE measures every shuffle: it joins small partitions, splits skewed ones
@@ -10,21 +11,29 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
     "spark.sql.files.maxPartitionBytes": "128m",
-    "spark.sql.parquet.filterPushdown": "true",
 }
 
 
-def build_session(master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
-    """A session with the defaults above.
+def build_session(
+    master: str | None = None, shuffle_partitions: int | None = None, **settings: str
+) -> SparkSession:
+    """A session with ``settings`` (dots written as ``__``), completed by the defaults above.
 
     ``shuffle_partitions`` is the number AQE starts from and shrinks: choose it
-    so that the largest shuffle, divided by it, fits in a task's memory.
+    so that the largest shuffle, divided by it, fits in a task's memory. For the
+    as-of join that shuffle holds three columns of all candles and plays.
     """
     builder = SparkSession.builder.appName("fourthtick")
     if master:
         builder = builder.master(master)
+    for key, value in settings.items():
+        builder = builder.config(key.replace("__", "."), value)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    spark = builder.getOrCreate()
+
+    chosen = spark.sparkContext.getConf()
     for key, value in DEFAULTS.items():
-        builder = builder.config(key, value)
-    return builder.getOrCreate()
+        if not chosen.contains(key):
+            spark.conf.set(key, value)
+    return spark

@@ -50,18 +50,23 @@ def open_tables(spark: SparkSession, folder: str) -> Tables:
     )
 
 
-def save_tables(tables: Tables, folder: str, mode: str = "errorifexists") -> None:
+def save_tables(
+    tables: Tables, folder: str, partitions: int | None = None, mode: str = "errorifexists"
+) -> None:
     """Write the tables as parquet, clustered so that later scans can skip row groups.
 
     Candles and plays are range-partitioned on their whole key and sorted. One
     hot market or game is thereby cut into many files, and a filter on ticker,
-    game or time prunes by the statistics of each row group.
+    game or time prunes by the statistics of each row group. ``partitions`` is
+    the number of files of each of the two, by default the session's number of
+    shuffle partitions.
     """
+    count = [partitions] if partitions else []
     for name, rows in tables.named().items():
         rows = rows.select(*schemas.TABLES[name].fieldNames())
         if name in ("plays", "kalshi_prices"):
             keys = schemas.KEYS[name]
-            rows = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
+            rows = rows.repartitionByRange(*count, *keys).sortWithinPartitions(*keys)
         rows.write.mode(mode).parquet(f"{folder}/{name}")
 
 
