@@ -22,11 +22,14 @@ def sort_any(rows: DataFrame, column: str, ascending: bool = True) -> DataFrame:
     Text ignores case; a missing number counts as 0. The other columns break
     ties, so the order is the same in every run.
     """
-    if dict(rows.dtypes)[column] == "string":
+    kind = dict(rows.dtypes)[column]
+    if kind == "string":
         key = F.lower(column)
-    elif dict(rows.dtypes)[column] in ("date", "timestamp", "timestamp_ntz"):
-        key = F.col(column)
-    else:
+    elif kind in ("float", "double"):
+        key = F.coalesce(F.nanvl(column, F.lit(0.0)), F.lit(0.0))
+    elif kind in ("int", "bigint") or kind.startswith("decimal"):
         key = F.coalesce(F.col(column), F.lit(0))
+    else:
+        key = F.col(column)
     rest = [F.col(c) for c in rows.columns if c != column]
     return rows.orderBy(key.asc() if ascending else key.desc(), *rest)

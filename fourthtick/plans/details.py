@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import ROUND_HALF_UP, Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,13 +19,13 @@ def summary_cards(
     """Headline figures in one row: favorites, underdogs, volatile games, weekly error.
 
     A threshold of 0 means the default of 0.5. The underdog limit mirrors the
-    favorite threshold. Weeks weigh the same in the weekly error. A rate without
-    games shows 0, an accuracy without volatile games is NULL.
+    favorite threshold, rounded to two digits. Weeks weigh the same in the weekly
+    error. A rate without games shows 0, an accuracy without volatile games is NULL.
 
     All four figures come out of one pass: sums per game, then per week, then overall.
     """
     min_prob = favorite_threshold or 0.5
-    max_prob = round(1 - min_prob, 2)
+    max_prob = float(Decimal(1 - min_prob).quantize(Decimal("0.01"), ROUND_HALF_UP))
     wide = F.col("price_swing") >= (volatility_threshold or 0.5)
     sums = ["favorites", "favorites_won", "underdogs", "underdogs_won"]
     weekly = (

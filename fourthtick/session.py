@@ -32,8 +32,8 @@ def build_session(
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = builder.getOrCreate()
 
-    chosen = spark.sparkContext.getConf()
+    chosen = {row.key for row in spark.sql("SET").collect()}
     for key, value in DEFAULTS.items():
-        if not chosen.contains(key):
+        if key not in chosen:
             spark.conf.set(key, value)
     return spark

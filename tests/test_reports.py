@@ -275,6 +275,9 @@ def test_summary_cards(spark):
     # Week 1: 0.30, week 2: mean of 0.6 and 0.7; week 20 is out of season.
     assert found.avg_weekly_error == 0.475
     assert rows(details.summary_cards(t, 0, 0)) == rows(details.summary_cards(t))
+    # 1 - 0.695 shows as 0.31 and 1 - 0.705 as 0.30: both are rounded, not cut.
+    assert details.summary_cards(t, 0.695).first().underdog_games == 1
+    assert details.summary_cards(t, 0.71).first().underdog_games == 0
 
 
 def test_adversity_label(spark):
@@ -301,12 +304,13 @@ def test_bias_class(spark, error, label):
 
 def test_sort_any(spark):
     df = spark.createDataFrame(
-        [("b", 2.0), ("A", -1.5), ("c", None)], "name string, x double"
+        [("b", 2.0), ("A", -1.5), ("c", None), ("d", float("nan"))], "name string, x double"
     )
-    assert [r.name for r in sort_any(df, "name").collect()] == ["A", "b", "c"]
-    assert [r.name for r in sort_any(df, "name", ascending=False).collect()] == ["c", "b", "A"]
+    assert [r.name for r in sort_any(df, "name").collect()] == ["A", "b", "c", "d"]
+    down = sort_any(df, "name", ascending=False)
+    assert [r.name for r in down.collect()] == ["d", "c", "b", "A"]
     # A missing number counts as 0.
-    assert [r.name for r in sort_any(df, "x").collect()] == ["A", "c", "b"]
+    assert [r.name for r in sort_any(df, "x").collect()] == ["A", "c", "d", "b"]
 
 
 def test_rounding_goes_away_from_zero_and_ignores_float_noise(spark):
