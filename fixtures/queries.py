@@ -87,6 +87,33 @@ def _failed(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _whole_ingest(spark: SparkSession, sf_dir: str) -> Tables:
+    """All five tables out of the raw shapes."""
+    tables, _ = ingest.build_tables(
+        raw.play_by_play(spark, sf_dir),
+        raw.markets(spark, sf_dir),
+        raw.candles(spark, sf_dir, raw.WINNER_TICKER),
+        team_names=raw.TEAM_NAMES,
+        overrides=raw.OVERRIDES,
+        market_codes=raw.CODES,
+        prefix=raw.PREFIX,
+    )
+    return tables
+
+
+def _swings_of_favorites(t: Tables) -> DataFrame:
+    """The published views, joined in SQL."""
+    views.publish_views(t)
+    return t.spark.sql(
+        """SELECT f.game_id, f.favorite_team, f.favorite_prob, v.price_swing, p.market_ticker
+           FROM favorite_summary f
+           JOIN game_volatility v ON v.game_id = f.game_id
+           JOIN pregame_prices p ON p.game_id = f.game_id AND p.rn = 1
+           WHERE f.favorite_prob >= :floor AND f.favorite_won = 1""",
+        args={"floor": 0.5},
+    )
+
+
 def _csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tables written as CSV and loaded again, seen through sums over every table."""
     tables = relations(spark, sf_dir)
@@ -122,8 +149,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "game_volatility": _on_tables(views.game_volatility),
     "favorite_summary": _on_tables(views.favorite_summary),
     "first_play_wp": _on_tables(views.first_play_wp),
+    "published_views": _on_tables(_swings_of_favorites),
     # Reports
     "market_bias": _on_tables(reports.market_bias),
+    "market_bias_from_facts": _on_tables(lambda t: reports.market_bias(views.with_facts(t))),
     "market_swings": _on_tables(reports.market_swings),
     "adversity_performance": _on_tables(reports.adversity_performance),
     "accuracy_by_week": _on_tables(reports.accuracy_by_week),
@@ -153,6 +182,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "append_dedup_markets": _on_tables(lambda t: ingest.append_markets(_known(t), t.markets)),
     "append_dedup_prices": _on_tables(_appended_prices),
     "failed_games_report": _failed,
+    "build_tables": lambda spark, d: _whole_ingest(spark, d).prices,
     "load_tables": _csv_round_trip,
     "check_keys": _on_tables(quality.check_keys),
     "key_violations": _on_tables(lambda t: quality.key_violations(t.plays, ["game_id", "down"])),

@@ -49,30 +49,37 @@ def _market_code(code: str) -> str:
     return f"CASE {code} WHEN 'T03' THEN 'X03' WHEN 'T11' THEN 'X11' ELSE {code} END"
 
 
-def markets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Market lists landed as JSON files, one line per event."""
+def _event_ticker() -> str:
     home, away = rel.GAME["home_team"], rel.GAME["away_team"]
     own, market = f"concat({away}, {home})", f"concat({_market_code(away)}, {_market_code(home)})"
     day = f"date_add({rel.GAME['game_date']}, cast(user_id % 2 as int))"
-    listed = (
-        f"concat('{PREFIX}', upper(date_format({day}, 'yyMMMdd')), if(user_id % 4 < 2, {own}, {market}))"
+    return (
+        "if(user_id = 7, 'EV-SPECIAL',"
+        f" concat('{PREFIX}', upper(date_format({day}, 'yyMMMdd')), if(user_id % 4 < 2, {own}, {market})))"
     )
-    target = rel.MARKET["target_team"]
+
+
+# Ticker of the winner market of a user's game, as the landed lists name it.
+WINNER_TICKER = f"concat({_event_ticker()}, '-', {_market_code(rel.MARKET['target_team'])})"
+
+CLOSE_TIME = "concat('2024-01-', 10 + user_id % 10, 'T06:00:00Z')"
+
+
+def markets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Market lists landed as JSON files, one line per event."""
     named = rel.users(spark, sf_dir).filter(rel.HAS_MARKET).selectExpr(
         "user_id",
-        f"if(user_id = 7, 'EV-SPECIAL', {listed}) AS event_ticker",
-        f"{home} AS home",
-        f"{_market_code(target)} AS winner",
+        f"{_event_ticker()} AS event_ticker",
+        f"{WINNER_TICKER} AS winner",
+        f"{rel.GAME['home_team']} AS home",
         f"{CLOSE_TIME} AS close_time",
     )
-    spread = (
-        "named_struct('ticker', concat(event_ticker, '-S'), 'title', concat(home, ' WIN spread'),"
-        " 'close_time', close_time)"
-    )
-    winner = (
-        "named_struct('ticker', concat(event_ticker, '-', winner), 'title', concat(home, ' Win'),"
-        " 'close_time', close_time)"
-    )
+
+    def market(ticker: str, title: str) -> str:
+        return f"named_struct('ticker', {ticker}, 'title', {title}, 'close_time', close_time)"
+
+    spread = market("concat(event_ticker, '-S')", "concat(home, ' WIN spread')")
+    winner = market("winner", "concat(home, ' Win')")
     listing = (
         f"CASE user_id % 20 WHEN 6 THEN slice(array({spread}), 1, 0) WHEN 4 THEN array({spread})"
         f" ELSE array({spread}, {winner}) END"
@@ -85,10 +92,9 @@ def markets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return storage.read_landed_markets(spark, folder)
 
 
-CLOSE_TIME = "concat('2024-01-', 10 + user_id % 10, 'T06:00:00Z')"
-
-
-def candles(spark: SparkSession, sf_dir: str) -> DataFrame:
+def candles(
+    spark: SparkSession, sf_dir: str, ticker: str = rel.MARKET["market_ticker"]
+) -> DataFrame:
     """Landed candle lists, pages of each market's candles."""
     prices = ", ".join(
         f"'{name}', cast(nullif({rel.PRICE[f'kalshi_{name}']}, 0D) as string)"
@@ -104,7 +110,7 @@ def candles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         rel.candle_events(spark, sf_dir)
         .selectExpr(
-            f"{rel.MARKET['market_ticker']} AS market_ticker",
+            f"{ticker} AS market_ticker",
             "event_id div 500 AS page",
             f"{candle} AS candle",
         )

@@ -11,6 +11,7 @@ from fourthtick.functions.rounding import exact, round_half_up
 from fourthtick.functions.times import EASTERN, utc_to_wall, wall_to_utc
 from fourthtick.operators.asof import asof_backward, within_interval
 from fourthtick.operators.combine import side_by_side
+from fourthtick.operators.ranking import rank_by_time
 from fourthtick.plans.views import (
     TRADED,
     finished_games,
@@ -256,44 +257,36 @@ def team_market_history(t: Tables, team: str, limit: int = 500) -> DataFrame:
     )
 
 
+# Up to this rank Spark cuts ranked rows before a shuffle (its default for
+# spark.sql.optimizer.windowGroupLimitThreshold).
+RANK_CUT = 1000
+
+
 def early_hype_fade(t: Tables, min_price_drop: float = 0.3, window_size: int = 5) -> DataFrame:
     """Markets whose mean price fell from their first to their last candles.
 
-    The first and last candles come from two ranked scans. ``rank <= n`` lets
-    Spark cut every map task's output to n rows per market before the shuffle,
-    where one window over all candles would move every row. Prices are compared
-    with the threshold as decimals, so the result cannot hinge on float noise.
+    Prices are compared with the threshold as decimals, so the result cannot
+    hinge on float noise.
     """
     traded = t.prices.filter(TRADED).select(
         "market_ticker", "datetime_utc", "kalshi_close", "kalshi_volume"
     )
-
-    def edge(order: Column) -> DataFrame:
-        rank = F.row_number().over(Window.partitionBy("market_ticker").orderBy(order))
-        return (
-            traded.withColumn("rank", rank).filter(F.col("rank") <= window_size)
-        ).groupBy("market_ticker")
-
     totals = (
         traded.groupBy("market_ticker")
         .agg(F.count("*").alias("num_candles"), F.sum("kalshi_volume").alias("total_volume"))
         .filter(F.col("num_candles") >= 2 * window_size)
     )
-    first = edge(F.asc("datetime_utc")).agg(
-        F.coalesce(F.sum("kalshi_volume"), F.lit(0)).alias("first_window_volume"),
-        F.avg("kalshi_close").alias("early"),
-    )
-    last = edge(F.desc("datetime_utc")).agg(F.avg("kalshi_close").alias("late"))
-    share = F.col("first_window_volume") / F.nullif(F.col("total_volume"), F.lit(0))
+    edges = _cut_edges if window_size <= RANK_CUT else _ranked_edges
+    first_volume = F.coalesce("first_window_volume", F.lit(0))
+    share = first_volume / F.nullif(F.col("total_volume"), F.lit(0))
     return (
-        totals.join(first, "market_ticker")
-        .join(last, "market_ticker")
+        totals.join(edges(traded, totals, window_size), "market_ticker")
         .filter(exact(F.col("early") - F.col("late")) >= exact(F.lit(min_price_drop)))
         .join(t.markets.select("market_ticker", "target_team"), "market_ticker")
         .select(
             "market_ticker",
             "target_team",
-            "first_window_volume",
+            first_volume.alias("first_window_volume"),
             "total_volume",
             round_half_up(share, 3).alias("early_volume_share"),
             round_half_up(F.col("early"), 3).alias("early_price"),
@@ -305,6 +298,39 @@ def early_hype_fade(t: Tables, min_price_drop: float = 0.3, window_size: int = 5
     )
 
 
+def _cut_edges(traded: DataFrame, totals: DataFrame, size: int) -> DataFrame:
+    """Volume and mean price of each market's first, mean price of its last candles.
+
+    ``rank <= size`` lets Spark cut every map task's output to ``size`` rows per
+    market before the shuffle, where one window over all candles would move
+    every row.
+    """
+
+    def edge(order: Column):
+        rank = F.row_number().over(Window.partitionBy("market_ticker").orderBy(order))
+        kept = traded.withColumn("rank", rank).filter(F.col("rank") <= size)
+        return kept.groupBy("market_ticker")
+
+    first = edge(F.asc("datetime_utc")).agg(
+        F.sum("kalshi_volume").alias("first_window_volume"), F.avg("kalshi_close").alias("early")
+    )
+    last = edge(F.desc("datetime_utc")).agg(F.avg("kalshi_close").alias("late"))
+    return first.join(last, "market_ticker")
+
+
+def _ranked_edges(traded: DataFrame, totals: DataFrame, size: int) -> DataFrame:
+    """The same for windows too long to be cut before the shuffle, over sliced ranks."""
+    counts = totals.select("market_ticker", "num_candles")
+    ranked = rank_by_time(traded, "market_ticker", "datetime_utc", "rank", lookup=counts)
+    first = F.col("rank") <= size
+    last = F.col("rank") > F.col("num_candles") - size
+    return ranked.groupBy("market_ticker").agg(
+        F.sum(F.when(first, F.col("kalshi_volume"))).alias("first_window_volume"),
+        F.avg(F.when(first, F.col("kalshi_close"))).alias("early"),
+        F.avg(F.when(last, F.col("kalshi_close"))).alias("late"),
+    )
+
+
 def game_coverage(t: Tables) -> DataFrame:
     """How many games have a market, plays, both or no market.
 

@@ -35,7 +35,7 @@ found AS (
     GROUP BY t.game_id, t.u
 ),
 winners AS (
-    SELECT f.game_id, f.event_ticker, f.event_ticker || '-' || l.code AS market_ticker,
+    SELECT DISTINCT f.game_id, f.event_ticker, f.event_ticker || '-' || l.code AS market_ticker,
            l.home || ' Win' AS market_title,
            '2024-01-' || (10 + l.u % 10) || 'T06:00:00Z' AS close_time,
            CASE l.code WHEN 'X03' THEN 'T03' WHEN 'X11' THEN 'T11' ELSE l.code END AS target_team
@@ -90,6 +90,19 @@ FROM tries t LEFT JOIN found f USING (game_id)
 WHERE t.game_id NOT IN (SELECT game_id FROM winners)""",
         TICKERS,
     ),
+    "build_tables": query(
+        """SELECT l.event_ticker || '-' || l.code AS market_ticker,
+    date_trunc('second', c.ts) - INTERVAL 5 HOUR AS datetime_utc,
+    o AS kalshi_open, greatest(o, c) AS kalshi_high, least(o, c) AS kalshi_low, c AS kalshi_close,
+    (e % 50)::INTEGER AS kalshi_volume
+FROM raw_candles c JOIN landed l USING (u)
+WHERE l.event_ticker || '-' || l.code IN (
+        -- Only games of the play-by-play are resolved.
+        SELECT market_ticker FROM winners WHERE game_id IN (SELECT game_id FROM plays))
+  AND date_trunc('second', c.ts) BETWEEN make_timestamp(2024, 1, 10 + u % 10, 2, 0, 0)
+                                     AND make_timestamp(2024, 1, 10 + u % 10, 6, 0, 0)""",
+        TICKERS,
+    ),
     "load_tables": query(
         """SELECT
     (SELECT count(team_name) FROM teams) AS teams,

@@ -154,6 +154,13 @@ ORACLES = {
     ),
     "first_play_wp": query("SELECT * FROM kickoffs"),
     "market_bias": query("FROM bias ORDER BY avg_signed_error DESC, target_team", BIAS),
+    "market_bias_from_facts": query("FROM bias", BIAS),
+    "published_views": query(
+        "SELECT p.game_id, p.target_team AS favorite_team, p.price AS favorite_prob,"
+        " s.price_swing, r.market_ticker"
+        " FROM played p JOIN swings s USING (game_id) JOIN ranked r USING (game_id)"
+        " WHERE r.rn = 1 AND p.price >= 0.5 AND p.won = 1"
+    ),
     "market_swings": query("FROM top_swings", SWINGS),
     "adversity_performance": query("FROM adversity ORDER BY 1", ADVERSITY),
     "accuracy_by_week": query("FROM weeks ORDER BY week", WEEKS),

@@ -2,6 +2,7 @@ from datetime import date, datetime, timedelta
 
 import pytest
 from build import at, game, market, play, price, rows, tables
+from fixtures.relations import relations
 from fourthtick.functions.rounding import percent, round_half_up
 from fourthtick.operators.combine import side_by_side, sort_any
 from fourthtick.plans import details, reports
@@ -158,6 +159,13 @@ def test_fade_without_volume_has_no_share(spark):
     assert rows(reports.early_hype_fade(t, 0.3, 1).select("early_volume_share")) == [(None,)]
 
 
+def test_fade_over_long_windows_equals_the_short_way(spark, monkeypatch):
+    t = relations(spark, "/root/testdata/sf0.001")
+    short = rows(reports.early_hype_fade(t, -1.0, 5))
+    monkeypatch.setattr(reports, "RANK_CUT", 4)
+    assert rows(reports.early_hype_fade(t, -1.0, 5)) == short and len(short) == 14
+
+
 def test_history_is_newest_first_and_upper_cases_the_team(spark):
     t = fading(spark, [0.1, 0.2, 0.3])
     assert [r.kalshi_close for r in reports.team_market_history(t, "h", limit=2).collect()] == [
