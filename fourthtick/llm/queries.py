@@ -10,6 +10,20 @@ from pyspark.sql import functions as F
 from fourthtick.llm.common import read_table
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fourthtick.llm.language import identify_languages
+
+    return identify_languages(read_table(spark, sf_dir, "documents"))
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fourthtick.llm.quality import classify_quality
+
+    return classify_quality(
+        read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    )
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -40,6 +54,8 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_language_id": op3_language_id,
+    "op4_quality_classifier": op4_quality_classifier,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op8_sharding": op8_sharding,
 }
