@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from fourthtick.llm.common import read_table
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fourthtick.llm.fingerprints import fingerprint_edits
+
+    return fingerprint_edits(read_table(spark, sf_dir, "documents"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fourthtick.llm.language import identify_languages
 
@@ -71,6 +77,7 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_fingerprints": op1_fingerprints,
     "op3_language_id": op3_language_id,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_decontamination": op5_decontamination,
