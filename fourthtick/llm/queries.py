@@ -16,6 +16,19 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_edits(read_table(spark, sf_dir, "documents"))
 
 
+def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fourthtick.llm.secrets import scan_secrets, spans_text
+
+    found = scan_secrets(read_table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        *[F.size(kind).cast("long").alias(f"n_{kind}") for kind in ("assign", "access", "hex")],
+        F.sha2(spans_text("assign", "access", "hex").cast("binary"), 256).alias("base_sha256"),
+        spans_text("assign", "access", "hex", "random").alias("spans"),
+        F.size("random").cast("long").alias("n_random"),
+    )
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fourthtick.llm.language import identify_languages
 
@@ -78,6 +91,7 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
+    "op2_secret_scans": op2_secret_scans,
     "op3_language_id": op3_language_id,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_decontamination": op5_decontamination,
