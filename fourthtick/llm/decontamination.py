@@ -217,7 +217,8 @@ def search(index: DataFrame, windows: DataFrame, slop: int | None = None) -> Dat
     list; ``unnamed_items`` tells where that happened.
     """
     terms = index.where("word IS NOT NULL")
-    wanted = windows.select(F.explode("words").alias("word")).distinct()
+    # Staged, so that its size is known when the join with the whole index is planned.
+    wanted = stage(windows.select(F.explode("words").alias("word")).distinct(), "test-words")
     frequency = (
         terms.select("word", "n").join(wanted, "word").groupBy("word").agg(F.sum("n").alias("df"))
     )
@@ -235,18 +236,19 @@ def search(index: DataFrame, windows: DataFrame, slop: int | None = None) -> Dat
         .select("words", "rarest")
         .distinct()
     )
-    windows = windows.join(ranked, "words").select("item_id", "words", "rarest")
+    windows = stage(
+        windows.join(ranked, "words").select("item_id", "words", "rarest"), "live-windows"
+    )
     routed = stage(
         terms.select("segment", F.col("word").alias("rarest"))
         .join(windows, "rarest")
         .select("segment", "item_id", "words"),
         "routed",
     )
-    needed = windows.select(F.explode("words").alias("word")).distinct()
+    needed = stage(windows.select(F.explode("words").alias("word")).distinct(), "live-words")
     columns = ["segment", "word", "gaps", "doc_id", "base", "n_words"]
     lists = (
         terms.join(needed, "word", "left_semi")
-        .join(routed.select("segment").distinct(), "segment", "left_semi")
         .select(columns)
         .unionByName(index.where("word IS NULL").select(columns))
     )
