@@ -95,6 +95,12 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(read_table(spark, sf_dir, "pages"))
 
 
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fourthtick.llm.jaccard import jaccard_components
+
+    return jaccard_components(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_secret_scans": op2_secret_scans,
@@ -104,4 +110,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_best_fit_packing": op6_best_fit_packing,
     "op8_sharding": op8_sharding,
     "op9_html_extraction": op9_html_extraction,
+    "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
