@@ -69,6 +69,13 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fourthtick.llm.substrings import remove_repeats
+
+    rows = remove_repeats(read_table(spark, sf_dir, "documents"), digest=True)
+    return rows.withColumnRenamed("kept", "kept_sha256")
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fourthtick.llm.sharding import shard_uniformly
 
@@ -108,6 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_classifier": op4_quality_classifier,
     "op5_decontamination": op5_decontamination,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op8_sharding": op8_sharding,
     "op9_html_extraction": op9_html_extraction,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
