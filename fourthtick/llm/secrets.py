@@ -28,7 +28,7 @@ KINDS = ["assign", "access", "hex", "random"]
 RUN = r"[A-Za-z0-9+/_=-]"
 RUN_LEAST = 20
 #: Nats per character by which a run has to look more random than like an identifier.
-MARGIN = 0.7
+MARGIN = 2.2
 #: Bounds of the fit: documents with secrets, and documents for identifiers.
 SAMPLE_DOCUMENTS = 2000
 
@@ -55,10 +55,11 @@ def _split(text: Column, pattern: str) -> Column:
     )
 
 
-def _spans(text: Column, pattern: str, kind: int, keep) -> Column:
+def _spans(text: Column, pattern: str, kind: int, keep, only_if: Column | None = None) -> Column:
     """Matches of ``pattern`` (with one group, the value) that ``keep(match, value)``.
 
-    Positions are in code points. Texts without any match skip the walk.
+    Positions are in code points. Texts without any match skip the walk, and those
+    that fail the cheap necessary condition ``only_if`` the pattern too.
     """
     walked = F.aggregate(
         _split(text, pattern),
@@ -88,15 +89,32 @@ def _spans(text: Column, pattern: str, kind: int, keep) -> Column:
         ),
         lambda seen: seen["spans"],
     )
-    return F.when(text.rlike(pattern), walked).otherwise(F.array().cast(SPAN))
+    has = text.rlike(pattern) if only_if is None else only_if & text.rlike(pattern)
+    return F.when(has, walked).otherwise(F.array().cast(SPAN))
+
+
+def _may_assign(text: Column) -> Column:
+    return text.contains("=") | text.contains(":")
 
 
 def base_spans(text: str = "text") -> list[Column]:
     """Spans of the three fixed kinds: assign, access, hex."""
     t = F.col(text)
     return [
-        _spans(t, ASSIGN, 0, lambda m, v: (m != "") & (F.char_length(v) >= ASSIGN_LEAST)),
-        _spans(t, f"({ACCESS[:-1]}{{{ACCESS_LEAST - 4},}})", 1, lambda m, v: m != ""),
+        _spans(
+            t,
+            ASSIGN,
+            0,
+            lambda m, v: (m != "") & (F.char_length(v) >= ASSIGN_LEAST),
+            _may_assign(t),
+        ),
+        _spans(
+            t,
+            f"({ACCESS[:-1]}{{{ACCESS_LEAST - 4},}})",
+            1,
+            lambda m, v: m != "",
+            t.contains("AKIA"),
+        ),
         _spans(t, f"({HEX[:-1]}{{{HEX_LEAST},}})", 2, lambda m, v: m != ""),
     ]
 
@@ -104,10 +122,16 @@ def base_spans(text: str = "text") -> list[Column]:
 def with_spans(docs: DataFrame, columns: list[str]) -> DataFrame:
     """``columns`` with base spans (``assign``, ``access``, ``hex``) and the other long ``runs``.
 
-    A run touching a base span is left to it.
+    Only runs with a digit are taken. A run touching a base span is left to it.
     """
     assign, access, hexes = base_spans()
-    runs = _spans(F.col("text"), f"({RUN}{{{RUN_LEAST},}})", 3, lambda m, v: m != "")
+    runs = _spans(
+        F.col("text"),
+        f"({RUN}{{{RUN_LEAST},}})",
+        3,
+        lambda m, v: (m != "") & v.rlike("[0-9]"),
+        F.col("text").rlike("[0-9]"),
+    )
     rows = docs.select(
         *columns, assign.alias("assign"), access.alias("access"), hexes.alias("hex"), runs.alias("runs")
     ).withColumn("base", F.concat("assign", "access", "hex"))
@@ -145,14 +169,18 @@ def fit_ratio(docs: DataFrame, sample_documents: int = SAMPLE_DOCUMENTS) -> list
     """
     key = F.xxhash64("doc_id", "text")
     texts = docs.select("doc_id", "text").where("text IS NOT NULL")
+    text = F.col("text")
     marked = texts.where(
-        F.col("text").rlike(f"{ASSIGN[:-2]}{{{ASSIGN_LEAST},}})")
-        | F.col("text").rlike(f"{ACCESS[:-1]}{{{ACCESS_LEAST - 4},}}")
-        | F.col("text").rlike(f"{HEX[:-1]}{{{HEX_LEAST},}}")
+        (_may_assign(text) & text.rlike(f"{ASSIGN[:-2]}{{{ASSIGN_LEAST},}})"))
+        | text.contains("AKIA")
+        | text.rlike(f"{HEX[:-1]}{{{HEX_LEAST},}}")
     )
 
     def sample(rows: DataFrame) -> DataFrame:
-        return rows.withColumn("_key", key).orderBy("_key", "doc_id").limit(sample_documents)
+        """Rows up to the n-th smallest key: only keys are sorted, no text is moved."""
+        keys = rows.select(key.alias("_key")).orderBy("_key").limit(sample_documents)
+        cut = keys.agg(F.max("_key").alias("cut")).first()["cut"]
+        return rows.where(key <= F.lit(cut))
 
     secret = with_spans(sample(marked), ["doc_id"]).select(
         F.lit(1).alias("label"), F.explode(F.concat("assign", "access", "hex")).alias("s")
@@ -180,8 +208,9 @@ def fit_ratio(docs: DataFrame, sample_documents: int = SAMPLE_DOCUMENTS) -> list
                 n[r["step"] // STATES][r["step"] % STATES] += r["n"]
         tables.append([[math.log(x / sum(row)) for x in row] for row in n])
     ordinary_log, random_log = tables
+    # Signs join the words of paths and identifiers as they join parts of keys: they tell nothing.
     return [
-        random_log[a][b] - ordinary_log[a][b] if b <= SIGN else 0.0
+        random_log[a][b] - ordinary_log[a][b] if a != SIGN and b < SIGN else 0.0
         for a in range(STATES)
         for b in range(STATES)
     ]
@@ -208,9 +237,7 @@ def scan_secrets(
         total = F.aggregate(_steps(value), F.lit(0.0), lambda acc, s: acc + F.get(table, s))
         return total / F.char_length(value)
 
-    random = F.filter(
-        "runs", lambda r: r["value"].rlike("[0-9]") & (score(r["value"]) >= margin)
-    )
+    random = F.filter("runs", lambda r: score(r["value"]) >= margin)
     rows = rows.withColumn(
         "random", F.when(F.size("runs") > 0, random).otherwise(F.array().cast(SPAN))
     )
