@@ -23,3 +23,12 @@ def crc_bucket(doc_id: str | Column = "doc_id", buckets: int = 5) -> Column:
 
 def partitions_of(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: A side with at most so many rows of a few numbers each is broadcast.
+BROADCAST_ROWS = 500_000
+
+
+def bounded(rows: DataFrame) -> DataFrame:
+    """Staged ``rows`` of a few numbers each, marked for broadcast if a count proves them few."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows

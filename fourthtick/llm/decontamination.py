@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fourthtick.llm.common import documents_of
+from fourthtick.llm.common import bounded, documents_of
 from fourthtick.sources.storage import stage
 
 WINDOW_WORDS = 10
@@ -159,7 +159,7 @@ RESULT = (
 
 def _search_segment(slop: int | None):
     def search(rows: pd.DataFrame, windows: pd.DataFrame) -> pd.DataFrame:
-        is_doc = rows["word"].isna()
+        is_doc = rows["is_doc"]
         docs = rows[is_doc].sort_values("base", kind="stable")
         base = docs["base"].to_numpy(np.int64)
         n_words = docs["n_words"].to_numpy(np.int64)
@@ -177,7 +177,7 @@ def _search_segment(slop: int | None):
                 where.setdefault(d, set()).add(item)
 
         for item, words in zip(windows["item_id"], windows["words"], strict=True):
-            item = None if pd.isna(item) else int(item)
+            item = None if item is None else int(item)
             lists = [(i, postings.get(w)) for i, w in enumerate(words)]
             if any(p is None for _, p in lists):
                 continue
@@ -197,7 +197,7 @@ def _search_segment(slop: int | None):
 
         return pd.DataFrame(
             {
-                "doc_id": docs["doc_id"].astype("Int64").to_numpy(),
+                "doc_id": docs["doc_id"].astype("Int64").mask(docs["unnamed"]).array,
                 "n_words": n_words,
                 "n_hit": n_hit,
                 "items": named(exact),
@@ -242,15 +242,23 @@ def search(index: DataFrame, windows: DataFrame, slop: int | None = None) -> Dat
     routed = stage(
         terms.select("segment", F.col("word").alias("rarest"))
         .join(windows, "rarest")
-        .select("segment", "item_id", "words"),
+        .select("segment", F.col("item_id").cast("string").alias("item_id"), "words"),
         "routed",
     )
     needed = stage(windows.select(F.explode("words").alias("word")).distinct(), "live-words")
-    columns = ["segment", "word", "gaps", "doc_id", "base", "n_words"]
+    # No nulls among the numbers: pandas would turn them into floats and lose large ids.
+    columns = [
+        "segment",
+        "word",
+        "gaps",
+        F.col("word").isNull().alias("is_doc"),
+        (F.col("word").isNull() & F.col("doc_id").isNull()).alias("unnamed"),
+        *[F.coalesce(c, F.lit(0)).alias(c) for c in ("doc_id", "base", "n_words")],
+    ]
     lists = (
         terms.join(needed, "word", "left_semi")
-        .select(columns)
-        .unionByName(index.where("word IS NULL").select(columns))
+        .select(*columns)
+        .unionByName(index.where("word IS NULL").select(*columns))
     )
     return (
         lists.groupBy("segment")
@@ -277,3 +285,11 @@ def find_contamination(
     result is empty. Other columns are not read.
     """
     return search(build_index(docs, gap=length), windows_of(items, length), slop)
+
+
+def keep_uncontaminated(docs: DataFrame, items: DataFrame, length: int = WINDOW_WORDS) -> DataFrame:
+    """The documents, with their own columns, in which no test window occurs."""
+    key = F.xxhash64("doc_id", "text")
+    found = find_contamination(docs.select(key.alias("doc_id"), "text"), items, length)
+    hit = stage(found.where("n_hit > 0").select(F.col("doc_id").alias("_hit")).distinct(), "hit")
+    return docs.join(bounded(hit), key == F.col("_hit"), "left_anti")

@@ -197,3 +197,20 @@ def identify_languages(docs: DataFrame) -> DataFrame:
     return predict_language(
         docs.select("doc_id", "text", held_out.alias("held_out")), model, ["doc_id", "held_out"]
     )
+
+
+def keep_identified(docs: DataFrame, least_score: float = 0.4) -> DataFrame:
+    """The documents, with their own columns, whose language the model can tell.
+
+    Texts that are null or have no letter go, and so do those whose likeliest
+    language has a probability under ``least_score``. If no document has a language
+    to learn from, nothing can be told and only texts without a letter go.
+    """
+    model = fit_language_model(docs.where(crc_bucket() != 0))
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    if not model.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    rows = docs.select(F.struct(*names).alias("_row"), "text")
+    told = predict_language(rows, model, ["_row"])
+    told = told.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least_score))
+    return told.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])

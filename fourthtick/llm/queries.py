@@ -105,7 +105,8 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fourthtick.llm.jaccard import jaccard_components
 
-    return jaccard_components(read_table(spark, sf_dir, "documents"))
+    found = jaccard_components(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
