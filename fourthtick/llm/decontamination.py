@@ -137,11 +137,13 @@ def phrase_positions(lists: list[tuple[int, np.ndarray]]) -> np.ndarray:
     return starts
 
 
-def near_positions(lists: list[tuple[int, np.ndarray]], slop: int) -> np.ndarray:
-    """Positions of the rarest word that have every other word at most ``slop`` away
-    from where the phrase would have it."""
-    (first, anchors), *others = sorted(lists, key=lambda x: len(x[1]))
-    for offset, positions in others:
+def near_positions(
+    lists: list[tuple[int, np.ndarray]], first: int, slop: int
+) -> np.ndarray:
+    """Positions of the window's word number ``first`` that have every other word at most
+    ``slop`` away from where the phrase would have it."""
+    anchors = lists[first][1]
+    for offset, positions in sorted(lists, key=lambda x: len(x[1])):
         wanted = anchors + (offset - first)
         after = np.searchsorted(positions, wanted - slop)
         reached = positions[np.minimum(after, len(positions) - 1)]
@@ -176,7 +178,9 @@ def _search_segment(slop: int | None):
             for d in np.unique(np.searchsorted(base, positions, side="right") - 1).tolist():
                 where.setdefault(d, set()).add(item)
 
-        for item, words in zip(windows["item_id"], windows["words"], strict=True):
+        for item, words, rarest in zip(
+            windows["item_id"], windows["words"], windows["rarest"], strict=True
+        ):
             item = None if item is None else int(item)
             lists = [(i, postings.get(w)) for i, w in enumerate(words)]
             if any(p is None for _, p in lists):
@@ -186,8 +190,10 @@ def _search_segment(slop: int | None):
                 np.add.at(hit, starts, 1)
                 np.add.at(hit, starts + len(words), -1)
                 note(exact, starts, item)
-            if slop is not None and len(anchors := near_positions(lists, slop)):
-                note(near, anchors, item)
+            if slop is not None:
+                first = next(i for i, w in enumerate(words) if w == rarest)
+                if len(anchors := near_positions(lists, first, slop)):
+                    note(near, anchors, item)
         # Words covered up to each position; documents end before their gap.
         covered = np.concatenate([[0], np.cumsum(np.cumsum(hit) > 0)])
         n_hit = covered[base + n_words] - covered[base]
@@ -242,7 +248,7 @@ def search(index: DataFrame, windows: DataFrame, slop: int | None = None) -> Dat
     routed = stage(
         terms.select("segment", F.col("word").alias("rarest"))
         .join(windows, "rarest")
-        .select("segment", F.col("item_id").cast("string").alias("item_id"), "words"),
+        .select("segment", F.col("item_id").cast("string").alias("item_id"), "words", "rarest"),
         "routed",
     )
     needed = stage(windows.select(F.explode("words").alias("word")).distinct(), "live-words")

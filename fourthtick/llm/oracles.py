@@ -1,3 +1,104 @@
-"""DuckDB statements for the queries that SQL can express."""
+"""DuckDB statements for the queries that SQL can express.
 
-ORACLES: dict[str, str] = {}
+Models, tokenizers, hash sketches and random draws cannot be written in SQL; those
+queries are tested against brute force in tests/llm.
+"""
+
+from __future__ import annotations
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+DECONTAMINATION = rf"""
+WITH doc AS (
+    SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM documents
+), item AS (
+    SELECT item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM benchmark
+), item_window AS (
+    SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(w[i:i + 9], ' ') AS phrase
+    FROM (SELECT item_id, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS i
+          FROM item WHERE len(w) > 0)
+), lengths AS (SELECT DISTINCT n FROM item_window),
+doc_window AS (
+    SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS phrase
+    FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i
+          FROM doc JOIN lengths ON len(w) >= n)
+), found AS (
+    SELECT doc_id, i, n, item_id FROM doc_window JOIN item_window USING (n, phrase)
+), hit AS (
+    SELECT doc_id, count(DISTINCT p) AS n_hit
+    FROM (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS p FROM found) GROUP BY doc_id
+), items AS (
+    SELECT doc_id, count(*) AS n_items, string_agg(name, ',' ORDER BY name) AS names
+    FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS name FROM found) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
+       coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+SUBSTRINGS = """
+WITH doc AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+piece AS (
+    SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS g
+    FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 49)) AS i
+          FROM doc WHERE length(h) >= 100)
+), first_seen AS (SELECT g, min(doc_id) AS least_id FROM piece GROUP BY g),
+hit AS (
+    SELECT doc_id, i FROM piece JOIN first_seen USING (g) WHERE doc_id > least_id
+), marked AS (
+    SELECT doc_id, i,
+           CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 50 THEN 0 ELSE 1 END AS opens
+    FROM hit
+), numbered AS (
+    SELECT doc_id, i, sum(opens) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM marked
+), run AS (
+    SELECT doc_id, run, min(i) AS lo, max(i) + 50 AS hi FROM numbered GROUP BY doc_id, run
+), placed AS (
+    SELECT doc_id, lo, hi,
+           coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS before
+    FROM run
+), cut AS (
+    SELECT doc_id, count(*) AS n_spans, sum(hi - lo) AS n_removed, max(hi) AS last_hi,
+           string_agg(substr(h, 2 * before + 1, 2 * (lo - before)), '' ORDER BY lo) AS kept
+    FROM placed JOIN doc USING (doc_id) GROUP BY doc_id
+)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes,
+       CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(CASE WHEN n_spans IS NULL THEN h
+                         ELSE kept || substr(h, 2 * last_hi + 1) END)) AS kept_sha256
+FROM doc LEFT JOIN cut USING (doc_id)
+"""
+
+JACCARD = rf"""
+WITH RECURSIVE doc AS (
+    SELECT doc_id, regexp_extract_all({_LOWER}, '[^ \t\n\x0B\f\r]+') AS w FROM documents
+), shingle AS (
+    SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s
+    FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS i
+          FROM doc WHERE len(w) > 0)
+), sizes AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
+shared AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k
+    FROM shingle a JOIN shingle b ON a.s = b.s AND a.doc_id <> b.doc_id
+    GROUP BY a.doc_id, b.doc_id
+), link AS (
+    SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+    WHERE 100 * k >= 75 * (x.n + y.n - k)
+), reach AS (
+    SELECT doc_id AS a, doc_id AS b FROM doc
+    UNION
+    SELECT reach.a, link.b FROM reach JOIN link ON link.a = reach.b
+)
+SELECT doc.doc_id, coalesce(n, 0) AS n_shingles, min(reach.b) AS component_id
+FROM doc LEFT JOIN sizes USING (doc_id) JOIN reach ON reach.a = doc.doc_id
+GROUP BY doc.doc_id, n
+"""
+
+ORACLES: dict[str, str] = {
+    "op5_decontamination": DECONTAMINATION,
+    "op7_suffix_array_dedup": SUBSTRINGS,
+    "op10_ngram_jaccard_join": JACCARD,
+}

@@ -46,9 +46,8 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fourthtick.llm.decontamination import find_contamination, items_digest
 
-    found = find_contamination(
-        read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), slop=2
-    )
+    docs, items = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")
+    found = find_contamination(docs, items)
     return found.select(
         "doc_id",
         "n_words",
@@ -56,7 +55,6 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.size("items") + F.col("unnamed_items").cast("int")).cast("long").alias("n_items"),
         items_digest("items").alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
-        F.size("near_items").cast("long").alias("n_near_items"),
     )
 
 
@@ -106,7 +104,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fourthtick.llm.jaccard import jaccard_components
 
     found = jaccard_components(read_table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_shingles", "component_id", "n_links")
+    return found.select("doc_id", "n_shingles", "component_id")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
