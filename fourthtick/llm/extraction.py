@@ -168,7 +168,8 @@ def style_tree(pages: DataFrame) -> DataFrame:
 
     A text on k of the m pages that have its style has the entropy log k / log m
     there; the importance of a style is one minus the mean entropy of what it
-    holds, times its weight, and that of an inner node the mean over its branch.
+    holds, times its weight. An inner node is as important as the best of its
+    branch, so it is low only if everything below it is.
     """
     texts = (
         pages.select(host_of().alias("host"), "html")
@@ -213,7 +214,7 @@ def style_tree(pages: DataFrame) -> DataFrame:
         .groupBy("host", "path")
         .agg(
             F.max("m").alias("pages"),
-            (F.sum("important") / F.sum("weight")).alias("importance"),
+            F.max(F.col("important") / F.col("weight")).alias("importance"),
         )
     )
 

@@ -28,7 +28,7 @@ KINDS = ["assign", "access", "hex", "random"]
 RUN = r"[A-Za-z0-9+/_=-]"
 RUN_LEAST = 20
 #: Nats per character by which a run has to look more random than like an identifier.
-MARGIN = 2.2
+MARGIN = 1.0
 #: Bounds of the fit: documents with secrets, and documents for identifiers.
 SAMPLE_DOCUMENTS = 2000
 
@@ -157,6 +157,20 @@ def _steps(value: Column) -> Column:
     )
 
 
+def _allow_case(log: list[list[float]]) -> None:
+    """An identifier may capitalise its words: such steps are as likely as in lower case.
+
+    A capital after a small letter or a digit starts a word.
+    """
+    small = {i: ALPHABET.index(c.lower()) for i, c in enumerate(ALPHABET) if c.isupper()}
+    for before in range(SIGN):
+        for after in range(SIGN):
+            like = (small.get(before, before), small.get(after, after))
+            if after in small and before not in small:
+                like = (START, small[after])
+            log[before][after] = max(log[before][after], log[like[0]][like[1]])
+
+
 def fit_ratio(docs: DataFrame, sample_documents: int = SAMPLE_DOCUMENTS) -> list[float]:
     """Log-likelihood ratios, random over identifier, of every (before, character) step.
 
@@ -208,6 +222,7 @@ def fit_ratio(docs: DataFrame, sample_documents: int = SAMPLE_DOCUMENTS) -> list
                 n[r["step"] // STATES][r["step"] % STATES] += r["n"]
         tables.append([[math.log(x / sum(row)) for x in row] for row in n])
     ordinary_log, random_log = tables
+    _allow_case(ordinary_log)
     # Signs join the words of paths and identifiers as they join parts of keys: they tell nothing.
     return [
         random_log[a][b] - ordinary_log[a][b] if a != SIGN and b < SIGN else 0.0

@@ -1,0 +1,98 @@
+import hashlib
+import random
+import re
+
+from conftest import DOCS, PROSE
+
+from fourthtick.llm import decontamination as dec
+
+FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def words(text):
+    return re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (text or "").translate(FOLD))
+
+
+def brute(docs, items):
+    windows = {}
+    for item, text in items:
+        w = words(text)
+        for i in range(max(1, len(w) - 9) if w else 0):
+            windows.setdefault(tuple(w[i : i + 10]), set()).add(item)
+    out = []
+    for doc_id, text in docs:
+        w, hit, found = words(text), set(), set()
+        for n in {len(x) for x in windows}:
+            for i in range(len(w) - n + 1):
+                if ids := windows.get(tuple(w[i : i + n])):
+                    found |= ids
+                    hit.update(range(i, i + n))
+        out.append((doc_id, len(w), len(hit), tuple(sorted(found))))
+    return sorted(out)
+
+
+def found_of(docs, items, **more):
+    return sorted(
+        (r["doc_id"], r["n_words"], r["n_hit"], tuple(r["items"]))
+        for r in dec.find_contamination(docs, items, **more).collect()
+    )
+
+
+def test_matches_brute_force(spark):
+    draw = random.Random(1)
+    vocabulary = [f"w{i}" for i in range(12)] + ["É", "ü", "10", "A"]
+    items = [(i, " ".join(draw.choices(vocabulary, k=draw.choice([0, 1, 3, 9, 10, 11, 30])))) for i in range(25)]
+    docs = []
+    for i in range(150):
+        text = " ".join(draw.choices(vocabulary, k=draw.randrange(60)))
+        if i % 4 == 0:
+            text += "-- " + draw.choice(items)[1].upper() + " ; " + draw.choice(items)[1]
+        docs.append((2**55 + i, text))
+    left = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    right = spark.createDataFrame(items + items[:3], "item_id long, text string")
+    index = dec.build_index(left, segment_words=400)
+    assert index.select("segment").distinct().count() > 4
+    rows = dec.search(index, dec.windows_of(right)).collect()
+    got = sorted((r["doc_id"], r["n_words"], r["n_hit"], tuple(r["items"])) for r in rows)
+    assert got == brute(docs, items)
+
+
+def test_phrases_do_not_cross_documents(spark):
+    half = PROSE.split()
+    docs = spark.createDataFrame(
+        [(1, " ".join(half[:5])), (2, " ".join(half[5:10]))], "doc_id long, text string"
+    ).coalesce(1)
+    items = spark.createDataFrame([(1, " ".join(half[:10]))], "item_id long, text string")
+    assert [r[2] for r in found_of(docs, items)] == [0, 0]
+
+
+def test_proximity(spark):
+    w = PROSE.split()[:10]
+    near = " ".join([*w[:4], "extra", *w[4:]])
+    docs = spark.createDataFrame([(1, near), (2, " ".join(reversed(w)))], "doc_id long, text string")
+    items = spark.createDataFrame([(9, " ".join(w))], "item_id long, text string")
+    rows = {r["doc_id"]: r for r in dec.find_contamination(docs, items, slop=1).collect()}
+    assert rows[1]["items"] == [] and rows[1]["near_items"] == [9]
+    assert rows[2]["near_items"] == []
+
+
+def test_edge_cases(spark, docs, no_docs):
+    items = spark.createDataFrame(
+        [(1, PROSE, "x"), (1, PROSE, "x"), (None, "one", "x"), (3, None, "x"), (4, "", "x")],
+        "item_id long, text string, word string",
+    )
+    rows = dec.find_contamination(docs, items).collect()
+    assert len(rows) == len(DOCS)
+    by_id = {r["doc_id"]: r for r in rows}
+    assert by_id[1]["items"] == [1] and by_id[1]["n_hit"] == by_id[1]["n_words"]
+    assert by_id[7]["n_hit"] == 1 and by_id[7]["unnamed_items"] and by_id[7]["items"] == []
+    assert by_id[4]["n_words"] == 0 and 2**60 + 1 in by_id
+    nothing = items.where("false")
+    assert {r["n_hit"] for r in dec.find_contamination(docs, nothing).collect()} == {0}
+    assert dec.find_contamination(no_docs, items).count() == 0
+    clean = dec.keep_uncontaminated(docs, items.where("item_id = 1"))
+    assert clean.columns == docs.columns
+    assert {1, 2, 3}.isdisjoint({r["doc_id"] for r in clean.collect()})
+    assert clean.where("doc_id = 6").count() == 1
+    digest = spark.range(1).select(dec.items_digest(dec.F.array(dec.F.lit(10), dec.F.lit(9)))).first()[0]
+    assert digest == hashlib.sha256(b"10,9").hexdigest()

@@ -1,0 +1,72 @@
+import hashlib
+import random
+import re
+import string
+
+from conftest import DOCS
+
+from fourthtick.llm import secrets as sec
+from fourthtick.llm.common import read_table
+
+ASSIGN = re.compile(
+    r"(?:[pP][aA][sS][sS][wW](?:[oO][rR])?[dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]"
+    r"|[aA][pP][iI]_?[kK][eE][yY])[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
+)
+
+
+def base_spans(text):
+    found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[1]) >= 8]
+    found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+    found += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
+    return ",".join(f"{sec.KINDS[k]}:{s}:{e}" for s, k, e in sorted(found))
+
+
+def random_text(draw):
+    parts = [
+        "token", "PASSWORD", "api_key", "apikey", "secret", "passwd", "=", ":", '"', "'", " ", "  ",
+        "AKIA", "AKIAB7", "ABCDEF0123456789", "deadbeef" * 4, "0a" * 15, "é", "\U0001f600", "word",
+        "abc", "x.y-z_1", "\n",
+    ]
+    return "".join(draw.choice(parts) for _ in range(draw.randrange(40)))
+
+
+def test_base_spans_match_brute_force(spark):
+    draw = random.Random(5)
+    texts = [random_text(draw) for _ in range(1500)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    ratio = [-9.0] * sec.STATES**2  # nothing looks random
+    found = sec.scan_secrets(docs, ratio=ratio)
+    for r in found.withColumn("s", sec.spans_text("assign", "access", "hex")).collect():
+        assert r["s"] == base_spans(texts[r["doc_id"]]), texts[r["doc_id"]]
+        assert r["random"] == []
+
+
+def test_models_tell_random_strings_from_identifiers(spark):
+    draw = random.Random(3)
+    letters = string.ascii_letters + string.digits
+    words = ["thering", "andation", "wither", "ofthe", "retion", "ouring", "blested", "heand"]
+    ratio = sec.fit_ratio(read_table(spark, "/root/testdata/sf0.1", "documents"))
+    secrets = ["".join(draw.choices(letters, k=28)) + "7" for _ in range(200)]
+    plain = ["".join(draw.choices(words, k=4)) + "_2_" + draw.choice(words) for _ in range(200)]
+    texts = [f"see {x} here" for x in secrets + plain]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    caught = {r["doc_id"] for r in sec.scan_secrets(rows, ratio=ratio).where("size(random) > 0").collect()}
+    assert len(caught & set(range(200))) >= 190
+    assert len(caught - set(range(200))) <= 2
+
+
+def test_edge_cases(spark, docs, no_docs):
+    rows = sec.scan_secrets(docs).collect()
+    assert len(rows) == len(DOCS) and not any(r["assign"] or r["hex"] for r in rows)
+    assert sec.scan_secrets(no_docs).count() == 0
+    kept = sec.redact(docs)
+    assert kept.columns == docs.columns
+    assert sorted(map(repr, kept.collect())) == sorted(map(repr, docs.collect()))
+    one = spark.createDataFrame(
+        [(1, 'é token: "' + "ab" * 20 + '" end', 99)], "doc_id long, text string, n_chars long"
+    )
+    assert sec.redact(one).first() == (1, 'é [secret]" end', 15)
+    digest = sec.scan_secrets(docs).withColumn("s", sec.spans_text("assign", "access", "hex"))
+    assert {hashlib.sha256(r["s"].encode()).hexdigest() for r in digest.collect()} == {
+        hashlib.sha256(b"").hexdigest()
+    }
