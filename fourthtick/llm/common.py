@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,3 +34,13 @@ BROADCAST_ROWS = 500_000
 def bounded(rows: DataFrame) -> DataFrame:
     """Staged ``rows`` of a few numbers each, marked for broadcast if a count proves them few."""
     return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Let the cleaner remove the shuffle files of steps that are staged and done.
+
+    Spark deletes them when the driver collects the objects that stand for them, which
+    a driver with much memory seldom does by itself in the middle of a long job.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
