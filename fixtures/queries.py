@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
@@ -87,18 +88,107 @@ def _failed(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+INGEST = {
+    "team_names": raw.TEAM_NAMES,
+    "overrides": raw.OVERRIDES,
+    "market_codes": raw.CODES,
+    "prefix": raw.PREFIX,
+}
+
+
+def _ingest(spark: SparkSession, sf_dir: str) -> tuple[Tables, DataFrame]:
+    """All five tables out of the raw shapes, every page landed twice."""
+    pages = raw.candles(spark, sf_dir, raw.WINNER_TICKER)
+    return ingest.build_tables(
+        raw.play_by_play(spark, sf_dir), raw.markets(spark, sf_dir), pages.union(pages), **INGEST
+    )
+
+
 def _whole_ingest(spark: SparkSession, sf_dir: str) -> Tables:
-    """All five tables out of the raw shapes."""
-    tables, _ = ingest.build_tables(
-        raw.play_by_play(spark, sf_dir),
-        raw.markets(spark, sf_dir),
-        raw.candles(spark, sf_dir, raw.WINNER_TICKER),
-        team_names=raw.TEAM_NAMES,
-        overrides=raw.OVERRIDES,
-        market_codes=raw.CODES,
-        prefix=raw.PREFIX,
+    return _ingest(spark, sf_dir)[0]
+
+
+def _two_ingests(spark: SparkSession, sf_dir: str) -> Tables:
+    """The games of even users first, then an increment with the play-by-play of the others."""
+    plays, markets = raw.play_by_play(spark, sf_dir), raw.markets(spark, sf_dir)
+    pages = raw.candles(spark, sf_dir, raw.WINNER_TICKER)
+    even = F.substring("game_id", 2, 20).cast("int") % 2 == 0
+    folder = f"{storage.shared_folder(spark)}/increments-{uuid.uuid4().hex}"
+    earlier, _ = ingest.build_tables(plays.filter(even), markets, pages, **INGEST)
+    storage.save_tables(earlier, folder)
+    stored = storage.open_tables(spark, folder)
+    delta, _ = ingest.build_increment(plays.filter(~even), markets, pages, stored, **INGEST)
+    # A table is read while its increment is made, so the increment is stored first.
+    storage.save_tables(delta, f"{folder}/delta")
+    storage.save_tables(storage.open_tables(spark, f"{folder}/delta"), folder, mode="append")
+    return storage.open_tables(spark, folder)
+
+
+def _damaged(t: Tables) -> Tables:
+    """Keys three times and NULL, a team without a name, and an orphan of each reference."""
+    plays, prices = t.plays.filter("play_id % 50 = 3"), t.prices.filter("kalshi_volume = 7")
+    return Tables(
+        teams=t.teams.filter("team_abbr <> 'T05'")
+        .withColumn("team_name", F.expr("if(team_abbr = 'T02', NULL, team_name)"))
+        .unionByName(t.teams.filter("team_abbr = 'T03'")),
+        games=t.games.filter("week <> 9").withColumn(
+            "game_id", F.expr("if(week = 8, NULL, game_id)")
+        ),
+        plays=t.plays.unionByName(plays).unionByName(plays),
+        markets=t.markets.filter("market_ticker NOT LIKE '%3'"),
+        prices=t.prices.unionByName(prices),
+    )
+
+
+def _landed_tables(spark: SparkSession, sf_dir: str) -> Tables:
+    """The tables out of CSV files whose play texts hold quotes and line breaks."""
+    t = relations(spark, sf_dir)
+    text = F.concat(F.lit('said "go, '), F.col("description"), F.lit('"\n'), F.col("play_type"))
+    t = replace(t, plays=t.plays.withColumn("description", text))
+    folder = f"{storage.shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    for name, rows in t.named().items():
+        storage.write_csv_table(rows, folder, name)
+    return storage.load_tables(spark, folder)
+
+
+def _bad_csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of a games file whose week is no number."""
+    games = relations(spark, sf_dir).games
+    week = F.expr("if(week = 3, 'third', cast(week as string))")
+    folder = f"{storage.shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    storage.write_csv_table(games.withColumn("week", week), folder, "games")
+    return storage.rejected_csv_rows(spark, folder, "games")
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> Tables:
+    folder = f"{storage.shared_folder(spark)}/tables-{uuid.uuid4().hex}"
+    storage.save_tables(relations(spark, sf_dir), folder)
+    return storage.open_tables(spark, folder)
+
+
+def _kept_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second write that is only wanted where nothing is there."""
+    teams = relations(spark, sf_dir).teams
+    folder = f"{storage.shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    storage.write_csv_table(teams, folder, "teams")
+    storage.write_csv_table(teams.limit(1), folder, "teams", only_if_absent=True)
+    return storage.read_csv_table(spark, folder, "teams")
+
+
+def _results_of_a_quarter(t: Tables) -> DataFrame:
+    """Winners by the plays of one quarter, on tables that hold facts of all plays."""
+    first = reports.filter_plays(t.plays, qtr=1)
+    return views.game_results(replace(views.with_facts(t), plays=first))
+
+
+def _landed_candles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.unique_candles(ingest.flatten_candles(raw.candle_files(spark, sf_dir)))
+
+
+def _rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.rejected_payloads(
+        raw.markets(spark, sf_dir), raw.candle_files(spark, sf_dir)
     )
-    return tables
 
 
 def _swings_of_favorites(t: Tables) -> DataFrame:
@@ -161,6 +251,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "favorite_win_rate": _on_tables(reports.favorite_win_rate),
     "favorite_calibration": _on_tables(reports.favorite_calibration),
     "team_market_history": _on_tables(lambda t: reports.team_market_history(t, TEAM)),
+    "team_market_history_50": _on_tables(lambda t: reports.team_market_history(t, TEAM, 50)),
     "early_hype_fade": _on_tables(lambda t: reports.early_hype_fade(t, 0.1)),
     "game_coverage": _on_tables(reports.game_coverage),
     "vegas_vs_market": _on_tables(reports.vegas_vs_market),
@@ -183,19 +274,46 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "append_dedup_prices": _on_tables(_appended_prices),
     "failed_games_report": _failed,
     "build_tables": lambda spark, d: _whole_ingest(spark, d).prices,
+    "build_tables_games": lambda spark, d: _whole_ingest(spark, d).games,
+    "build_tables_plays": lambda spark, d: _whole_ingest(spark, d).plays,
+    "build_tables_teams": lambda spark, d: _whole_ingest(spark, d).teams,
+    "build_tables_markets": lambda spark, d: _whole_ingest(spark, d).markets,
+    "build_tables_failed": lambda spark, d: _ingest(spark, d)[1],
+    "build_tables_increment": lambda spark, d: _two_ingests(spark, d).prices,
+    "build_tables_increment_games": lambda spark, d: _two_ingests(spark, d).games,
+    "build_tables_increment_plays": lambda spark, d: _two_ingests(spark, d).plays,
+    "build_tables_increment_teams": lambda spark, d: _two_ingests(spark, d).teams,
+    "build_tables_increment_markets": lambda spark, d: _two_ingests(spark, d).markets.select(
+        "market_ticker", "target_team"
+    ),
+    "landed_candles": _landed_candles,
+    "rejected_payloads": _rejected,
+    "play_by_play_files": lambda spark, d: ingest.build_plays(raw.play_files(spark, d)),
     "load_tables": _csv_round_trip,
+    "load_tables_teams": lambda spark, d: _landed_tables(spark, d).teams,
+    "load_tables_games": lambda spark, d: _landed_tables(spark, d).games,
+    "load_tables_plays": lambda spark, d: _landed_tables(spark, d).plays,
+    "load_tables_markets": lambda spark, d: _landed_tables(spark, d).markets,
+    "load_tables_prices": lambda spark, d: _landed_tables(spark, d).prices,
+    "rejected_csv_rows": _bad_csv_rows,
+    "stored_plays": lambda spark, d: _stored(spark, d).plays,
+    "stored_prices": lambda spark, d: _stored(spark, d).prices,
+    "csv_only_if_absent": _kept_csv,
     "check_keys": _on_tables(quality.check_keys),
+    "check_keys_damaged": _on_tables(lambda t: quality.check_keys(_damaged(t))),
+    "check_references_damaged": _on_tables(lambda t: quality.check_references(_damaged(t))),
     "key_violations": _on_tables(lambda t: quality.key_violations(t.plays, ["game_id", "down"])),
     "check_references": _on_tables(quality.check_references),
     "orphans": _on_tables(lambda t: quality.orphans(t.plays, "game_id", t.markets, "game_id")),
     "filter_plays": _on_tables(_filtered_scores),
+    "filter_plays_with_facts": _on_tables(_results_of_a_quarter),
     # Details
     "summary_cards": _on_tables(lambda t: details.summary_cards(t, volatility_threshold=0.97)),
     "coverage_pct": _on_tables(details.coverage_pct),
     "calibration_gap": _on_tables(details.calibration_gap),
     "swing_severity": _on_tables(details.swing_severity),
     "bias_class": _on_tables(details.bias_class),
-    "bias_top20": _on_tables(details.bias_top20),
+    "bias_top20": _on_tables(lambda t: details.bias_top20(t, min_games=2)),
     "fade_severity": _on_tables(lambda t: details.fade_severity(t, 0.1)),
     "fade_top20": _on_tables(lambda t: details.fade_top20(t, 0.1)),
     "vegas_season_summary": _on_tables(details.vegas_season_summary),

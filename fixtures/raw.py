@@ -15,6 +15,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from fixtures import relations as rel
+from fourthtick.plans import ingest
 from fourthtick.sources import storage
 
 CODES = {"T03": "X03", "T11": "X11"}
@@ -22,17 +23,7 @@ OVERRIDES = {"G7": "EV-SPECIAL"}
 TEAM_NAMES = {f"T{n:02d}": f"Team {n}" for n in range(20)}
 PREFIX = "GAME-"
 
-FLOATS = {
-    "play_id",
-    "qtr",
-    "down",
-    "ydstogo",
-    "total_home_score",
-    "total_away_score",
-    "interception",
-    "fumble",
-    "touchdown",
-}
+FLOATS = set(ingest.COUNTERS)
 
 
 def play_by_play(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,6 +114,28 @@ def candles(
     )
 
 
+def candle_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candle lists as files: every market's page 0 twice, and a broken response of some markets."""
+    pages = candles(spark, sf_dir)
+    broken = pages.filter("cast(substr(market_ticker, 4) as int) % 7 = 0").selectExpr(
+        "market_ticker", "substr(payload, 1, 20) AS payload"
+    )
+    folder = f"{storage.shared_folder(spark)}/candles-{uuid.uuid4().hex}"
+    pages.write.json(folder)
+    pages.unionByName(broken.distinct()).write.mode("append").json(folder)
+    return storage.read_landed_candles(spark, folder)
+
+
+def play_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Play-by-play files of which some hold floats and some integers."""
+    rows = play_by_play(spark, sf_dir)
+    folder = f"{storage.shared_folder(spark)}/plays-{uuid.uuid4().hex}"
+    rows.filter("play_id % 2 = 0").write.parquet(folder)
+    whole = {name: rows[name].cast("long") for name in FLOATS}
+    rows.filter("play_id % 2 = 1").withColumns(whole).write.mode("append").parquet(folder)
+    return storage.read_play_by_play(spark, folder)
+
+
 def closings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Closing time of each market of the relations."""
     return (

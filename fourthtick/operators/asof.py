@@ -1,5 +1,4 @@
 from datetime import timedelta
-from math import ceil
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,37 +18,51 @@ def asof_backward(
 ) -> DataFrame:
     """Give each left row the latest right row of the same key in [t - tolerance, t].
 
-    Both ends are inclusive. Left rows without a match are dropped. The result
-    has the left columns plus ``values`` of the matched right row.
+    Both ends are inclusive. Left rows without a match are dropped, and a NULL key
+    or time matches nothing. The result has the left columns plus ``values`` of the
+    matched right row.
 
-    Both sides are tagged, put in one frame and read in time order, so the work is
-    one shuffle and one sort, and no pair of rows is ever built. The window runs
-    inside (key, time slice). Right rows close enough to the end of a slice to
-    serve the next one are copied into it, which keeps the result exact while a
-    single huge key is spread over its slices.
+    Both sides are tagged, put in one frame and read in time order, so no pair of
+    rows is ever built. The window runs inside (key, time slice). Each slice starts
+    from the last right row of the key's earlier slices, found on one summary row
+    per slice: slices stay as narrow as they are whatever the tolerance is, and a
+    single huge key is spread over them.
     """
-    reach = ceil(tolerance.total_seconds())
-    width = max(int(slice_width.total_seconds()), reach, 1)
+    width = max(int(slice_width.total_seconds()), 1)
 
-    def slice_of(seconds):
-        return F.floor(seconds / F.lit(width))
+    def slice_of(time: str):
+        return F.floor(epoch_seconds(F.col(time)) / F.lit(width))
 
-    at = epoch_seconds(F.col(right_time))
-    candidates = right.select(
+    candidates = right.filter(F.col(by).isNotNull() & F.col(right_time).isNotNull()).select(
         F.col(by),
         F.col(right_time).alias("_at"),
-        F.explode(F.sequence(slice_of(at), slice_of(at + reach))).alias("_slice"),
+        slice_of(right_time).alias("_slice"),
         F.lit(0).alias("_side"),
         F.struct(F.col(right_time).alias("at"), *values).alias("_found"),
     )
-    seekers = left.filter(F.col(left_time).isNotNull()).select(
+    seekers = left.filter(F.col(by).isNotNull() & F.col(left_time).isNotNull()).select(
         F.col(by),
         F.col(left_time).alias("_at"),
-        slice_of(epoch_seconds(F.col(left_time))).alias("_slice"),
+        slice_of(left_time).alias("_slice"),
         F.lit(1).alias("_side"),
         F.struct(*left.columns).alias("_row"),
     )
 
+    # One row per slice of either side, with the slice's last right row if it has one.
+    ends = candidates.groupBy(by, "_slice").agg(F.max_by("_found", "_at").alias("_last"))
+    slices = ends.unionByName(
+        seekers.select(by, "_slice").distinct(), allowMissingColumns=True
+    ).groupBy(by, "_slice")
+    earlier = (
+        Window.partitionBy(by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    )
+    carried = (
+        slices.agg(F.first("_last", ignorenulls=True).alias("_last"))
+        .withColumn("_found", F.last("_last", ignorenulls=True).over(earlier))
+        .filter(F.col("_found").isNotNull())
+        .select(by, F.col("_found.at").alias("_at"), "_slice", F.lit(0).alias("_side"), "_found")
+    )
+
     # A right row at exactly the same time sorts before the left row.
     so_far = (
         Window.partitionBy(by, "_slice")
@@ -57,7 +70,8 @@ def asof_backward(
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     return (
-        candidates.unionByName(seekers, allowMissingColumns=True)
+        candidates.unionByName(carried)
+        .unionByName(seekers, allowMissingColumns=True)
         .withColumn("_found", F.last("_found", ignorenulls=True).over(so_far))
         .filter((F.col("_side") == 1) & (F.col("_found.at") >= F.col("_at") - F.lit(tolerance)))
         .select("_row.*", *[F.col(f"_found.{v}").alias(v) for v in values])

@@ -92,9 +92,9 @@ def bias_class(t: Tables, min_games: int = 5) -> DataFrame:
     return reports.market_bias(t, min_games).withColumn("bias_class", label)
 
 
-def bias_top20(t: Tables, min_games: int = 5) -> DataFrame:
-    """The 20 most overestimated teams."""
-    return reports.market_bias(t, min_games).limit(20)
+def bias_top20(t: Tables, min_games: int = 5, limit: int = 20) -> DataFrame:
+    """The ``limit`` most overestimated teams."""
+    return reports.market_bias(t, min_games).limit(limit)
 
 
 def fade_severity(t: Tables, min_price_drop: float = 0.3, window_size: int = 5) -> DataFrame:
@@ -107,11 +107,13 @@ def fade_severity(t: Tables, min_price_drop: float = 0.3, window_size: int = 5)
     )
 
 
-def fade_top20(t: Tables, min_price_drop: float = 0.3, window_size: int = 5) -> DataFrame:
-    """The 20 largest drops."""
+def fade_top20(
+    t: Tables, min_price_drop: float = 0.3, window_size: int = 5, limit: int = 20
+) -> DataFrame:
+    """The ``limit`` largest drops."""
     return (
         reports.early_hype_fade(t, min_price_drop, window_size)
-        .limit(20)
+        .limit(limit)
         .select(
             "market_ticker",
             F.col("target_team").alias("label"),

@@ -7,6 +7,7 @@ from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from fourthtick import schemas
 from fourthtick.functions.text import replace_codes
@@ -61,18 +62,43 @@ TICKER_OVERRIDES = {"2025_22_SEA_NE": "KXSB-26", "2025_21_NE_DEN": "KXNFLAFCCHAM
 # A market's candles are kept for this long before it closes.
 CANDLE_SPAN = timedelta(seconds=14400)
 
+# Columns that may arrive as floats and are integers in the table.
 COUNTERS = [
-    "play_id",
-    "qtr",
-    "down",
-    "ydstogo",
-    "total_home_score",
-    "total_away_score",
-    "interception",
-    "fumble",
-    "touchdown",
+    f.name
+    for f in schemas.PLAYS.fields
+    if f.dataType == IntegerType() and f.name in schemas.RAW_PLAY_BY_PLAY.fieldNames()
 ]
 
+_BAD = "_bad_payload"
+
+
+def _parsed(schema: StructType) -> Column:
+    """A landed payload; what is not JSON of this shape as a whole is kept as ``_BAD``."""
+    checked = StructType([*schema.fields, StructField(_BAD, StringType())])
+    return F.from_json("payload", checked, {"columnNameOfCorruptRecord": _BAD})
+
+
+def _unreadable(schema: StructType) -> Column:
+    parsed = _parsed(schema)
+    return parsed.isNull() | parsed[_BAD].isNotNull()
+
+
+def readable(landed: DataFrame, schema: StructType) -> DataFrame:
+    return landed.filter(~_unreadable(schema))
+
+
+def rejected_payloads(landed_markets: DataFrame, landed_candles: DataFrame) -> DataFrame:
+    """Landed responses that cannot be read and are left out of the tables: kind, ticker, payload."""
+    return (
+        landed_markets.filter(_unreadable(schemas.MARKETS_PAYLOAD))
+        .select(F.lit("markets").alias("kind"), F.col("event_ticker").alias("ticker"), "payload")
+        .unionByName(
+            landed_candles.filter(_unreadable(schemas.CANDLES_PAYLOAD)).select(
+                F.lit("candles").alias("kind"), F.col("market_ticker").alias("ticker"), "payload"
+            )
+        )
+    )
+
 
 def build_games(raw: DataFrame) -> DataFrame:
     """One row per game of the play-by-play.
@@ -148,8 +174,8 @@ def event_ticker_candidates(
 
 def resolve_event_ticker(candidates: DataFrame, landed: DataFrame) -> DataFrame:
     """First candidate of each game for which markets exist."""
-    listed = F.get_json_object("payload", "$.markets[0]").isNotNull()
-    existing = landed.filter(listed).select(F.col("event_ticker").alias("ticker")).distinct()
+    listed = F.size(_parsed(schemas.MARKETS_PAYLOAD)["markets"]) > 0
+    existing = readable(landed, schemas.MARKETS_PAYLOAD).filter(listed).select(F.col("event_ticker").alias("ticker")).distinct()
     return (
         candidates.join(existing, "ticker")
         .groupBy("game_id")
@@ -165,7 +191,8 @@ def _first_winner_market(
     Each list is cut down to its winner markets where it is read, so that is all
     that travels; the game's team codes then pick from it. An event that was
     landed several times counts once per distinct list, and any of its lists may
-    hold the market.
+    hold the market: with a column ``landed_at`` the first that does, else the
+    smallest ticker. Unreadable lists are left out (see ``rejected_payloads``).
     """
 
     def about_winner(market: Column) -> Column:
@@ -175,10 +202,18 @@ def _first_winner_market(
     def names_a_team(market: Column) -> Column:
         return F.exists("codes", lambda code: market["ticker"].contains(code))
 
-    markets = F.from_json("payload", schemas.MARKETS_PAYLOAD)["markets"]
-    winner_lists = landed.select(
-        "event_ticker", F.filter(markets, about_winner).alias("markets")
-    ).distinct()
+    markets = _parsed(schemas.MARKETS_PAYLOAD)["markets"]
+    landed_at = F.col("landed_at") if "landed_at" in landed.columns else F.lit(None).cast("long")
+    winner_lists = (
+        readable(landed, schemas.MARKETS_PAYLOAD)
+        .select(
+            "event_ticker",
+            F.filter(markets, about_winner).alias("markets"),
+            landed_at.alias("landed_at"),
+        )
+        .groupBy("event_ticker", "markets")
+        .agg(F.min("landed_at").alias("landed_at"))
+    )
 
     teams = F.array("home_team", "away_team")
     codes = F.concat(teams, F.transform(teams, lambda c: replace_codes(c, market_codes)))
@@ -186,9 +221,9 @@ def _first_winner_market(
     return (
         resolved.join(games.select("game_id", codes.alias("codes")), "game_id")
         .join(winner_lists, "event_ticker")
-        .select("game_id", "event_ticker", first.alias("m"))
+        .select("game_id", "event_ticker", "landed_at", first.alias("m"))
         .groupBy("game_id", "event_ticker")
-        .agg(F.min("m").alias("m"))
+        .agg(F.min_by("m", F.when(F.col("m").isNotNull(), F.struct("landed_at", "m"))).alias("m"))
     )
 
 
@@ -226,19 +261,14 @@ def market_target_team(
     )
 
 
-def flatten_candles(landed: DataFrame, zone: str = EASTERN) -> DataFrame:
-    """One row per candle with its epoch second.
-
-    A missing price is 0, a missing volume is 0, and ``datetime_utc`` holds the
-    wall clock of ``zone``.
-    """
+def _candle_rows(pages: DataFrame, candles: Column, zone: str) -> DataFrame:
+    """One row per candle of an array, with its epoch second."""
 
     def price(name: str) -> Column:
         text = F.nullif(F.col(f"price.{name}"), F.lit(""))
         return F.coalesce(text.cast("double"), F.lit(0.0)).alias(f"kalshi_{name}")
 
-    candles = F.from_json("payload", schemas.CANDLES_PAYLOAD)["candlesticks"]
-    return landed.select("market_ticker", F.inline(candles)).select(
+    return pages.select("market_ticker", F.inline(candles)).select(
         "market_ticker",
         utc_to_wall(from_epoch_seconds(F.col("end_period_ts")), zone).alias("datetime_utc"),
         price("open"),
@@ -250,20 +280,65 @@ def flatten_candles(landed: DataFrame, zone: str = EASTERN) -> DataFrame:
     )
 
 
+def flatten_candles(landed: DataFrame, zone: str = EASTERN) -> DataFrame:
+    """One row per candle of every readable page, with its epoch second.
+
+    A missing price is 0, a missing volume is 0, and ``datetime_utc`` holds the
+    wall clock of ``zone``. A page that was landed twice gives its candles twice;
+    ``unique_candles`` keeps one of them.
+    """
+    candles = _parsed(schemas.CANDLES_PAYLOAD)["candlesticks"]
+    return _candle_rows(readable(landed, schemas.CANDLES_PAYLOAD), candles, zone)
+
+
+def unique_candles(candles: DataFrame) -> DataFrame:
+    """One candle per market and second: the one with the largest volume, then close.
+
+    Equal pages collapse in the map-side aggregate, and the key spreads a hot market.
+    """
+    ranked = ["kalshi_volume", "kalshi_close", "kalshi_high", "kalshi_low", "kalshi_open"]
+    best = candles.groupBy("market_ticker", "end_period_ts").agg(
+        F.max(F.struct(*ranked, "datetime_utc")).alias("best")
+    )
+    return best.select(
+        "market_ticker", *[F.col(f"best.{c}").alias(c) for c in candles.columns[1:-1]], "end_period_ts"
+    )
+
+
+def _closings(winners: DataFrame) -> DataFrame:
+    closing = F.unix_timestamp(F.col("close_time").cast("timestamp"))
+    return winners.select("market_ticker", closing.alias("closed_at")).distinct()
+
+
 def candle_window(
     candles: DataFrame, winners: DataFrame, span: timedelta = CANDLE_SPAN
 ) -> DataFrame:
     """Candles in the last ``span`` before their market closed, as price rows."""
-    closing = F.unix_timestamp(F.col("close_time").cast("timestamp"))
-    closes = winners.select("market_ticker", closing.alias("closed_at")).distinct()
     seconds = int(span.total_seconds())
     return (
-        candles.join(closes, "market_ticker")
+        candles.join(_closings(winners), "market_ticker")
         .filter(F.col("end_period_ts").between(F.col("closed_at") - seconds, F.col("closed_at")))
         .select(*schemas.PRICES.fieldNames())
     )
 
 
+def landed_window(
+    landed: DataFrame, winners: DataFrame, span: timedelta = CANDLE_SPAN, zone: str = EASTERN
+) -> DataFrame:
+    """``candle_window`` of landed pages, one row per market and candle.
+
+    Pages meet their market's closing time as they are, and their candles are cut to
+    the window inside the array: candles outside it are never rows of their own.
+    """
+    seconds = int(span.total_seconds())
+    candles = F.filter(
+        _parsed(schemas.CANDLES_PAYLOAD)["candlesticks"],
+        lambda c: c["end_period_ts"].between(F.col("closed_at") - seconds, F.col("closed_at")),
+    )
+    pages = readable(landed, schemas.CANDLES_PAYLOAD).join(_closings(winners), "market_ticker")
+    return unique_candles(_candle_rows(pages, candles, zone)).select(*schemas.PRICES.fieldNames())
+
+
 def incremental_new_games(
     games: DataFrame, markets: DataFrame, force: Iterable[str] = ()
 ) -> DataFrame:
@@ -307,25 +382,36 @@ def failed_games_report(
     candidates = event_ticker_candidates(games, overrides, market_codes, prefix)
     resolved = resolve_event_ticker(candidates, landed)
     found = _first_winner_market(landed, resolved, games, market_codes)
-    return _failures(games, found, _candidates(overrides, market_codes, prefix))
+    return _failures(games, found, _candidates(overrides, market_codes, prefix), landed)
 
 
-def _failures(games: DataFrame, found: DataFrame, candidates: Column) -> DataFrame:
-    unresolved = F.col("event_ticker").isNull()
+def _failures(
+    games: DataFrame, found: DataFrame, candidates: Column, landed: DataFrame
+) -> DataFrame:
     all_tickers = F.array_join("tickers", ", ")
-    return (
+    failed = (
         games.select("game_id", candidates.alias("tickers"))
         .join(found, "game_id", "left")
         .filter(F.col("m").isNull())
-        .select(
-            "game_id",
-            F.when(unresolved, "no markets found").otherwise("no winner market").alias("reason"),
-            F.coalesce("event_ticker", all_tickers).alias("tried"),
-        )
+    )
+    broken = landed.filter(_unreadable(schemas.MARKETS_PAYLOAD))
+    tried = failed.select("game_id", F.explode("tickers").alias("event_ticker"))
+    unread = (
+        tried.join(broken.select("event_ticker").distinct(), "event_ticker", "left_semi")
+        .select("game_id", F.lit(True).alias("unread"))
+        .distinct()
+    )
+    return failed.join(unread, "game_id", "left").select(
+        "game_id",
+        F.when(F.col("event_ticker").isNotNull(), "no winner market")
+        .when(F.col("unread"), "unreadable response")
+        .otherwise("no markets found")
+        .alias("reason"),
+        F.coalesce("event_ticker", all_tickers).alias("tried"),
     )
 
 
-def build_tables(
+def build_increment(
     play_by_play: DataFrame,
     landed_markets: DataFrame,
     landed_candles: DataFrame,
@@ -337,35 +423,66 @@ def build_tables(
     prefix: str = EVENT_PREFIX,
     zone: str = EASTERN,
 ) -> tuple[Tables, DataFrame]:
-    """The whole ingest: landed data to the five tables, and the report of failed games.
+    """What landed data add to ``existing`` tables, and the report of failed games.
 
-    With ``existing`` tables only games without a market (and those in ``force``)
-    are resolved, and their markets and candles are appended.
+    The first frame set holds new rows only: teams and games not known yet, the plays
+    of those games, and for every game without a market (and those in ``force``) its
+    market and candles. ``storage.save_tables(..., mode="append")`` stores it next to
+    what is there. The winner markets are staged while the plan is built.
     """
     spark = play_by_play.sparkSession
+    known = existing or Tables(
+        *[spark.createDataFrame([], schema) for schema in schemas.TABLES.values()]
+    )
     games = build_games(play_by_play)
-    if existing is None:
-        known_markets = spark.createDataFrame([], schemas.MARKETS)
-        known_prices = spark.createDataFrame([], schemas.PRICES)
-    else:
-        known_markets, known_prices = existing.markets, existing.prices
+    new_games = games.join(known.games.select("game_id"), "game_id", "left_anti")
+    plays = build_plays(play_by_play).join(
+        known.games.select("game_id"), "game_id", "left_anti"
+    )
+    teams = build_teams(games, team_names).join(
+        known.teams.select("team_abbr"), "team_abbr", "left_anti"
+    )
 
-    open_games = incremental_new_games(games, known_markets, force)
+    every_game = known.games.unionByName(new_games)
+    open_games = incremental_new_games(every_game, known.markets, force)
     candidates = event_ticker_candidates(open_games, overrides, market_codes, prefix)
     resolved = resolve_event_ticker(candidates, landed_markets)
     # Markets, candles and the report of failures all start from this result.
     found = stage(
         _first_winner_market(landed_markets, resolved, open_games, market_codes), "winner_markets"
     )
-
     winners = _winners(found)
-    added = unknown_markets(known_markets, market_target_team(winners, market_codes))
-    candles = candle_window(flatten_candles(landed_candles, zone), winners)
-    tables = Tables(
-        teams=build_teams(games, team_names),
-        games=games,
-        plays=build_plays(play_by_play),
-        markets=known_markets.unionByName(added),
-        prices=append_prices(known_prices, added, candles),
+    added = unknown_markets(known.markets, market_target_team(winners, market_codes))
+    # Small sides first: only closing times of added markets meet the pages.
+    closing = winners.join(added.select("market_ticker"), "market_ticker", "left_semi")
+    delta = Tables(
+        teams=teams,
+        games=new_games,
+        plays=plays.select(*schemas.PLAYS.fieldNames()),
+        markets=added,
+        prices=landed_window(landed_candles, closing, zone=zone),
     )
-    return tables, _failures(open_games, found, _candidates(overrides, market_codes, prefix))
+    tried = _candidates(overrides, market_codes, prefix)
+    return delta, _failures(open_games, found, tried, landed_markets)
+
+
+def build_tables(
+    play_by_play: DataFrame,
+    landed_markets: DataFrame,
+    landed_candles: DataFrame,
+    existing: Tables | None = None,
+    force: Iterable[str] = (),
+    **settings,
+) -> tuple[Tables, DataFrame]:
+    """The whole ingest: landed data to the five tables, and the report of failed games.
+
+    With ``existing`` tables the result holds their rows and those ``build_increment``
+    adds; to store an increment, append that instead.
+    """
+    delta, failed = build_increment(
+        play_by_play, landed_markets, landed_candles, existing, force, **settings
+    )
+    if existing is None:
+        return delta, failed
+    parts = zip(existing.named().values(), delta.named().values(), strict=True)
+    return Tables(*[old.unionByName(new.select(*old.columns)) for old, new in parts]), failed

@@ -11,7 +11,6 @@ from fourthtick.functions.rounding import exact, round_half_up
 from fourthtick.functions.times import EASTERN, utc_to_wall, wall_to_utc
 from fourthtick.operators.asof import asof_backward, within_interval
 from fourthtick.operators.combine import side_by_side
-from fourthtick.operators.ranking import rank_by_time
 from fourthtick.plans.views import (
     TRADED,
     finished_games,
@@ -247,21 +246,24 @@ def favorite_calibration(t: Tables) -> DataFrame:
 
 
 def team_market_history(t: Tables, team: str, limit: int = 500) -> DataFrame:
-    """Latest candles of the markets on one team, newest first."""
+    """Latest candles of the markets on one team, newest first.
+
+    Only the newest ``limit`` candles of each market can be among them, which Spark
+    cuts in every map task before the candles meet the markets.
+    """
     markets = t.markets.filter(F.col("target_team") == team.upper())
+    newest = Window.partitionBy("market_ticker").orderBy(F.desc("datetime_utc"))
+    latest = t.prices.withColumn("_rank", F.row_number().over(newest)).filter(
+        F.col("_rank") <= limit
+    )
     return (
-        t.prices.join(markets.select("market_ticker", "target_team"), "market_ticker")
+        latest.join(markets.select("market_ticker", "target_team"), "market_ticker")
         .orderBy(F.desc("datetime_utc"), "market_ticker")
         .limit(limit)
         .select("market_ticker", "target_team", *t.prices.columns[1:])
     )
 
 
-# Up to this rank Spark cuts ranked rows before a shuffle (its default for
-# spark.sql.optimizer.windowGroupLimitThreshold).
-RANK_CUT = 1000
-
-
 def early_hype_fade(t: Tables, min_price_drop: float = 0.3, window_size: int = 5) -> DataFrame:
     """Markets whose mean price fell from their first to their last candles.
 
@@ -276,11 +278,10 @@ def early_hype_fade(t: Tables, min_price_drop: float = 0.3, window_size: int = 5
         .agg(F.count("*").alias("num_candles"), F.sum("kalshi_volume").alias("total_volume"))
         .filter(F.col("num_candles") >= 2 * window_size)
     )
-    edges = _cut_edges if window_size <= RANK_CUT else _ranked_edges
     first_volume = F.coalesce("first_window_volume", F.lit(0))
     share = first_volume / F.nullif(F.col("total_volume"), F.lit(0))
     return (
-        totals.join(edges(traded, totals, window_size), "market_ticker")
+        totals.join(_edges(traded, window_size), "market_ticker")
         .filter(exact(F.col("early") - F.col("late")) >= exact(F.lit(min_price_drop)))
         .join(t.markets.select("market_ticker", "target_team"), "market_ticker")
         .select(
@@ -298,18 +299,28 @@ def early_hype_fade(t: Tables, min_price_drop: float = 0.3, window_size: int = 5
     )
 
 
-def _cut_edges(traded: DataFrame, totals: DataFrame, size: int) -> DataFrame:
+# Parts into which the first ranking of a market's candles is dealt.
+RANK_PARTS = 64
+
+
+def _edges(traded: DataFrame, size: int) -> DataFrame:
     """Volume and mean price of each market's first, mean price of its last candles.
 
-    ``rank <= size`` lets Spark cut every map task's output to ``size`` rows per
-    market before the shuffle, where one window over all candles would move
-    every row.
+    The first (last) ``size`` candles of a market are among the first (last) ``size``
+    of each part of it, whatever the parts are. Candles are ranked within parts dealt
+    by a hash of their time, then once more over what is left: no task ranks a whole
+    hot market, and for short windows Spark cuts every map task's output to ``size``
+    rows per part before it moves them.
     """
+    part = F.pmod(F.xxhash64("datetime_utc"), F.lit(RANK_PARTS))
+    dealt = traded.withColumn("_part", part)
 
     def edge(order: Column):
-        rank = F.row_number().over(Window.partitionBy("market_ticker").orderBy(order))
-        kept = traded.withColumn("rank", rank).filter(F.col("rank") <= size)
-        return kept.groupBy("market_ticker")
+        def kept(rows: DataFrame, *keys: str) -> DataFrame:
+            rank = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
+            return rows.withColumn("rank", rank).filter(F.col("rank") <= size)
+
+        return kept(kept(dealt, "market_ticker", "_part"), "market_ticker").groupBy("market_ticker")
 
     first = edge(F.asc("datetime_utc")).agg(
         F.sum("kalshi_volume").alias("first_window_volume"), F.avg("kalshi_close").alias("early")
@@ -318,19 +329,6 @@ def _cut_edges(traded: DataFrame, totals: DataFrame, size: int) -> DataFrame:
     return first.join(last, "market_ticker")
 
 
-def _ranked_edges(traded: DataFrame, totals: DataFrame, size: int) -> DataFrame:
-    """The same for windows too long to be cut before the shuffle, over sliced ranks."""
-    counts = totals.select("market_ticker", "num_candles")
-    ranked = rank_by_time(traded, "market_ticker", "datetime_utc", "rank", lookup=counts)
-    first = F.col("rank") <= size
-    last = F.col("rank") > F.col("num_candles") - size
-    return ranked.groupBy("market_ticker").agg(
-        F.sum(F.when(first, F.col("kalshi_volume"))).alias("first_window_volume"),
-        F.avg(F.when(first, F.col("kalshi_close"))).alias("early"),
-        F.avg(F.when(last, F.col("kalshi_close"))).alias("late"),
-    )
-
-
 def game_coverage(t: Tables) -> DataFrame:
     """How many games have a market, plays, both or no market.
 
@@ -423,7 +421,7 @@ def score_vs_market(
     )
     matched = asof_backward(
         plays,
-        t.prices,
+        t.prices.join(home_markets.select("market_ticker").distinct(), "market_ticker", "left_semi"),
         by="market_ticker",
         left_time="played_at",
         right_time="datetime_utc",
@@ -459,6 +457,7 @@ def timestamp_overlap(
     near = within_interval(
         t.plays.filter(played_at.isNotNull())
         .select("game_id", "timestamp_utc")
+        .distinct()
         .join(t.markets.select("market_ticker", "game_id"), "game_id"),
         t.prices.select("market_ticker", wall_to_utc(candle_at, candle_zone).alias("candle_utc")),
         by="market_ticker",

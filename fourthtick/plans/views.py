@@ -13,13 +13,13 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fourthtick.functions.ordering import ascending, descending, sort_key
 from fourthtick.operators.ranking import rank_by_time
 from fourthtick.sources.storage import stage
-from fourthtick.tables import Tables
+from fourthtick.tables import Facts, Tables
 
 TRADED = "kalshi_close > 0"
 
@@ -157,23 +157,45 @@ def with_facts(t: Tables, folder: str | None = None) -> Tables:
     """
     return replace(
         t,
-        market_facts=stage(market_facts(t), "market_facts", folder),
-        play_facts=stage(play_facts(t), "play_facts", folder),
+        facts_of_prices=Facts(stage(market_facts(t), "market_facts", folder), t.prices),
+        facts_of_plays=Facts(stage(play_facts(t), "play_facts", folder), t.plays),
+    )
+
+
+def ranked_prices(t: Tables) -> DataFrame:
+    """``pregame_prices`` ranked by one window per market.
+
+    Readers of the published view keep ``rn = 1`` or the first few ranks; for such
+    a filter Spark cuts every map task's candles to these ranks before it moves
+    them. To rank all candles of a hot market, use ``pregame_prices``.
+    """
+    in_time = Window.partitionBy("market_ticker").orderBy("datetime_utc")
+    ranked = (
+        t.prices.filter(TRADED)
+        .select("market_ticker", "datetime_utc", "kalshi_close")
+        .withColumn("rn", F.row_number().over(in_time))
+    )
+    markets = t.markets.select("market_ticker", "game_id", "target_team")
+    return ranked.join(markets, "market_ticker").select(
+        "market_ticker", "game_id", "target_team", "kalshi_close", "rn"
     )
 
 
 # Fixed names under which the views are published.
 VIEWS = {
-    "pregame_prices": pregame_prices,
+    "pregame_prices": ranked_prices,
     "game_results": game_results,
     "game_volatility": game_volatility,
     "favorite_summary": favorite_summary,
 }
 
 
-def publish_views(t: Tables) -> None:
-    """Register the five tables and the four views for ``spark.sql``."""
+def publish_views(t: Tables, prefix: str = "") -> None:
+    """Register the five tables and the four views for ``spark.sql``.
+
+    Temporary views of the same names are replaced; ``prefix`` keeps ours apart.
+    """
     for name, rows in t.named().items():
-        rows.createOrReplaceTempView(name)
+        rows.createOrReplaceTempView(prefix + name)
     for name, build in VIEWS.items():
-        build(t).createOrReplaceTempView(name)
+        build(t).createOrReplaceTempView(prefix + name)

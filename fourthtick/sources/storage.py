@@ -2,6 +2,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from functools import cache, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,9 +26,13 @@ def shared_folder(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="fourthtick-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return _local_folder()
+
+
+@cache
+def _local_folder() -> str:
+    """One temporary folder per process, for sessions whose executors are this machine."""
+    return tempfile.mkdtemp(prefix="fourthtick-")
 
 
 def stage(rows: DataFrame, name: str, folder: str | None = None) -> DataFrame:
@@ -40,6 +47,21 @@ def stage(rows: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     return spark.read.schema(rows.schema).parquet(path)
 
 
+@contextmanager
+def staging(spark: SparkSession) -> Iterator[str]:
+    """A folder below the shared one for staged results, deleted at the end of the block."""
+    folder = f"{shared_folder(spark)}/staging-{uuid.uuid4().hex}"
+    try:
+        yield folder
+    finally:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+# No file of a large table holds more rows, however few partitions wrote it.
+ROWS_PER_FILE = 5_000_000
+
+
 def open_tables(spark: SparkSession, folder: str) -> Tables:
     """The five stored parquet tables, read with their explicit schemas."""
     return Tables(
@@ -58,8 +80,9 @@ def save_tables(
     Candles and plays are range-partitioned on their whole key and sorted. One
     hot market or game is thereby cut into many files, and a filter on ticker,
     game or time prunes by the statistics of each row group. ``partitions`` is
-    the number of files of each of the two, by default the session's number of
-    shuffle partitions.
+    the number of tasks that write each of the two, by default the session's
+    number of shuffle partitions; files end after ``ROWS_PER_FILE`` rows.
+    ``mode="append"`` adds an increment without reading what is stored.
     """
     count = [partitions] if partitions else []
     for name, rows in tables.named().items():
@@ -67,31 +90,53 @@ def save_tables(
         if name in ("plays", "kalshi_prices"):
             keys = schemas.KEYS[name]
             rows = rows.repartitionByRange(*count, *keys).sortWithinPartitions(*keys)
-        rows.write.mode(mode).parquet(f"{folder}/{name}")
+        rows.write.mode(mode).option("maxRecordsPerFile", ROWS_PER_FILE).parquet(f"{folder}/{name}")
+
+
+_BAD = "_bad_row"
+
+
+def _csv_rows(spark: SparkSession, folder: str, name: str, line_breaks: bool) -> DataFrame:
+    """Rows of a landed CSV with their text in ``_BAD`` where they do not fit the schema."""
+    return spark.read.schema(schemas.csv_schema(name).add(_BAD, "string")).csv(
+        f"{folder}/{name}.csv",
+        header=True,
+        enforceSchema=False,
+        multiLine=line_breaks,
+        escape='"',
+        mode="PERMISSIVE",
+        columnNameOfCorruptRecord=_BAD,
+    )
 
 
 def read_csv_table(
-    spark: SparkSession, folder: str, name: str, line_breaks: bool = False
+    spark: SparkSession, folder: str, name: str, line_breaks: bool = True
 ) -> DataFrame:
     """One landed CSV file (or folder of files) as its table.
 
     The file is read in its own column order, then brought to the table's by name.
-    ``line_breaks`` allows quoted texts to run over several lines; such a file
-    cannot be split, so it is read by one task per file.
+    A row with a cell that does not fit its type, or with too many or too few cells,
+    fails the query and is named in the error; ``rejected_csv_rows`` lists such rows
+    instead. Quoted texts may run over several lines; without ``line_breaks`` large
+    files can be split among tasks, but such a text is then a bad row.
     """
-    file_schema = schemas.csv_schema(name)
+    rows = _csv_rows(spark, folder, name, line_breaks)
+    # The check reads every column: whichever the caller wants, the whole row is parsed.
+    every = F.xxhash64(*schemas.csv_schema(name).fieldNames()) >= F.lit(-(1 << 63))
+    message = F.concat(F.lit(f"bad row in {name}.csv: "), F.coalesce(_BAD, F.lit("")))
+    checked = rows.filter(F.assert_true(F.col(_BAD).isNull() & every, message).isNull())
     renamed = {file: table for table, file in schemas.CSV_RENAMED.get(name, {}).items()}
-    return (
-        spark.read.schema(file_schema)
-        .csv(
-            f"{folder}/{name}.csv",
-            header=True,
-            enforceSchema=False,
-            multiLine=line_breaks,
-            escape='"',
-        )
-        .withColumnsRenamed(renamed)
-        .select(*schemas.TABLES[name].fieldNames())
+    return checked.withColumnsRenamed(renamed).select(*schemas.TABLES[name].fieldNames())
+
+
+def rejected_csv_rows(
+    spark: SparkSession, folder: str, name: str, line_breaks: bool = True
+) -> DataFrame:
+    """The rows of a landed CSV that ``read_csv_table`` would fail on: table and text."""
+    rows = _csv_rows(spark, folder, name, line_breaks)
+    every = F.xxhash64(*schemas.csv_schema(name).fieldNames()) >= F.lit(-(1 << 63))
+    return rows.filter(F.col(_BAD).isNotNull() & every).select(
+        F.lit(name).alias("table_name"), F.col(_BAD).alias("bad_row")
     )
 
 
@@ -107,7 +152,7 @@ def write_csv_table(rows: DataFrame, folder: str, name: str, only_if_absent: boo
     )
 
 
-def load_tables(spark: SparkSession, folder: str, line_breaks: bool = False) -> Tables:
+def load_tables(spark: SparkSession, folder: str, line_breaks: bool = True) -> Tables:
     """Read the five landed CSV files."""
     return Tables(
         **{
@@ -120,13 +165,22 @@ def load_tables(spark: SparkSession, folder: str, line_breaks: bool = False) ->
 def read_play_by_play(spark: SparkSession, path: str) -> DataFrame:
     """Landed play-by-play parquet, only the columns the tables need.
 
-    The counters are stored as floats in some files and as integers in others,
-    so they are read as stored and brought to one type here.
+    The counters are stored as floats in some files and as integers in others. Files
+    are read together with those of the same types, then brought to one type here;
+    one footer per file is looked at beforehand.
     """
-    raw = spark.read.parquet(path)
-    return raw.select(
-        *[F.col(f.name).cast(f.dataType).alias(f.name) for f in schemas.RAW_PLAY_BY_PLAY.fields]
-    )
+    wanted = schemas.RAW_PLAY_BY_PLAY.fields
+    alike: dict[tuple[str, ...], list[str]] = {}
+    for file in sorted(spark.read.parquet(path).inputFiles()):
+        kinds = dict(spark.read.parquet(file).dtypes)
+        alike.setdefault(tuple(kinds[f.name] for f in wanted), []).append(file)
+    parts = [
+        spark.read.parquet(*files).select(
+            *[F.col(f.name).cast(f.dataType).alias(f.name) for f in wanted]
+        )
+        for files in alike.values()
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def read_landed_markets(spark: SparkSession, path: str) -> DataFrame:

@@ -47,7 +47,9 @@ FROM (SELECT count(*) AS n, coalesce({r.avg('won', 3)}, 0) AS rate FROM played W
         + " AS bias_class FROM bias",
         r.BIAS,
     ),
-    "bias_top20": query("FROM bias ORDER BY avg_signed_error DESC, target_team LIMIT 20", r.BIAS),
+    "bias_top20": query(
+        "FROM bias ORDER BY avg_signed_error DESC, target_team LIMIT 20", r.bias(2)
+    ),
     "fade_severity": query(
         "SELECT *, abs(price_change) AS price_drop, CASE WHEN abs(price_change) > 0.3 THEN 'high'"
         " WHEN abs(price_change) > 0.15 THEN 'medium' ELSE 'low' END AS severity FROM fades",

@@ -7,15 +7,19 @@ def avg(expression: str, digits: int) -> str:
     return rounded(f"avg({expression})", digits)
 
 
-BIAS = f"""bias AS (
+def bias(least: int) -> str:
+    return f"""bias AS (
     SELECT target_team, count(*) AS num_games,
            {avg('price', 3)} AS avg_market_prob,
            {avg('won', 3)} AS actual_win_rate,
            {avg('price - won', 3)} AS avg_signed_error
     FROM played WHERE winner IS NOT NULL
-    GROUP BY target_team HAVING count(*) >= 5
+    GROUP BY target_team HAVING count(*) >= {least}
 )"""
 
+
+BIAS = bias(5)
+
 SWINGS = f"""top_swings AS (
     SELECT game_id, home_team, away_team, target_team,
            {rounded('lo', 3)} AS min_price, {rounded('hi', 3)} AS max_price,
@@ -59,8 +63,9 @@ VOLATILITY = f"""volatility AS (
 )"""
 
 CALIBRATION = f"""calibration AS (
-    SELECT CASE WHEN price >= 0.8 THEN 'strong' WHEN price >= 0.6 THEN 'moderate' ELSE 'slight' END
-             || '_favorite' AS favorite_strength,
+    -- Fixed values: the names of the bands.
+    SELECT CASE WHEN price >= 0.8 THEN 'strong_favorite' WHEN price >= 0.6 THEN 'moderate_favorite'
+                ELSE 'slight_favorite' END AS favorite_strength,
            count(*) AS num_games, {avg('price', 2)} AS avg_predicted, {avg('won', 2)} AS actual_win_rate
     FROM played WHERE price >= 0.5 GROUP BY ALL
 )"""
@@ -175,6 +180,7 @@ ORACLES = {
     ),
     "favorite_calibration": query("FROM calibration ORDER BY 1", CALIBRATION),
     "team_market_history": query("FROM history", HISTORY.format(limit=500)),
+    "team_market_history_50": query("FROM history", HISTORY.format(limit=50)),
     "early_hype_fade": query("FROM fades ORDER BY price_change, early_price DESC", FADES),
     "game_coverage": query("FROM coverage", COVERAGE),
     "vegas_vs_market": query("FROM vegas ORDER BY week", VEGAS),
@@ -193,4 +199,11 @@ ORACLES = {
     ) AS games_with_ts_overlap"""
     ),
     "filter_plays": query("FROM early_downs", EARLY_DOWNS),
+    "filter_plays_with_facts": query(
+        """SELECT game_id, CASE WHEN hs > aw THEN home_team WHEN aw > hs THEN away_team END AS winner
+FROM (SELECT DISTINCT ON (game_id) game_id, total_home_score AS hs, total_away_score AS aw
+      FROM plays WHERE qtr = 1
+      ORDER BY game_id, quarter_seconds_remaining, play_id DESC)
+JOIN games USING (game_id)"""
+    ),
 }

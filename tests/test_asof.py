@@ -158,3 +158,46 @@ def test_epoch_seconds_ignore_the_session_zone(spark):
             assert one(spark, datetime(1969, 12, 31, 23, 59, 58), epoch_seconds) == -2
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_null_keys_match_nothing_and_tolerance_spans_many_slices(spark):
+    """Brute force with NULL keys and times, and a tolerance of several slices."""
+    draw = random.Random(12)
+    start = datetime(2024, 1, 1)
+
+    def some_rows(n, value):
+        return [
+            (
+                draw.choice(["a", "b", None]),
+                draw.choice([start + timedelta(minutes=draw.randrange(3000)), None]),
+                value + i,
+            )
+            for i in range(n)
+        ]
+
+    left, right = some_rows(120, 0), some_rows(60, 1000)
+    tolerance = timedelta(hours=6)
+    expected = []
+    for key, at, number in left:
+        fits = [
+            (t, v)
+            for k, t, v in right
+            if key is not None and k == key and at and t and at - tolerance <= t <= at
+        ]
+        if fits:
+            latest = max(t for t, _ in fits)
+            expected.append((number, {v for t, v in fits if t == latest}))
+    for width in (timedelta(hours=1), timedelta(days=9)):
+        found = asof_backward(
+            spark.createDataFrame(left, "k string, t timestamp_ntz, number int"),
+            spark.createDataFrame(right, "k string, u timestamp_ntz, v int"),
+            by="k",
+            left_time="t",
+            right_time="u",
+            values=["v"],
+            tolerance=tolerance,
+            slice_width=width,
+        ).collect()
+        got = {r["number"]: r["v"] for r in found}
+        assert len(found) == len(expected) and got.keys() == {n for n, _ in expected}
+        assert all(got[n] in values for n, values in expected)

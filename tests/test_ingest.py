@@ -4,6 +4,7 @@ from datetime import date, datetime
 from build import frame, game, market, rows
 from fourthtick import schemas
 from fourthtick.plans import ingest
+from pyspark.sql import functions as F
 
 
 def landed_markets(spark, lists):
@@ -260,3 +261,61 @@ def test_whole_ingest_and_its_increment(spark):
     ]
     assert again.prices.count() == 2
     assert [r.game_id for r in failed.collect()] == ["G3"]
+
+
+def test_unreadable_responses_are_told_apart(spark):
+    event = "KXNFLGAME-25SEP07DALPHI"
+    games = frame(spark, "games", [{**game("G1", "PHI", "DAL"), "game_date": date(2025, 9, 7)},
+                                   {**game("G2", "GB", "CHI"), "game_date": date(2025, 9, 7)}])
+    landed = spark.createDataFrame([(event, '{"markets": [{"ticker": "x'), (event, None)], schemas.LANDED_MARKETS)
+    reasons = {r["game_id"]: r["reason"] for r in ingest.failed_games_report(games, landed).collect()}
+    assert reasons == {"G1": "unreadable response", "G2": "no markets found"}
+    pages = spark.createDataFrame([("M", '{"candlesticks": [{"end_')], schemas.LANDED_CANDLES)
+    assert ingest.flatten_candles(pages).count() == 0
+    assert ingest.rejected_payloads(landed, pages).count() == 3
+
+
+def test_page_landed_twice_gives_each_candle_once(spark):
+    price = {"open": "0.5", "high": "0.6", "low": "0.4", "close": "0.55"}
+    page = json.dumps({"candlesticks": [{"end_period_ts": 60 * i, "price": price, "volume": "3"} for i in range(4)]})
+    landed = spark.createDataFrame([("M", page), ("M", page), ("N", page)], schemas.LANDED_CANDLES)
+    assert ingest.unique_candles(ingest.flatten_candles(landed)).count() == 8
+    winners = spark.createDataFrame([("M", "1970-01-01T00:02:00Z")], "market_ticker string, close_time string")
+    windowed = ingest.landed_window(landed, winners)
+    assert windowed.count() == 3 and windowed.columns == schemas.PRICES.fieldNames()
+
+
+def test_increment_keeps_earlier_games_whole(spark):
+    raw = lambda *games: spark.createDataFrame(
+        [raw_play(game_id=g, home_team=h, away_team=a) for g, h, a in games], schemas.RAW_PLAY_BY_PLAY
+    )
+    none = landed_markets(spark, []), spark.createDataFrame([], schemas.LANDED_CANDLES)
+    first, _ = ingest.build_tables(raw(("G1", "PHI", "DAL")), *none)
+    both, _ = ingest.build_tables(raw(("G2", "GB", "DAL")), *none, existing=first)
+    assert sorted(r.game_id for r in both.games.collect()) == ["G1", "G2"]
+    assert sorted(r.game_id for r in both.plays.collect()) == ["G1", "G2"]
+    assert sorted(r.team_abbr for r in both.teams.collect()) == ["DAL", "GB", "PHI"]
+    delta, failed = ingest.build_increment(raw(("G2", "GB", "DAL")), *none, existing=first)
+    assert [r.team_abbr for r in delta.teams.collect()] == ["GB"]
+    assert sorted(r.game_id for r in failed.collect()) == ["G1", "G2"]
+
+
+def test_candles_of_an_increment_are_joined_once(spark):
+    """Pages meet the small side alone, before their candles are rows."""
+    landed = spark.createDataFrame([("M", "{}")], schemas.LANDED_CANDLES)
+    winners = spark.createDataFrame([("M", "x")], "market_ticker string, close_time string")
+    plan = ingest.landed_window(landed, winners)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and plan.index("Generate") < plan.index("Join")
+
+
+def test_first_landed_list_wins(spark):
+    event = "KXNFLGAME-25SEP07DALPHI"
+    games = frame(spark, "games", [{**game("G1", "PHI", "DAL"), "game_date": date(2025, 9, 7)}])
+    lists = [(event, [listed(f"{event}-PHI", "PHI to win")]), (event, [listed(f"{event}-DAL", "DAL to win")])]
+    landed = landed_markets(spark, lists)
+    resolved = ingest.resolve_event_ticker(ingest.event_ticker_candidates(games), landed)
+    found = ingest.select_winner_market(landed, resolved, games).first()
+    assert found["market_ticker"] == f"{event}-DAL"  # no order known: the smallest
+    dated = landed.withColumn("landed_at", F.when(F.col("payload").contains("PHI to win"), 1).otherwise(2))
+    found = ingest.select_winner_market(dated, resolved, games).first()
+    assert found["market_ticker"] == f"{event}-PHI"

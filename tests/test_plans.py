@@ -5,6 +5,7 @@ import contextlib
 import pytest
 
 import __spark_entry__ as entry
+from fixtures.queries import QUERIES
 from fixtures.relations import relations
 from fourthtick.plans import reports, views
 from fourthtick.sources import storage
@@ -33,7 +34,7 @@ def stored(spark, tmp_path_factory):
     return storage.open_tables(spark, folder)
 
 
-@pytest.mark.parametrize("name", entry.queries())
+@pytest.mark.parametrize("name", QUERIES)
 def test_no_query_needs_a_cross_join_or_python_even_without_broadcasts(spark, name):
     with setting(spark, "spark.sql.autoBroadcastJoinThreshold", "-1"):
         text = plan(entry.queries()[name](spark, SF_DIR))
@@ -56,7 +57,7 @@ def test_candles_are_hash_aggregated_before_any_shuffle(stored):
 
 def test_first_and_last_candles_are_cut_before_the_shuffle(stored):
     text = plan(reports.early_hype_fade(stored))
-    assert text.count("row_number(), 5, Partial") == 2
+    assert text.count("row_number(), 5, Partial") == 4  # twice in each direction
 
 
 def test_adversity_reads_plays_once(stored):

@@ -1,3 +1,4 @@
+from dataclasses import replace
 from datetime import date, datetime, timedelta
 
 import pytest
@@ -159,11 +160,32 @@ def test_fade_without_volume_has_no_share(spark):
     assert rows(reports.early_hype_fade(t, 0.3, 1).select("early_volume_share")) == [(None,)]
 
 
-def test_fade_over_long_windows_equals_the_short_way(spark, monkeypatch):
+def test_fade_is_the_same_however_the_candles_are_dealt(spark, monkeypatch):
     t = relations(spark, "/root/testdata/sf0.001")
-    short = rows(reports.early_hype_fade(t, -1.0, 5))
-    monkeypatch.setattr(reports, "RANK_CUT", 4)
-    assert rows(reports.early_hype_fade(t, -1.0, 5)) == short and len(short) == 14
+    found = rows(reports.early_hype_fade(t, -1.0, 5))
+    assert len(found) == 14
+    for parts in (1, 3):
+        monkeypatch.setattr(reports, "RANK_PARTS", parts)
+        assert rows(reports.early_hype_fade(t, -1.0, 5)) == found
+
+
+def test_fade_with_one_hot_market_and_long_windows(spark):
+    """More candles than Spark would cut, whatever its threshold is."""
+    n, size = 3000, 1200
+    prices = spark.range(n).select(
+        F.lit("M").alias("market_ticker"),
+        F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_interval(0,0,0,0,0,0,id)").alias("datetime_utc"),
+        *[((n - F.col("id")) / n).alias(f"kalshi_{c}") for c in ("open", "high", "low", "close")],
+        F.lit(1).alias("kalshi_volume"),
+    )
+    t = tables(spark, games=[game()], markets=[market()])
+    expected = (n - (size - 1) / 2) / n, ((size + 1) / 2) / n
+    for threshold in ("1000", "2"):
+        spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", threshold)
+        (row,) = reports.early_hype_fade(replace(t, prices=prices), 0.1, size).collect()
+        spark.conf.unset("spark.sql.optimizer.windowGroupLimitThreshold")
+        assert (row["first_window_volume"], row["num_candles"]) == (size, n)
+        assert (row["early_price"], row["late_price"]) == tuple(round(x, 3) for x in expected)
 
 
 def test_history_is_newest_first_and_upper_cases_the_team(spark):

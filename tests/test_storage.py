@@ -131,3 +131,35 @@ def test_orphans(spark):
     assert found[("games", "home_team")] == (1, 1)
     assert found[("games", "away_team")] == (1, 1)
     assert found[("kalshi_prices", "market_ticker")] == (0, 0)
+
+
+def test_bad_cells_fail_whatever_is_read_and_are_listed(spark, tmp_path):
+    (tmp_path / "games.csv").write_text(
+        "game_id,season,week,home_team,away_team,game_date\n"
+        "G1,2024,1,A,B,2024-01-01\nG2,2024,abc,A,B,2024-01-01\nG3,2024,3,A,B,notadate\n"
+    )
+    folder = str(tmp_path)
+    with pytest.raises(Exception, match="bad row in games.csv: G[23]"):
+        storage.read_csv_table(spark, folder, "games").select("game_id").collect()
+    bad = storage.rejected_csv_rows(spark, folder, "games").collect()
+    assert sorted(r["bad_row"][:2] for r in bad) == ["G2", "G3"]
+
+
+def test_play_by_play_with_other_types_in_each_file(spark, tmp_path):
+    raw = spark.createDataFrame([], storage.schemas.RAW_PLAY_BY_PLAY)
+    row = {"game_id": "G", "play_id": 7.0, "qtr": 2.0, "time_of_day": "2024-01-01T00:00:00Z"}
+    one = spark.createDataFrame([tuple(row.get(c) for c in raw.columns)], raw.schema)
+    one.write.parquet(str(tmp_path / "plays"))
+    two = one.withColumns({"qtr": one["qtr"].cast("long"), "play_id": one["play_id"].cast("int") + 1})
+    two.write.mode("append").parquet(str(tmp_path / "plays"))
+    found = storage.read_play_by_play(spark, str(tmp_path / "plays"))
+    assert sorted((r["play_id"], r["qtr"]) for r in found.collect()) == [(7.0, 2.0), (8.0, 2.0)]
+
+
+def test_staging_is_removed(spark):
+    from pathlib import Path
+
+    with storage.staging(spark) as folder:
+        assert storage.stage(spark.range(3), "three", folder).count() == 3
+        assert Path(folder).exists()
+    assert not Path(folder).exists()

@@ -1,4 +1,5 @@
 from build import at, game, market, play, price, rows, tables
+from fixtures.relations import relations
 from fourthtick.plans import views
 
 
@@ -125,3 +126,26 @@ def test_published_views_answer_sql(spark):
     found = spark.sql("SELECT kalshi_close FROM pregame_prices WHERE rn = 1")
     assert rows(found) == [(0.7,)]
     assert spark.table("kalshi_prices").count() == 2
+
+
+def test_facts_do_not_outlive_their_source(spark):
+    from dataclasses import replace
+
+    t = tables(
+        spark,
+        games=[game()],
+        plays=[play(1, qtr=1, score=(7, 0), wp=0.5), play(2, qtr=4, score=(7, 10), wp=0.5)],
+    )
+    stored = views.with_facts(t)
+    assert rows(views.game_results(stored)) == [("G", "A")]
+    filtered = replace(stored, plays=t.plays.filter("qtr = 1"))
+    assert filtered.play_facts is None and stored.play_facts is not None
+    assert rows(views.game_results(filtered)) == [("G", "H")]
+
+
+def test_first_rank_of_the_published_view_is_cut_before_the_shuffle(spark):
+    t = relations(spark, "/root/testdata/sf0.001")
+    views.publish_views(t, prefix="ours_")
+    first = spark.sql("SELECT * FROM ours_pregame_prices WHERE rn = 1")
+    plan = first._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2
