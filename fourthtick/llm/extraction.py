@@ -25,7 +25,7 @@ from fourthtick.sources.storage import stage
 
 #: A branch is cut below this importance.
 LEAST_IMPORTANCE = 0.5
-#: Hosts with fewer pages are judged by the tree of all hosts.
+#: Unmarked styles of hosts with fewer pages are judged by the tree of all hosts.
 LEAST_PAGES = 8
 #: Weight of styles marked as not the article, and of styles inside article or main.
 ASIDE_WEIGHT, ARTICLE_WEIGHT = 0.3, 2.0
@@ -230,22 +230,17 @@ def extract_main_text(
     """
     pages = pages.select("page_id", "url", "html")
     tree = stage(style_tree(pages), "style-tree")
-    low = tree.where(F.col("importance") < least)
-    sizes = tree.where("host IS NOT NULL").groupBy("host").agg(F.max("pages").alias("pages"))
-    low_anywhere = low.where(F.col("host").isNull() & (F.col("pages") >= least_pages))
-    general = low_anywhere.agg(F.collect_set("path").alias("general"))
-    general = general.first()["general"]  # styles of low importance all over: template names
-    own = low.groupBy("host").agg(F.collect_set("path").alias("own"))
+    low = F.col("importance") < least
+    nodes = tree.where("host IS NOT NULL")
+    sizes = nodes.groupBy("host").agg(F.max("pages").alias("_pages"))
+    nodes = nodes.join(sizes, "host")
+    # A mark needs no other pages to be judged; entropy does, so few pages ask all hosts.
+    few, marked = F.col("_pages") < least_pages, F.col("path").contains("!")
+    own = nodes.where(low & (~few | marked)).select("host", "path")
+    anywhere = tree.where(F.col("host").isNull() & low & (F.col("pages") >= least_pages))
+    shared = nodes.where(few & ~marked).select("host", "path").join(anywhere.select("path"), "path")
     rules = stage(
-        sizes.join(own, "host", "left").select(
-            "host",
-            F.when(
-                F.col("pages") >= least_pages,
-                F.coalesce("own", F.array().cast("array<string>")),
-            )
-            .otherwise(F.array(*[F.lit(p) for p in sorted(general)]).cast("array<string>"))
-            .alias("cut"),
-        ),
+        own.unionByName(shared).groupBy("host").agg(F.collect_set("path").alias("cut")),
         "style-rules",
     )
 

@@ -68,3 +68,21 @@ def test_edge_cases(spark):
     )
     assert found == sorted([(1, ""), (1, ""), (2, "Text"), (3, ""), (None, "plain")], key=repr)
     assert ext.extract_main_text(pages.where("false")).count() == 0
+
+
+def test_small_hosts_are_cut_by_their_own_marks(spark):
+    """Few pages with class names of their own; unmarked templates of all hosts go as well."""
+    rows = [
+        (
+            10 * h + i,
+            f"http://h{h}.example/{i}",
+            f"<body><div class=wrap{chr(97 + h)}><nav>Menu {h}</nav><p>Story {h} {i}</p><footer>Mail us</footer>"
+            f"</div><div class=common><p>Powered by us</p></div><section>Only {h} {i}</section></body>",
+        )
+        for h in range(12)
+        for i in range(2)
+    ]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for r in ext.extract_main_text(pages).collect():
+        h, i = divmod(r["page_id"], 10)
+        assert r["text"] == f"Story {h} {i} Only {h} {i}"
