@@ -27,6 +27,9 @@ from fourthtick.sources.storage import stage
 LEAST_IMPORTANCE = 0.5
 #: Unmarked styles of hosts with fewer pages are judged by the tree of all hosts.
 LEAST_PAGES = 8
+#: A branch marked by words alone is judged without the mark when the unmarked rest of its
+#: site has less than this part of its important content.
+LEAST_REST = 0.1
 #: Weight of styles marked as not the article, and of styles inside article or main.
 ASIDE_WEIGHT, ARTICLE_WEIGHT = 0.3, 2.0
 
@@ -47,6 +50,8 @@ ASIDE_WORDS = frozenset(
     "sharing social related recommended comment comments disqus reply replies widget search pagination "
     "pager complementary contentinfo toolbar".split()
 )
+#: Elements that hold the page or the article are not marked by any class word.
+NEVER_ASIDE = frozenset("html body main article".split())
 CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"},
     "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"},
@@ -62,18 +67,21 @@ _TOKEN = re.compile(
 )
 _MARKS = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 _DIGITS = re.compile(r"\d+")
-_WORDS = re.compile(r"[a-z]+")
 
 
 def style_of(tag: str, attrs: str) -> str:
-    """Tag and classes; a final ``!`` marks what is not the article by its tag, class, id or role."""
+    """Tag and classes; a final ``!`` marks what is not the article by its tag, class, id or role.
+
+    A class, id or role counts as a whole: ``no-banner`` is not a banner.
+    """
     classes, aside = "", tag in ASIDE_TAGS
     if attrs and "=" in attrs:
         for name, value in _MARKS.findall(attrs):
             value = html.unescape(value.strip("\"'")).lower()
             if name.lower() == "class":
                 classes = ".".join(sorted(_DIGITS.sub("0", value).replace("/", "_").split()))
-            aside = aside or not ASIDE_WORDS.isdisjoint(_WORDS.findall(value))
+            if tag not in NEVER_ASIDE:
+                aside = aside or not ASIDE_WORDS.isdisjoint(value.split())
     return f"{tag}.{classes}" * bool(classes) + tag * (not classes) + "!" * aside
 
 
@@ -164,12 +172,14 @@ def host_of(url: str = "url"):
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """(host, path, pages, importance) of every node; host null is the tree of all hosts.
+    """(host, path, pages, importance, bare, held) of every node; host null is the tree of all hosts.
 
     A text on k of the m pages that have its style has the entropy log k / log m
     there; the importance of a style is one minus the mean entropy of what it
     holds, times its weight. An inner node is as important as the best of its
-    branch, so it is low only if everything below it is.
+    branch, so it is low only if everything below it is. ``bare`` is the importance
+    without the first mark of a path, if words made it; ``held`` is the important
+    content of the node itself, whatever its weight.
     """
     texts = (
         pages.select(host_of().alias("host"), "html")
@@ -195,15 +205,23 @@ def style_tree(pages: DataFrame) -> DataFrame:
     )
     aside = F.col("path").contains("!")
     article = F.concat(F.lit("/"), F.col("path"), F.lit("/")).rlike("/(article|main)[./]")
-    weight = F.when(aside, ASIDE_WEIGHT).when(article, ARTICLE_WEIGHT).otherwise(1.0)
-    own = F.least(F.col("weight") * 1.0, weight * F.col("important"))
+    by_tag = F.col("path").rlike(f"(^|/)({'|'.join(sorted(ASIDE_TAGS))})(\\.[^/]*)?!")
+    bare_aside = by_tag | F.col("path").rlike("!.*!")
+
+    def own(aside):
+        weight = F.when(aside, ASIDE_WEIGHT).when(article, ARTICLE_WEIGHT).otherwise(1.0)
+        return F.least(F.col("weight") * 1.0, weight * F.col("important"))
+
     steps = F.split("path", "/")
     return (
         leaves.select(
             "host",
             "m",
             "weight",
-            own.alias("important"),
+            own(aside).alias("important"),
+            own(bare_aside).alias("bare"),
+            F.when(~by_tag, F.col("important")).alias("held"),
+            F.col("path").alias("leaf"),
             F.explode(
                 F.transform(
                     F.sequence(F.lit(1), F.size(steps)),
@@ -215,6 +233,10 @@ def style_tree(pages: DataFrame) -> DataFrame:
         .agg(
             F.max("m").alias("pages"),
             F.max(F.col("important") / F.col("weight")).alias("importance"),
+            F.max(F.col("bare") / F.col("weight")).alias("bare"),
+            F.coalesce(
+                F.sum(F.when(F.col("leaf") == F.col("path"), F.col("held"))), F.lit(0.0)
+            ).alias("held"),
         )
     )
 
@@ -232,8 +254,31 @@ def extract_main_text(
     tree = stage(style_tree(pages), "style-tree")
     low = F.col("importance") < least
     nodes = tree.where("host IS NOT NULL")
-    sizes = nodes.groupBy("host").agg(F.max("pages").alias("_pages"))
-    nodes = nodes.join(sizes, "host")
+    # Per host the outermost marked branch (empty: no mark) with the most important content.
+    top = F.regexp_extract("path", "^[^!]*!", 0)
+    branches = nodes.groupBy("host", top.alias("_top")).agg(
+        F.max("pages").alias("_pages"), F.sum("held").alias("_held")
+    )
+    is_rest = F.col("_top") == ""
+    sizes = (
+        branches.groupBy("host")
+        .agg(
+            F.max("_pages").alias("_pages"),
+            F.coalesce(F.max(F.when(is_rest, F.col("_held"))), F.lit(0.0)).alias("_rest"),
+            F.max(F.when(~is_rest, F.struct("_held", "_top"))).alias("_most"),
+        )
+        .select(
+            "host",
+            "_pages",
+            F.when(F.col("_rest") < LEAST_REST * F.col("_most._held"), F.col("_most._top")).alias("_main"),
+        )
+    )
+    within = F.col("path").startswith(F.col("_main")) | F.col("_main").startswith(
+        F.concat("path", F.lit("/"))
+    )
+    nodes = nodes.join(sizes, "host").withColumn(
+        "importance", F.when(within, F.col("bare")).otherwise(F.col("importance"))
+    )
     # A mark needs no other pages to be judged; entropy does, so few pages ask all hosts.
     few, marked = F.col("_pages") < least_pages, F.col("path").contains("!")
     own = nodes.where(low & (~few | marked)).select("host", "path")

@@ -86,3 +86,26 @@ def test_small_hosts_are_cut_by_their_own_marks(spark):
     for r in ext.extract_main_text(pages).collect():
         h, i = divmod(r["page_id"], 10)
         assert r["text"] == f"Story {h} {i} Only {h} {i}"
+
+
+def test_class_words_do_not_cost_the_article(spark):
+    """Marks by words never take a whole page, on hosts of many pages or of few."""
+    forms = {
+        "a": '<body class="single-post has-sidebar"><p>{}</p><nav>Menu</nav></body>',
+        "b": '<body><div id="content-with-comments"><p>{}</p></div><nav>Menu</nav></body>',
+        "c": '<body><article class="post no-banner"><p>{}</p></article><nav>Menu</nav></body>',
+        "d": '<body class="sidebar"><main role="search"><p>{}</p></main><footer>Foot</footer></body>',
+        "e": '<body><div class="widget"><p>{}</p><div class="share"><p>Share {}</p></div></div></body>',
+        "f": '<body><div class="comments"><p>Nice {}</p></div><div class="widget"><p>Ad {}</p></div>'
+        "<section><p>{}</p></section></body>",
+    }
+    rows = [
+        (ord(f) * 100 + i, f"http://{f}{n}.example/{i}", page.replace("{}", f"Story {i * i + 7}"))
+        for f, page in forms.items()
+        for n in (20, 3)
+        for i in range(n)
+    ]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for r in ext.extract_main_text(pages).collect():
+        i = r["page_id"] % 100
+        assert r["text"] == f"Story {i * i + 7}", (r["url"], r["text"])
