@@ -26,9 +26,11 @@ ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 8, 16, 32
 KINDS = ["assign", "access", "hex", "random"]
 
 RUN = r"[A-Za-z0-9+/_=-]"
-RUN_LEAST = 20
-#: Nats per character by which a run has to look more random than like an identifier.
+RUN_LEAST = 12
+#: Nats per character by which a run has to look more random than like an identifier; a run
+#: under ``FULL_RUN`` characters needs as many in all as one of that length.
 MARGIN = 1.0
+FULL_RUN = 20
 #: Bounds of the fit: documents with secrets, and documents for identifiers.
 SAMPLE_DOCUMENTS = 2000
 
@@ -119,27 +121,42 @@ def base_spans(text: str = "text") -> list[Column]:
     ]
 
 
-def with_spans(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """``columns`` with base spans (``assign``, ``access``, ``hex``) and the other long ``runs``.
-
-    Only runs with a digit are taken. A run touching a base span is left to it.
-    """
+def with_base(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """``columns`` with base spans: ``assign``, ``access``, ``hex``."""
     assign, access, hexes = base_spans()
-    runs = _spans(
-        F.col("text"),
-        f"({RUN}{{{RUN_LEAST},}})",
-        3,
-        lambda m, v: (m != "") & v.rlike("[0-9]"),
-        F.col("text").rlike("[0-9]"),
-    )
-    rows = docs.select(
-        *columns, assign.alias("assign"), access.alias("access"), hexes.alias("hex"), runs.alias("runs")
-    ).withColumn("base", F.concat("assign", "access", "hex"))
-    free = F.filter(
-        "runs",
-        lambda r: ~F.exists("base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])),
+    return docs.select(*columns, assign.alias("assign"), access.alias("access"), hexes.alias("hex"))
+
+
+#: What a run that a base span touches holds; the rest of such a run is looked at by itself.
+IN_BASE = rf"AKIA|{HEX[:-1]}{{{HEX_LEAST}}}|(?i:password|passwd|secret|token|api_?key)"
+
+
+def _outside(run: Column, base: Column) -> Column:
+    """The pieces of a run that no base span covers."""
+
+    def piece(start: Column, end: Column) -> Column:
+        return F.struct(
+            start.alias("start"),
+            run["kind"].alias("kind"),
+            end.alias("end"),
+            run["value"].substr(start - run["start"] + 1, end - start).alias("value"),
+        )
+
+    def and_piece(seen: Column, end: Column) -> Column:
+        return F.when(
+            end > seen["at"], F.concat(seen["pieces"], F.array(piece(seen["at"], end)))
+        ).otherwise(seen["pieces"])
+
+    touching = F.filter(base, lambda b: (b["start"] < run["end"]) & (run["start"] < b["end"]))
+    return F.aggregate(
+        F.array_sort(touching),
+        F.struct(run["start"].alias("at"), F.array().cast(SPAN).alias("pieces")),
+        lambda seen, b: F.struct(
+            F.greatest(seen["at"], b["end"]).alias("at"),
+            and_piece(seen, b["start"]).alias("pieces"),
+        ),
+        lambda seen: and_piece(seen, run["end"]),
     )
-    return rows.withColumn("runs", F.when(F.size("base") > 0, free).otherwise(F.col("runs")))
 
 
 def _state(c: Column) -> Column:
@@ -196,7 +213,7 @@ def fit_ratio(docs: DataFrame, sample_documents: int = SAMPLE_DOCUMENTS) -> list
         cut = keys.agg(F.max("_key").alias("cut")).first()["cut"]
         return rows.where(key <= F.lit(cut))
 
-    secret = with_spans(sample(marked), ["doc_id"]).select(
+    secret = with_base(sample(marked), ["doc_id"]).select(
         F.lit(1).alias("label"), F.explode(F.concat("assign", "access", "hex")).alias("s")
     )
     secret = secret.select("label", F.col("s.value").alias("value"))
@@ -237,8 +254,8 @@ def scan_secrets(
     """``keep`` columns (doc_id by default) with the spans of each kind in every whole text.
 
     ``assign``, ``access`` and ``hex`` are the fixed patterns; ``random`` are further
-    runs of ``RUN_LEAST`` and more characters that hold a digit and whose mean
-    log-likelihood ratio is at least ``margin``. Null texts are empty and have no
+    runs of ``RUN_LEAST`` and more characters, or pieces of runs beside such spans, whose
+    log-likelihood ratio is at least ``margin`` per character. Null texts are empty and have no
     spans. Repeated rows are each scanned; an empty table gives none.
     """
     keep = keep or ["doc_id"]
@@ -246,13 +263,28 @@ def scan_secrets(
         ratio = fit_ratio(documents_of(docs, "doc_id", "text"))
     table = F.array(*[F.lit(x) for x in ratio])
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = with_spans(docs.select(*keep, *([] if "text" in keep else ["text"])).withColumn("text", text), keep)
 
-    def score(value: Column) -> Column:
+    def is_random(value: Column) -> Column:
         total = F.aggregate(_steps(value), F.lit(0.0), lambda acc, s: acc + F.get(table, s))
-        return total / F.char_length(value)
+        return total >= margin * F.greatest(F.char_length(value), F.lit(FULL_RUN))
 
-    random = F.filter("runs", lambda r: score(r["value"]) >= margin)
+    rows = with_base(
+        docs.select(*keep, *([] if "text" in keep else ["text"])).withColumn("text", text),
+        [*dict.fromkeys([*keep, "text"])],
+    )
+    runs = _spans(
+        F.col("text"),
+        f"({RUN}{{{RUN_LEAST},}})",
+        3,
+        lambda m, v: (m != "") & (v.rlike(IN_BASE) | is_random(v)),
+    )
+    rows = rows.withColumn("runs", runs)
+    pieces = F.flatten(
+        F.transform("runs", lambda r: _outside(r, F.concat("assign", "access", "hex")))
+    )
+    random = F.filter(
+        pieces, lambda r: (F.char_length(r["value"]) >= RUN_LEAST) & is_random(r["value"])
+    )
     rows = rows.withColumn(
         "random", F.when(F.size("runs") > 0, random).otherwise(F.array().cast(SPAN))
     )
