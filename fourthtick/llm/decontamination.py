@@ -29,6 +29,8 @@ from fourthtick.sources.storage import stage
 
 WINDOW_WORDS = 10
 SEGMENT_WORDS = 1_500_000
+#: How far from its place in a window a word may be in a proximity match.
+SLOP = 2
 
 # A segment has one row per word (word, postings) and one per document (doc, base,
 # n_words). ``doc`` numbers the rows of documents within the segment.
@@ -290,7 +292,9 @@ def find_contamination(
     items count once. Without items nothing is contaminated; without documents the
     result is empty. Other columns are not read.
     """
-    return search(build_index(docs, gap=length), windows_of(items, length), slop)
+    # Words of two documents are further apart than any two words of a match may be.
+    gap = length + 2 * (slop or 0)
+    return search(build_index(docs, gap=gap), windows_of(items, length), slop)
 
 
 def keep_uncontaminated(docs: DataFrame, items: DataFrame, length: int = WINDOW_WORDS) -> DataFrame:

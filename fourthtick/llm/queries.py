@@ -58,6 +58,24 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_proximity_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op5_decontamination with the proximity matches; the SQL oracle fixes the columns of that one."""
+    from fourthtick.llm.decontamination import SLOP, find_contamination, items_digest
+
+    docs, items = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")
+    found = find_contamination(docs, items, slop=SLOP)
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        (F.size("items") + F.col("unnamed_items").cast("int")).cast("long").alias("n_items"),
+        items_digest("items").alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+        F.size("near_items").cast("long").alias("n_near_items"),
+        items_digest("near_items").alias("near_items_sha256"),
+    )
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -113,6 +131,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": op3_language_id,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_decontamination": op5_decontamination,
+    "op5_proximity_matches": op5_proximity_matches,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op8_sharding": op8_sharding,

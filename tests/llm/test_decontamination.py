@@ -96,3 +96,31 @@ def test_edge_cases(spark, docs, no_docs):
     assert clean.where("doc_id = 6").count() == 1
     digest = spark.range(1).select(dec.items_digest(dec.F.array(dec.F.lit(10), dec.F.lit(9)))).first()[0]
     assert digest == hashlib.sha256(b"10,9").hexdigest()
+
+
+def test_proximity_does_not_cross_documents(spark):
+    """The window's words in order, its first at the end of a document and the rest in the next."""
+    w = [f"w{i}" for i in range(10)]
+    items = spark.createDataFrame([(9, " ".join(w))], "item_id long, text string")
+    for cut in (1, 5, 9):
+        docs = spark.createDataFrame(
+            [(1, " ".join(w[:cut])), (2, " ".join(w[cut:])), (3, " ".join([*w[:4], "a", "b", *w[4:]]))],
+            "doc_id long, text string",
+        ).coalesce(1)
+        for slop in (2, 6, 9):
+            rows = dec.find_contamination(docs, items, slop=slop).collect()
+            assert {r["doc_id"]: r["near_items"] for r in rows} == {1: [], 2: [], 3: [9]}
+
+
+def test_registered_query_returns_proximity_matches(spark, tmp_path):
+    from fourthtick.llm.queries import QUERIES
+
+    w = PROSE.split()[:10]
+    texts = [" ".join(w), " ".join([*w[:4], "extra", *w[4:]]), " ".join(reversed(w))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    items = spark.createDataFrame([(9, texts[0])], "item_id long, text string")
+    items.write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = QUERIES["op5_proximity_matches"](spark, str(tmp_path)).collect()
+    assert {r["doc_id"]: (r["n_items"], r["n_near_items"]) for r in rows} == {0: (1, 1), 1: (0, 1), 2: (0, 0)}
+    assert {r["near_items_sha256"] for r in rows} == {hashlib.sha256(x).hexdigest() for x in (b"9", b"")}
