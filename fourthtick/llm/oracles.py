@@ -8,6 +8,8 @@ from __future__ import annotations
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
 DECONTAMINATION = rf"""
 WITH doc AS (
     SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
@@ -97,8 +99,37 @@ FROM doc LEFT JOIN sizes USING (doc_id) JOIN reach ON reach.a = doc.doc_id
 GROUP BY doc.doc_id, n
 """
 
+LEXICAL = rf"""
+WITH item AS (
+    SELECT DISTINCT item_id, unnest(regexp_extract_all({_LOWER}, '{_TERM}')) AS term FROM benchmark
+), doc AS (
+    SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '{_TERM}') AS w
+    FROM documents
+), corpus AS (SELECT count(*) AS nn, sum(len(w)) AS ll FROM doc WHERE len(w) > 0),
+posting AS (
+    SELECT r, doc_id, n, term, count(*) AS tf
+    FROM (SELECT r, doc_id, len(w) AS n, unnest(w) AS term FROM doc)
+    WHERE term IN (SELECT term FROM item) GROUP BY r, doc_id, n, term
+), weight AS (
+    SELECT term, CAST(floor(1000 * ln((2 * any_value(nn) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+    FROM posting, corpus GROUP BY term
+), scored AS (
+    SELECT item_id, r, doc_id,
+           sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * nn) // ll)))) AS score
+    FROM posting JOIN weight USING (term) JOIN item USING (term), corpus
+    GROUP BY item_id, r, doc_id
+), ranked AS (
+    SELECT item_id, doc_id, score,
+           row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS k
+    FROM scored WHERE score > 0
+)
+SELECT item_id, CAST(k AS INTEGER) AS rank, doc_id, CAST(score AS BIGINT) AS score
+FROM ranked WHERE k <= 50
+"""
+
 ORACLES: dict[str, str] = {
     "op5_decontamination": DECONTAMINATION,
     "op7_suffix_array_dedup": SUBSTRINGS,
     "op10_ngram_jaccard_join": JACCARD,
+    "op12_lexical_search": LEXICAL,
 }

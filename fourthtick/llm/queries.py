@@ -125,6 +125,12 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id")
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fourthtick.llm.lexical import search
+
+    return search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_secret_scans": op2_secret_scans,
@@ -137,4 +143,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_html_extraction": op9_html_extraction,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+    "op12_lexical_search": op12_lexical_search,
 }
