@@ -127,9 +127,92 @@ SELECT item_id, CAST(k AS INTEGER) AS rank, doc_id, CAST(score AS BIGINT) AS sco
 FROM ranked WHERE k <= 50
 """
 
+# crc32 bit by bit; the edits by a table over the four states, one row of each conversation a step.
+CONVERSATIONS = r"""
+WITH RECURSIVE named AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+           coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name
+    FROM conversations
+), dealt AS (
+    SELECT conv_id, turn, role, text, xor(list_reduce(
+        list_prepend(4294967295::BIGINT,
+                     list_transform(range(1, length(name) + 1), lambda i: ascii(name[i])::BIGINT)),
+        lambda c, b: list_reduce(
+            list_prepend(xor(c, b), range(8)),
+            lambda x, j: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)
+        ), 4294967295) % 20 AS kind
+    FROM named
+), damaged AS (
+    SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+           CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+           unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy
+    FROM dealt WHERE kind <> 0
+), placed AS (
+    SELECT conv_id, turn, role, text, row_number() OVER (
+        PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS k
+    FROM damaged
+), told AS (
+    SELECT conv_id, turn, role, text, k,
+           lag(role[1]) OVER (PARTITION BY conv_id ORDER BY k) AS before,
+           CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+                WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) > 1 THEN 'duplicate'
+                WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated'
+                ELSE 'fine' END AS fault
+    FROM placed
+), added(from_state, into_state, edits, lines) AS (VALUES
+    (0, 0, '', []::VARCHAR[]), (1, 1, '', []), (2, 2, '', []), (3, 3, '', []),
+    (0, 2, 'I', ['user:']), (0, 3, 'II', ['user:', 'assistant:']),
+    (1, 2, 'I', ['user:']), (1, 3, 'II', ['user:', 'assistant:']),
+    (2, 3, 'I', ['assistant:']), (3, 2, 'I', ['user:'])
+), own(from_state, into_state, edit, initial, price) AS (VALUES
+    (0, 0, 'D', '', 3), (1, 1, 'D', '', 3), (2, 2, 'D', '', 3), (3, 3, 'D', '', 3),
+    (0, 2, 'R', '', 2), (1, 2, 'R', '', 2), (2, 3, 'R', '', 2), (3, 2, 'R', '', 2),
+    (0, 1, 'K', 's', 0), (0, 2, 'K', 'u', 0), (1, 2, 'K', 'u', 0), (2, 3, 'K', 'a', 0), (3, 2, 'K', 'u', 0)
+), path AS (
+    SELECT DISTINCT conv_id, 0::BIGINT AS k, 0 AS state,
+           {'cost': 0::BIGINT, 'audit': '', 'lines': []::VARCHAR[]} AS best
+    FROM placed
+    UNION ALL
+    SELECT p.conv_id, t.k, o.into_state, min({
+        'cost': p.best.cost + 2 * length(a.edits) + o.price
+                + CASE WHEN fault = 'truncated' AND edit <> 'D' THEN 1 ELSE 0 END,
+        'audit': p.best.audit || a.edits || edit,
+        'lines': p.best.lines || a.lines || CASE edit
+            WHEN 'D' THEN [] WHEN 'K' THEN [role || ':' || text]
+            ELSE [CASE WHEN o.into_state = 2 THEN 'user:' ELSE 'assistant:' END || text] END})
+    FROM path p JOIN told t ON t.conv_id IS NOT DISTINCT FROM p.conv_id AND t.k = p.k + 1
+    JOIN added a ON a.from_state = p.state
+    JOIN own o ON o.from_state = a.into_state AND (edit = 'D' OR fault IN ('fine', 'truncated'))
+                  AND (edit <> 'K' OR initial = role[1])
+    GROUP BY p.conv_id, t.k, o.into_state
+), figures AS (
+    SELECT conv_id, max(k) AS k, count(*) FILTER (fault = 'blank') AS blank,
+           count(*) FILTER (fault = 'duplicate') AS duplicate,
+           count(*) FILTER (fault = 'truncated') AS truncated,
+           count(*) FILTER (k > 1 AND before || role[1] NOT IN ('su', 'ua', 'au')) AS illegal,
+           coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps
+    FROM told GROUP BY conv_id
+), ended AS (
+    SELECT p.conv_id, min({'cost': p.best.cost + 2 * length(a.edits), 'audit': p.best.audit || a.edits,
+                           'lines': p.best.lines || a.lines}) AS best
+    FROM path p JOIN figures f ON f.conv_id IS NOT DISTINCT FROM p.conv_id AND f.k = p.k
+    JOIN added a ON a.from_state = p.state AND a.into_state IN (0, 3)
+    GROUP BY p.conv_id
+)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank,
+       coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, coalesce(best.cost, 0) AS cost,
+       coalesce(best.audit, '') AS audit,
+       sha256(coalesce(array_to_string(best.lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c
+LEFT JOIN figures f ON f.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
 ORACLES: dict[str, str] = {
     "op5_decontamination": DECONTAMINATION,
     "op7_suffix_array_dedup": SUBSTRINGS,
     "op10_ngram_jaccard_join": JACCARD,
     "op12_lexical_search": LEXICAL,
+    "op13_conversation_repair": CONVERSATIONS,
 }
