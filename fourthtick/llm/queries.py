@@ -125,6 +125,12 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id")
 
 
+def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fourthtick.llm.neural import score_corpus
+
+    return score_corpus(read_table(spark, sf_dir, "documents"))
+
+
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fourthtick.llm.lexical import search
 
@@ -150,6 +156,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_html_extraction": op9_html_extraction,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+    "op11_lm_scoring": op11_lm_scoring,
     "op12_lexical_search": op12_lexical_search,
     "op13_conversation_repair": op13_conversation_repair,
 }
