@@ -4,6 +4,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import cache, reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,6 +36,14 @@ def _local_folder() -> str:
     return tempfile.mkdtemp(prefix="fourthtick-")
 
 
+_STAGING: ContextVar[str | None] = ContextVar("staging", default=None)
+
+
+def staging_folder(spark: SparkSession) -> str:
+    """Where ``stage`` writes: the folder of the innermost ``staging`` block, else the shared one."""
+    return _STAGING.get() or shared_folder(spark)
+
+
 def stage(rows: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     """Write an intermediate result once and go on from the written files.
 
@@ -42,18 +51,24 @@ def stage(rows: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     once, its lineage ends here, and no executor holds the only copy.
     """
     spark = rows.sparkSession
-    path = f"{folder or shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{folder or staging_folder(spark)}/{name}-{uuid.uuid4().hex}"
     rows.write.parquet(path)
     return spark.read.schema(rows.schema).parquet(path)
 
 
 @contextmanager
 def staging(spark: SparkSession) -> Iterator[str]:
-    """A folder below the shared one for staged results, deleted at the end of the block."""
+    """A folder below the shared one, deleted at the end of the block.
+
+    Results staged inside the block go there, unless they name another folder: what
+    outlives the block is staged to the ``staging_folder`` from before it.
+    """
     folder = f"{shared_folder(spark)}/staging-{uuid.uuid4().hex}"
+    before = _STAGING.set(folder)
     try:
         yield folder
     finally:
+        _STAGING.reset(before)
         path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 

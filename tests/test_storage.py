@@ -159,7 +159,14 @@ def test_play_by_play_with_other_types_in_each_file(spark, tmp_path):
 def test_staging_is_removed(spark):
     from pathlib import Path
 
+    outer = storage.staging_folder(spark)
     with storage.staging(spark) as folder:
-        assert storage.stage(spark.range(3), "three", folder).count() == 3
-        assert Path(folder).exists()
-    assert not Path(folder).exists()
+        assert storage.stage(spark.range(3), "three").count() == 3
+        assert list(Path(folder).glob("three-*"))
+        with storage.staging(spark) as inner:
+            assert storage.staging_folder(spark) == inner != folder
+            kept = storage.stage(storage.stage(spark.range(4), "four"), "kept", folder)
+        assert not Path(inner).exists() and kept.count() == 4
+        last = storage.stage(kept, "last", outer)
+    assert not Path(folder).exists() and last.count() == 4
+    assert storage.staging_folder(spark) == outer
