@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-import gc
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,11 +39,25 @@ def bounded(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Let the cleaner remove the shuffle files of steps that are staged and done.
+#: Text read at once by a task that turns it into something larger.
+BATCH_BYTES = 4 << 20
 
-    Spark deletes them when the driver collects the objects that stand for them, which
-    a driver with much memory seldom does by itself in the middle of a long job.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+
+def by_bytes(
+    batches: Iterator[pa.RecordBatch], column: int, limit: int = BATCH_BYTES
+) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that ``column`` holds about ``limit`` bytes in each, one row at least."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(sizes, dtype=np.int64)
+        start = 0
+        while start < len(ends):
+            done = int(ends[start - 1]) if start else 0
+            end = max(start + 1, int(np.searchsorted(ends, done + limit, "right")))
+            yield batch.slice(start, end - start)
+            start = end
+
+
+def text_bytes(docs: DataFrame, column: str = "text") -> int:
+    """Bytes of all texts."""
+    return docs.agg(F.sum(F.octet_length(F.col(column)).cast("long")).alias("n")).first()["n"] or 0
