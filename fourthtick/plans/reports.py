@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from datetime import timedelta
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fourthtick.functions.rounding import exact, round_half_up
-from fourthtick.functions.times import EASTERN, utc_to_wall, wall_to_utc
+from fourthtick.functions.times import EASTERN, time_slice, utc_to_wall, wall_to_utc
 from fourthtick.operators.asof import asof_backward, within_interval
 from fourthtick.operators.combine import side_by_side
 from fourthtick.plans.views import (
@@ -246,24 +246,48 @@ def favorite_calibration(t: Tables) -> DataFrame:
 
 
 def team_market_history(t: Tables, team: str, limit: int = 500) -> DataFrame:
-    """Latest candles of the markets on one team, newest first.
+    """Latest candles of the markets on one team, newest first; candles without a time come last.
 
-    Only the newest ``limit`` candles of each market can be among them, which Spark
-    cuts in every map task before the candles meet the markets.
+    The team's candles are counted per hour first, as sums that are small before they
+    travel. The hours from the newest on that hold ``limit`` candles give the time from
+    which the result is read: a scan that skips older row groups, and the only candles
+    that move. The counts are taken while the plan is built.
     """
-    markets = t.markets.filter(F.col("target_team") == team.upper())
-    newest = Window.partitionBy("market_ticker").orderBy(F.desc("datetime_utc"))
-    latest = t.prices.withColumn("_rank", F.row_number().over(newest)).filter(
-        F.col("_rank") <= limit
-    )
+    markets = t.markets.filter(F.col("target_team") == team.upper()).select(
+        "market_ticker", "target_team"
+    )
+    since = _newest_hours(t.prices, markets, limit)
+    prices = t.prices
+    if since is not None:
+        start = F.lit(since.isoformat(sep=" ")).cast("timestamp_ntz")
+        prices = prices.filter(F.col("datetime_utc") >= start)
     return (
-        latest.join(markets.select("market_ticker", "target_team"), "market_ticker")
+        prices.join(markets, "market_ticker")
         .orderBy(F.desc("datetime_utc"), "market_ticker")
         .limit(limit)
         .select("market_ticker", "target_team", *t.prices.columns[1:])
     )
 
 
+def _newest_hours(prices: DataFrame, markets: DataFrame, limit: int) -> datetime | None:
+    """Start of the hours that hold the newest ``limit`` candles of the markets; None for all candles."""
+    hour = time_slice(F.col("datetime_utc"), 3600).alias("hour")
+    counts = (
+        prices.groupBy("market_ticker", hour)
+        .agg(F.count("*").alias("n"))
+        .join(markets, "market_ticker")
+        .groupBy("hour")
+        .agg(F.sum("n").alias("n"))
+    )
+    # Every hour counted holds a candle, so no more than ``limit`` hours are needed.
+    found = 0
+    for row in counts.orderBy(F.desc_nulls_last("hour")).limit(limit).collect():
+        found += row["n"]
+        if found >= limit:
+            return None if row["hour"] is None else datetime(1970, 1, 1) + timedelta(hours=row["hour"])
+    return None
+
+
 def early_hype_fade(t: Tables, min_price_drop: float = 0.3, window_size: int = 5) -> DataFrame:
     """Markets whose mean price fell from their first to their last candles.
 

@@ -1,90 +1,60 @@
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
-from contextvars import ContextVar
-from functools import cache, reduce
+import re
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fourthtick import schemas
+from fourthtick.sources import footers, records
+from fourthtick.sources.staging import (  # noqa: F401 - callers take them from here
+    shared_folder,
+    stage,
+    staging,
+    staging_folder,
+)
 from fourthtick.tables import STORED_NAMES, Tables
 
 _ATTRIBUTES = {stored: attribute for attribute, stored in STORED_NAMES.items()}
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor can reach, as the cluster names it.
-
-    A local session has all its executors on this machine; only there does a
-    temporary folder stand in for a missing setting.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return _local_folder()
-
-
-@cache
-def _local_folder() -> str:
-    """One temporary folder per process, for sessions whose executors are this machine."""
-    return tempfile.mkdtemp(prefix="fourthtick-")
-
-
-_STAGING: ContextVar[str | None] = ContextVar("staging", default=None)
+# No file of a large table holds more rows, however few partitions wrote it.
+ROWS_PER_FILE = 5_000_000
 
 
-def staging_folder(spark: SparkSession) -> str:
-    """Where ``stage`` writes: the folder of the innermost ``staging`` block, else the shared one."""
-    return _STAGING.get() or shared_folder(spark)
+# Increments are partitions of the stored tables; their column is no column of a table.
+_INCREMENT = "increment"
+BASE = "base"
 
 
-def stage(rows: DataFrame, name: str, folder: str | None = None) -> DataFrame:
-    """Write an intermediate result once and go on from the written files.
+def open_tables(spark: SparkSession, folder: str, without: str | None = None) -> Tables:
+    """The five stored parquet tables, read with their explicit schemas.
 
-    Whatever reads the result afterwards starts from these files: it is computed
-    once, its lineage ends here, and no executor holds the only copy.
+    ``without`` leaves one increment out: what an attempt to store it may have left
+    must not count as known when the increment is made anew.
     """
-    spark = rows.sparkSession
-    path = f"{folder or staging_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    rows.write.parquet(path)
-    return spark.read.schema(rows.schema).parquet(path)
-
-
-@contextmanager
-def staging(spark: SparkSession) -> Iterator[str]:
-    """A folder below the shared one, deleted at the end of the block.
 
-    Results staged inside the block go there, unless they name another folder: what
-    outlives the block is staged to the ``staging_folder`` from before it.
-    """
-    folder = f"{shared_folder(spark)}/staging-{uuid.uuid4().hex}"
-    before = _STAGING.set(folder)
-    try:
-        yield folder
-    finally:
-        _STAGING.reset(before)
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    def stored(name: str) -> DataFrame:
+        schema = schemas.TABLES[name]
+        rows = spark.read.schema(f"{schema.toDDL()}, {_INCREMENT} string").parquet(f"{folder}/{name}")
+        if without is not None:
+            rows = rows.where(F.col(_INCREMENT) != without)
+        return rows.select(*schema.fieldNames())
 
+    return Tables(**{_ATTRIBUTES.get(name, name): stored(name) for name in schemas.TABLES})
 
-# No file of a large table holds more rows, however few partitions wrote it.
-ROWS_PER_FILE = 5_000_000
 
+def save_increment(tables: Tables, folder: str, increment: str, partitions: int | None = None) -> None:
+    """Store new rows as the named increment, in place of what that increment held before.
 
-def open_tables(spark: SparkSession, folder: str) -> Tables:
-    """The five stored parquet tables, read with their explicit schemas."""
-    return Tables(
-        **{
-            _ATTRIBUTES.get(name, name): spark.read.schema(schema).parquet(f"{folder}/{name}")
-            for name, schema in schemas.TABLES.items()
-        }
-    )
+    Storing it again, after a failure between two tables or for whatever reason, leaves
+    every table as if it had been stored once. Other increments are not touched. The
+    rows must not be read from ``folder`` itself: stage them first.
+    """
+    if increment == BASE or not re.fullmatch(r"[A-Za-z0-9_.-]+", increment):
+        raise ValueError(f"not a name for an increment: {increment!r}")
+    _save(tables, folder, increment, partitions, "overwrite")
 
 
 def save_tables(
@@ -97,15 +67,21 @@ def save_tables(
     game or time prunes by the statistics of each row group. ``partitions`` is
     the number of tasks that write each of the two, by default the session's
     number of shuffle partitions; files end after ``ROWS_PER_FILE`` rows.
-    ``mode="append"`` adds an increment without reading what is stored.
+    ``mode="append"`` adds rows without reading what is stored, and again when repeated;
+    ``save_increment`` may be repeated.
     """
+    _save(tables, folder, BASE, partitions, mode)
+
+
+def _save(tables: Tables, folder: str, increment: str, partitions: int | None, mode: str) -> None:
     count = [partitions] if partitions else []
     for name, rows in tables.named().items():
         rows = rows.select(*schemas.TABLES[name].fieldNames())
         if name in ("plays", "kalshi_prices"):
             keys = schemas.KEYS[name]
             rows = rows.repartitionByRange(*count, *keys).sortWithinPartitions(*keys)
-        rows.write.mode(mode).option("maxRecordsPerFile", ROWS_PER_FILE).parquet(f"{folder}/{name}")
+        path = f"{folder}/{name}/{_INCREMENT}={increment}"
+        rows.write.mode(mode).option("maxRecordsPerFile", ROWS_PER_FILE).parquet(path)
 
 
 _BAD = "_bad_row"
@@ -113,11 +89,14 @@ _BAD = "_bad_row"
 
 def _csv_rows(spark: SparkSession, folder: str, name: str, line_breaks: bool) -> DataFrame:
     """Rows of a landed CSV with their text in ``_BAD`` where they do not fit the schema."""
-    return spark.read.schema(schemas.csv_schema(name).add(_BAD, "string")).csv(
+    schema = schemas.csv_schema(name)
+    if line_breaks:
+        found = records.csv_records(spark, f"{folder}/{name}.csv", schema.fieldNames())
+        return records.parsed_records(found, schema, _BAD)
+    return spark.read.schema(schema.add(_BAD, "string")).csv(
         f"{folder}/{name}.csv",
         header=True,
         enforceSchema=False,
-        multiLine=line_breaks,
         escape='"',
         mode="PERMISSIVE",
         columnNameOfCorruptRecord=_BAD,
@@ -132,8 +111,9 @@ def read_csv_table(
     The file is read in its own column order, then brought to the table's by name.
     A row with a cell that does not fit its type, or with too many or too few cells,
     fails the query and is named in the error; ``rejected_csv_rows`` lists such rows
-    instead. Quoted texts may run over several lines; without ``line_breaks`` large
-    files can be split among tasks, but such a text is then a bad row.
+    instead. Quoted texts may run over several lines: files of any size are split among
+    tasks all the same (see ``records``). Where no text does, ``line_breaks=False`` saves
+    the step that tells which lines belong together; such a text is then a bad row.
     """
     rows = _csv_rows(spark, folder, name, line_breaks)
     # The check reads every column: whichever the caller wants, the whole row is parsed.
@@ -180,21 +160,22 @@ def load_tables(spark: SparkSession, folder: str, line_breaks: bool = True) -> T
 def read_play_by_play(spark: SparkSession, path: str) -> DataFrame:
     """Landed play-by-play parquet, only the columns the tables need.
 
-    The counters are stored as floats in some files and as integers in others. Files
-    are read together with those of the same types, then brought to one type here;
-    one footer per file is looked at beforehand.
+    The counters are stored as floats in some files and as integers in others. Footers are
+    read by tasks; files of the same types are read together, then brought to one type
+    here. A file that lacks a column raises ValueError.
     """
     wanted = schemas.RAW_PLAY_BY_PLAY.fields
-    alike: dict[tuple[str, ...], list[str]] = {}
-    for file in sorted(spark.read.parquet(path).inputFiles()):
-        kinds = dict(spark.read.parquet(file).dtypes)
-        alike.setdefault(tuple(kinds[f.name] for f in wanted), []).append(file)
-    parts = [
-        spark.read.parquet(*files).select(
-            *[F.col(f.name).cast(f.dataType).alias(f.name) for f in wanted]
+    names = [f.name for f in wanted]
+    parts = []
+    for kinds, files in footers.files_by_schema(spark, path, names):
+        if missing := [name for name, kind in zip(names, kinds, strict=True) if kind is None]:
+            raise ValueError(f"{(files or [path])[0]} has no column {', '.join(missing)}")
+        stored = ", ".join(f"`{name}` {kind}" for name, kind in zip(names, kinds, strict=True))
+        parts.append(
+            spark.read.schema(stored)
+            .parquet(*(files or [path]))
+            .select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in wanted])
         )
-        for files in alike.values()
-    ]
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -71,6 +71,18 @@ def test_cards_read_candles_and_plays_once(stored):
     assert text.count("/plays") == 1 and text.count("/kalshi_prices") == 1
 
 
+def test_history_moves_only_candles_of_its_hours(spark, stored):
+    newest = stored.prices.groupBy("market_ticker").count().orderBy("count").collect()[-1]
+    team = stored.markets.where(f"market_ticker = '{newest['market_ticker']}'").first()["target_team"]
+    with setting(spark, "spark.sql.autoBroadcastJoinThreshold", "-1"):
+        text = plan(reports.team_market_history(stored, team, limit=5))
+        whole = plan(reports.team_market_history(stored, team, limit=10**6))
+    # The candles are scanned once, and cut before anything is exchanged.
+    assert text.count("/kalshi_prices") == 1 and "Window" not in text
+    assert "GreaterThanOrEqual(datetime_utc," in text
+    assert "GreaterThanOrEqual(datetime_utc," not in whole
+
+
 def test_top_lists_do_not_sort_everything(stored):
     for frame in (reports.market_swings(stored), reports.team_market_history(stored, "H")):
         assert "TakeOrderedAndProject" in plan(frame)

@@ -198,6 +198,31 @@ def test_history_is_newest_first_and_upper_cases_the_team(spark):
     assert (shown.date, shown.time) == ("2025-09-07", "13:02:00")
 
 
+def test_history_takes_whole_hours_and_candles_without_a_time_last(spark):
+    t = tables(
+        spark,
+        games=[game()],
+        markets=[market("M1"), market("M2"), market("M3", team="A")],
+        prices=[
+            *[price(at(13, k), 0.1, "M1") for k in range(3)],
+            *[price(at(13, k), 0.2, "M2") for k in range(2)],
+            price(at(9), 0.3, "M1"),
+            price(None, 0.4, "M2"),
+            *[price(at(20, k), 0.9, "M3") for k in range(9)],
+        ],
+    )
+
+    def closes(limit):
+        return [(r.market_ticker, r.kalshi_close) for r in reports.team_market_history(t, "H", limit).collect()]
+
+    newest = [("M1", 0.1), ("M1", 0.1), ("M2", 0.2), ("M1", 0.1), ("M2", 0.2)]
+    assert closes(2) == newest[:2] and closes(5) == newest
+    assert closes(6) == newest + [("M1", 0.3)]
+    assert closes(7) == closes(500) == newest + [("M1", 0.3), ("M2", 0.4)]
+    assert closes(0) == []
+    assert reports.team_market_history(t, "nobody").collect() == []
+
+
 def test_coverage(spark):
     t = tables(
         spark,

@@ -5,7 +5,7 @@ import pytest
 from build import at, frame, game, market, play, price, rows, tables
 from fourthtick import schemas
 from fourthtick.operators import quality
-from fourthtick.sources import storage
+from fourthtick.sources import footers, storage
 
 
 def sample(spark):
@@ -156,6 +156,43 @@ def test_play_by_play_with_other_types_in_each_file(spark, tmp_path):
     assert sorted((r["play_id"], r["qtr"]) for r in found.collect()) == [(7.0, 2.0), (8.0, 2.0)]
 
 
+def test_many_files_are_grouped_by_what_they_hold(spark, tmp_path):
+    raw = storage.schemas.RAW_PLAY_BY_PLAY
+    path = str(tmp_path / "plays")
+    fixed = {"game_id": "'G'", "time_of_day": "'2024-01-01T00:00:00Z'", "play_id": "cast(id as double)"}
+    whole = spark.range(0, 504, 1, 168).selectExpr(
+        *[f"{fixed.get(f.name, 'NULL')} :: {f.dataType.simpleString()} AS {f.name}" for f in raw]
+    )
+    whole.write.parquet(path)
+    whole.withColumn("play_id", whole["play_id"].cast("int")).write.mode("append").parquet(path)
+    mixed = whole.withColumns({"play_id": whole["play_id"].cast("long"), "qtr": whole["qtr"].cast("float")})
+    mixed.write.mode("append").parquet(path)
+
+    names = raw.fieldNames()
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("footers", "")
+    groups = footers.files_by_schema(spark, path, names)
+    count = len(jobs.getJobIdsForGroup("footers"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted((k[names.index("play_id")], k[names.index("qtr")], len(f)) for k, f in groups) == [
+        ("bigint", "float", 168), ("double", "double", 168), ("int", "double", 168)
+    ]
+    assert count <= 4  # the list of files, the footers and their groups; none per file
+    found = storage.read_play_by_play(spark, path)
+    assert found.schema.simpleString() == raw.simpleString()
+    assert sorted(r["play_id"] for r in found.collect()) == sorted(list(range(504)) * 3)
+
+
+def test_files_that_are_damaged_or_lack_a_column_are_named(spark, tmp_path):
+    path = tmp_path / "plays"
+    spark.range(1).selectExpr("'G' AS game_id").write.parquet(str(path))
+    with pytest.raises(ValueError, match="plays.* has no column season, week"):
+        storage.read_play_by_play(spark, str(path))
+    (path / "broken.parquet").write_bytes(b"PAR1 and then nothing of the kind")
+    with pytest.raises(Exception, match="broken.parquet is no whole parquet file"):
+        storage.read_play_by_play(spark, str(path))
+
+
 def test_staging_is_removed(spark):
     from pathlib import Path
 
