@@ -3,7 +3,7 @@ from datetime import timedelta
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fourthtick.functions.times import epoch_seconds
+from fourthtick.operators.slices import SLICE_ROWS, in_slices, slice_borders
 
 
 def asof_backward(
@@ -14,7 +14,7 @@ def asof_backward(
     right_time: str,
     values: list[str],
     tolerance: timedelta,
-    slice_width: timedelta = timedelta(hours=1),
+    slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
     """Give each left row the latest right row of the same key in [t - tolerance, t].
 
@@ -23,61 +23,59 @@ def asof_backward(
     matched right row.
 
     Both sides are tagged, put in one frame and read in time order, so no pair of
-    rows is ever built. The window runs inside (key, time slice). Each slice starts
-    from the last right row of the key's earlier slices, found on one summary row
-    per slice: slices stay as narrow as they are whatever the tolerance is, and a
-    single huge key is spread over them.
+    rows is ever built and each side is read once. Keys with more than ``slice_rows``
+    rows, found by a count while the plan is built, are cut into slices at quantiles
+    of their times. A slice starts from the last right row of the key's earlier
+    slices, found on one summary row per slice, so its size does not depend on the
+    tolerance either.
     """
-    width = max(int(slice_width.total_seconds()), 1)
-
-    def slice_of(time: str):
-        return F.floor(epoch_seconds(F.col(time)) / F.lit(width))
-
     candidates = right.filter(F.col(by).isNotNull() & F.col(right_time).isNotNull()).select(
         F.col(by),
         F.col(right_time).alias("_at"),
-        slice_of(right_time).alias("_slice"),
         F.lit(0).alias("_side"),
         F.struct(F.col(right_time).alias("at"), *values).alias("_found"),
     )
     seekers = left.filter(F.col(by).isNotNull() & F.col(left_time).isNotNull()).select(
         F.col(by),
         F.col(left_time).alias("_at"),
-        slice_of(left_time).alias("_slice"),
         F.lit(1).alias("_side"),
         F.struct(*left.columns).alias("_row"),
     )
-
-    # One row per slice of either side, with the slice's last right row if it has one.
-    ends = candidates.groupBy(by, "_slice").agg(F.max_by("_found", "_at").alias("_last"))
-    slices = ends.unionByName(
-        seekers.select(by, "_slice").distinct(), allowMissingColumns=True
-    ).groupBy(by, "_slice")
-    earlier = (
-        Window.partitionBy(by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    carried = (
-        slices.agg(F.first("_last", ignorenulls=True).alias("_last"))
-        .withColumn("_found", F.last("_last", ignorenulls=True).over(earlier))
-        .filter(F.col("_found").isNotNull())
-        .select(by, F.col("_found.at").alias("_at"), "_slice", F.lit(0).alias("_side"), "_found")
-    )
+    rows = candidates.unionByName(seekers, allowMissingColumns=True)
+    borders = slice_borders([candidates, seekers], by, "_at", slice_rows)
+    keys = [by]
+    if borders is not None:
+        rows, keys = _with_carried(in_slices(rows, borders, by, "_at"), by), [by, "_slice"]
 
     # A right row at exactly the same time sorts before the left row.
     so_far = (
-        Window.partitionBy(by, "_slice")
+        Window.partitionBy(*keys)
         .orderBy("_at", "_side")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     return (
-        candidates.unionByName(carried)
-        .unionByName(seekers, allowMissingColumns=True)
-        .withColumn("_found", F.last("_found", ignorenulls=True).over(so_far))
+        rows.withColumn("_found", F.last("_found", ignorenulls=True).over(so_far))
         .filter((F.col("_side") == 1) & (F.col("_found.at") >= F.col("_at") - F.lit(tolerance)))
         .select("_row.*", *[F.col(f"_found.{v}").alias(v) for v in values])
     )
 
 
+def _with_carried(sliced: DataFrame, by: str) -> DataFrame:
+    """The rows, and for each slice the last right row of its key's earlier slices if there is one."""
+    ends = sliced.groupBy(by, "_slice").agg(
+        F.max_by("_found", F.when(F.col("_side") == 0, F.col("_at"))).alias("_last")
+    )
+    earlier = (
+        Window.partitionBy(by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    )
+    carried = (
+        ends.withColumn("_found", F.last("_last", ignorenulls=True).over(earlier))
+        .filter(F.col("_found").isNotNull())
+        .select(by, F.col("_found.at").alias("_at"), "_slice", F.lit(0).alias("_side"), "_found")
+    )
+    return sliced.unionByName(carried, allowMissingColumns=True)
+
+
 def within_interval(
     left: DataFrame,
     right: DataFrame,

@@ -1,9 +1,7 @@
-from datetime import timedelta
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fourthtick.functions.times import time_slice
+from fourthtick.operators.slices import SLICE_ROWS, in_slices, slice_borders
 
 
 def rank_by_time(
@@ -12,20 +10,25 @@ def rank_by_time(
     time: str,
     rank: str,
     lookup: DataFrame | None = None,
-    slice_width: timedelta = timedelta(hours=1),
+    slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
-    """Exact ``row_number`` per key in time order, without gathering a key in one task.
+    """Exact ``row_number`` per key in time order, without gathering a large key in one task.
 
-    Rows are ranked inside (key, time slice), and every slice starts from the
-    number of rows in the key's earlier slices. A key that holds a large part of
-    the table is thereby spread over its slices. The slice counts are aggregated
-    map-side; what meets per key is one counter per slice.
+    Keys with more than ``slice_rows`` rows, found by a count while the plan is built, are
+    ranked inside slices of time that hold about as many, and every slice starts from the
+    number of rows in the key's earlier slices. The slice counts are aggregated
+    map-side; what meets per key is one counter per slice. Rows without a key or a time
+    are ranked like any others, NULL first.
 
-    ``lookup`` (one row per key) is joined in on the counters, so the rows
-    themselves are shuffled once. Rows without a lookup match are dropped.
+    ``lookup`` (one row per key) is joined in; rows without a lookup match are dropped.
     """
-    sliced = rows.withColumn("_slice", time_slice(F.col(time), int(slice_width.total_seconds())))
+    borders = slice_borders([rows], by, time, slice_rows)
+    if borders is None:
+        in_time = Window.partitionBy(by).orderBy(time)
+        ranked = rows.withColumn(rank, F.row_number().over(in_time).cast("long"))
+        return ranked if lookup is None else ranked.join(lookup, by)
 
+    sliced = in_slices(rows, borders, by, time)
     earlier = Window.partitionBy(by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         sliced.groupBy(by, "_slice")
@@ -37,8 +40,10 @@ def rank_by_time(
         offsets = offsets.join(lookup, by)
 
     inside = Window.partitionBy(by, "_slice").orderBy(time)
+    found = offsets.withColumnsRenamed({by: "_key", "_slice": "_of"})
+    same = F.col(by).eqNullSafe(F.col("_key")) & (F.col("_slice") == F.col("_of"))
     return (
-        sliced.join(offsets, [by, "_slice"])
+        sliced.join(found, same)
         .withColumn(rank, F.col("_before") + F.row_number().over(inside))
-        .drop("_slice", "_before")
+        .drop("_slice", "_before", "_key", "_of")
     )

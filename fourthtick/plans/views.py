@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fourthtick.functions.ordering import ascending, descending, sort_key
@@ -38,7 +38,11 @@ def last_play() -> Column:
 
 
 def pregame_prices(t: Tables) -> DataFrame:
-    """Every traded candle with its rank in time; rank 1 is the pregame price."""
+    """Every traded candle with its rank in time; rank 1 is the pregame price.
+
+    For a filter on the first ranks Spark cuts every map task's candles to these before it
+    moves them, unless some market is so large that it is ranked in slices.
+    """
     return rank_by_time(
         t.prices.filter(TRADED).select("market_ticker", "datetime_utc", "kalshi_close"),
         by="market_ticker",
@@ -162,28 +166,9 @@ def with_facts(t: Tables, folder: str | None = None) -> Tables:
     )
 
 
-def ranked_prices(t: Tables) -> DataFrame:
-    """``pregame_prices`` ranked by one window per market.
-
-    Readers of the published view keep ``rn = 1`` or the first few ranks; for such
-    a filter Spark cuts every map task's candles to these ranks before it moves
-    them. To rank all candles of a hot market, use ``pregame_prices``.
-    """
-    in_time = Window.partitionBy("market_ticker").orderBy("datetime_utc")
-    ranked = (
-        t.prices.filter(TRADED)
-        .select("market_ticker", "datetime_utc", "kalshi_close")
-        .withColumn("rn", F.row_number().over(in_time))
-    )
-    markets = t.markets.select("market_ticker", "game_id", "target_team")
-    return ranked.join(markets, "market_ticker").select(
-        "market_ticker", "game_id", "target_team", "kalshi_close", "rn"
-    )
-
-
 # Fixed names under which the views are published.
 VIEWS = {
-    "pregame_prices": ranked_prices,
+    "pregame_prices": pregame_prices,
     "game_results": game_results,
     "game_volatility": game_volatility,
     "favorite_summary": favorite_summary,

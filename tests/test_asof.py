@@ -5,6 +5,7 @@ from build import rows
 from fourthtick.functions.times import epoch_seconds, from_epoch_seconds, utc_to_wall, wall_to_utc
 from fourthtick.operators.asof import asof_backward, within_interval
 from fourthtick.operators.ranking import rank_by_time
+from fourthtick.operators.slices import in_slices, slice_borders
 from pyspark.sql import functions as F
 
 START = datetime(2025, 9, 7, 12)
@@ -74,11 +75,11 @@ def random_case(seed, hot):
 
 
 def test_equals_brute_force(spark):
-    for seed, hot, tolerance, width in [
-        (1, False, timedelta(minutes=2), timedelta(hours=1)),
-        (2, True, timedelta(minutes=2), timedelta(minutes=5)),
-        (3, True, timedelta(seconds=90.5), timedelta(seconds=30)),
-        (4, True, timedelta(hours=6), timedelta(hours=1)),
+    for seed, hot, tolerance, size in [
+        (1, False, timedelta(minutes=2), 10**6),
+        (2, True, timedelta(minutes=2), 40),
+        (3, True, timedelta(seconds=90.5), 5),
+        (4, True, timedelta(hours=6), 150),
     ]:
         left, right = random_case(seed, hot)
         expected = []
@@ -86,7 +87,7 @@ def test_equals_brute_force(spark):
             near = [r for r in right if r[0] == key and t - tolerance <= r[1] <= t]
             if near:
                 expected.append((ident, max(near, key=lambda r: r[1])[2]))
-        assert match(spark, left, right, tolerance, slice_width=width) == sorted(expected)
+        assert match(spark, left, right, tolerance, slice_rows=size) == sorted(expected)
 
 
 def test_interval_equals_brute_force(spark):
@@ -111,14 +112,30 @@ def test_interval_equals_brute_force(spark):
 
 def test_rank_equals_sorted_position_for_a_hot_key(spark):
     _, right = random_case(6, True)
-    ranked = rank_by_time(
-        moments(spark, right, ("rt", "v")), "k", "rt", "rn", slice_width=timedelta(minutes=10)
-    )
+    right += [(None, START, -1), ("hot", None, -2), (None, None, -3)]
     expected = []
     for key in {r[0] for r in right}:
-        times = sorted(r for r in right if r[0] == key)
+        times = sorted((r for r in right if r[0] == key), key=lambda r: (r[1] is not None, r[1] or 0))
         expected += [(r[2], i + 1) for i, r in enumerate(times)]
-    assert sorted(rows(ranked.select("v", "rn"))) == sorted(expected)
+    for size in (10**6, 20):
+        ranked = rank_by_time(moments(spark, right, ("rt", "v")), "k", "rt", "rn", slice_rows=size)
+        assert sorted(rows(ranked.select("v", "rn"))) == sorted(expected)
+        assert dict(ranked.dtypes)["rn"] == "bigint"
+
+
+def test_a_key_within_one_hour_is_cut_into_even_slices(spark):
+    draw = random.Random(9)
+    # Nearly all within a second, a few before and after, and one key that needs no slices.
+    times = [START + timedelta(microseconds=draw.randrange(10**6)) for _ in range(20_000)]
+    times += [START - timedelta(minutes=1), START + timedelta(minutes=50)]
+    frame = moments(spark, [("hot", t, i) for i, t in enumerate(times)] + [("b", START, 0)], ("rt", "v"))
+    borders = slice_borders([frame], "k", "rt", slice_rows=1000)
+    assert [r["k"] for r in borders.collect()] == ["hot"]
+    sizes = rows(in_slices(frame.where("k = 'hot'"), borders, "k", "rt").groupBy("_slice").count())
+    assert len(sizes) >= 20 and max(n for _, n in sizes) < 1300
+    assert slice_borders([frame], "k", "rt", slice_rows=30_000) is None
+    # Both sides count towards a key's size.
+    assert slice_borders([frame, frame], "k", "rt", slice_rows=30_000) is not None
 
 
 def one(spark, value, build):
@@ -187,7 +204,7 @@ def test_null_keys_match_nothing_and_tolerance_spans_many_slices(spark):
         if fits:
             latest = max(t for t, _ in fits)
             expected.append((number, {v for t, v in fits if t == latest}))
-    for width in (timedelta(hours=1), timedelta(days=9)):
+    for size in (10**6, 9):
         found = asof_backward(
             spark.createDataFrame(left, "k string, t timestamp_ntz, number int"),
             spark.createDataFrame(right, "k string, u timestamp_ntz, v int"),
@@ -196,7 +213,7 @@ def test_null_keys_match_nothing_and_tolerance_spans_many_slices(spark):
             right_time="u",
             values=["v"],
             tolerance=tolerance,
-            slice_width=width,
+            slice_rows=size,
         ).collect()
         got = {r["number"]: r["v"] for r in found}
         assert len(found) == len(expected) and got.keys() == {n for n, _ in expected}
