@@ -298,8 +298,15 @@ def find_contamination(
 
 
 def keep_uncontaminated(docs: DataFrame, items: DataFrame, length: int = WINDOW_WORDS) -> DataFrame:
-    """The documents, with their own columns, in which no test window occurs."""
+    """The documents, with their own columns, in which no test window occurs.
+
+    Null and wordless texts stay, repeated rows are each judged, and an empty table of
+    documents or of items takes nothing away.
+    """
     key = F.xxhash64("doc_id", "text")
     found = find_contamination(docs.select(key.alias("doc_id"), "text"), items, length)
-    hit = stage(found.where("n_hit > 0").select(F.col("doc_id").alias("_hit")).distinct(), "hit")
-    return docs.join(bounded(hit), key == F.col("_hit"), "left_anti")
+    hit = stage(found.where("n_hit > 0").select(F.col("doc_id").alias("hit")).distinct(), "hit")
+    # The caller's columns travel as one, so that none of them can clash with ours.
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    kept = docs.select(key.alias("key"), row).join(bounded(hit), F.col("key") == F.col("hit"), "left_anti")
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -17,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fourthtick.llm.common import crc_bucket
+from fourthtick.llm.common import bounded, by_bytes, crc_bucket
+from fourthtick.sources.storage import stage
 
 LONGEST = 5
 #: Bounds of the fit: labelled documents per language, and words and n-grams kept per language.
@@ -27,11 +28,23 @@ GRAMS_PER_LANGUAGE = 40_000
 #: A document counts as at most this many independent words when its score is worked out.
 EVIDENCE_WORDS = 20
 UNDETERMINED = "und"
+#: Text whose n-grams a task counts at once.
+SAMPLE_BYTES = 1 << 20
 
 _WORD = re.compile(r"[^\W\d_]+")
 _MEMO = 100_000
 
 
+def words_of(text: str) -> Counter[str]:
+    """Runs of letters in lower case with their counts; numerals such as one half are no letters."""
+    counts = Counter(_WORD.findall(text.lower()))
+    for word in [w for w in counts if not w.isalpha()]:
+        times = counts.pop(word)
+        for part in "".join(c if c.isalpha() else " " for c in word).split():
+            counts[part] += times
+    return counts
+
+
 def grams(word: str, n: int) -> list[str]:
     """Character n-grams of a word between marks for its start and end; marks alone are none."""
     marked = f"^{word}$"
@@ -69,7 +82,7 @@ class LanguageModel:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """The likeliest language and its probability; no letters or no model: undetermined, 0."""
-        counts = Counter(_WORD.findall(text.lower())) if text else None
+        counts = words_of(text) if text else None
         if not counts or not self.languages:
             return UNDETERMINED, 0.0
         known, times, score, total = [], [], np.zeros(len(self.languages)), 0
@@ -91,10 +104,10 @@ class LanguageModel:
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, n, item, count) of each batch: words have n = 0, n-grams their length."""
-    for batch in batches:
+    for batch in by_bytes(batches, 1, SAMPLE_BYTES):
         found: Counter = Counter()
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            for word, times in Counter(_WORD.findall((text.as_py() or "").lower())).items():
+            for word, times in words_of(text.as_py() or "").items():
                 found[lang, 0, word] += times
                 for n in range(1, LONGEST + 1):
                     for gram in grams(word, n):
@@ -119,15 +132,24 @@ def fit_language_model(
 ) -> LanguageModel:
     """Fit on doc_id, text, lang; rows without a language or text are left out.
 
-    Per language at most ``sample_per_language`` documents (the smallest hashes of
-    doc_id and text) are read, and the most frequent words and n-grams become the
-    model, so what reaches the driver is bounded by these parameters per language.
+    Per language about ``sample_per_language`` different documents are read, those with
+    the smallest hashes of doc_id and text: of all hashes the share that gives as many
+    on average, found by counting, so no text travels for it. The most frequent words
+    and n-grams become the model, so what reaches the driver is bounded by these
+    parameters per language.
     """
     rows = labelled.select("doc_id", "text", "lang").where("lang IS NOT NULL AND text IS NOT NULL")
+    share = rows.groupBy("lang").agg(
+        F.least(F.lit(1.0), F.lit(float(sample_per_language)) / F.count(F.lit(1))).alias("_share")
+    )
+    share = share.withColumnRenamed("lang", "_lang")
     rows = rows.select("lang", "text", F.xxhash64("doc_id", "text").alias("_key"))
-    first = Window.partitionBy("lang").orderBy("_key")
-    sample = rows.withColumn("_n", F.row_number().over(first)).where(
-        F.col("_n") <= sample_per_language
+    # The hash as a number from 0 to 1.
+    place = F.col("_key") / F.lit(2.0**64) + F.lit(0.5)
+    sample = (
+        rows.join(bounded(stage(share, "language-shares")), F.col("lang") == F.col("_lang"))
+        .where(place <= F.col("_share"))
+        .dropDuplicates(["lang", "_key"])
     )
     counts = (
         sample.select("lang", "text")
@@ -204,7 +226,8 @@ def keep_identified(docs: DataFrame, least_score: float = 0.4) -> DataFrame:
 
     Texts that are null or have no letter go, and so do those whose likeliest
     language has a probability under ``least_score``. If no document has a language
-    to learn from, nothing can be told and only texts without a letter go.
+    to learn from, nothing can be told and only texts without a letter go. Repeated rows
+    are each judged, and an empty table stays empty.
     """
     model = fit_language_model(docs.where(crc_bucket() != 0))
     names = [F.col(f"`{c}`") for c in docs.columns]

@@ -55,7 +55,10 @@ def shard_uniformly(
     table gives an empty result.
     """
     spark = rows.sparkSession
-    names = [c for c in (columns or rows.columns) if c not in ("shard", "slot")]
+    kept = [c for c in (columns or rows.columns) if c not in ("shard", "slot")]
+    # Numbered names inside, so that no column of the caller can clash with ours.
+    names = [f"column_{i}" for i in range(len(kept))]
+    rows = rows.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(kept, names, strict=True)])
 
     def random(salt: int) -> Column:
         return F.xxhash64(F.lit(seed), F.lit(salt), *[F.col(f"`{c}`") for c in names])
@@ -98,6 +101,8 @@ def shard_uniformly(
         dealt.withColumn("_row", F.row_number().over(within))
         .join(starts, ["shard", "_slice"])
         .select(
-            *everything, "shard", (F.col("_start") + F.col("_row") - 1).cast("long").alias("slot")
+            *[F.col(n).alias(c) for c, n in zip(kept, names, strict=True)],
+            "shard",
+            (F.col("_start") + F.col("_row") - 1).cast("long").alias("slot"),
         )
     )

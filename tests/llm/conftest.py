@@ -34,9 +34,11 @@ SCHEMA = "doc_id long, text string, lang string, source string"
 @pytest.fixture(scope="session")
 def docs(spark):
     """Documents with more columns whose names clash with the operators' own."""
-    rows = [(*d, "x", 7, "y", 3) for d in DOCS]
+    names = "_id _key _hit _block _local _final row key word n token"
+    rows = [(*d, "x", 7, "y", 3, *range(len(names.split()))) for d in DOCS]
+    more = "".join(f", {name} int" for name in names.split())
     return spark.createDataFrame(
-        rows, SCHEMA + ", sketch string, shard int, cid string, _bucket int"
+        rows, SCHEMA + ", sketch string, shard int, cid string, _bucket int" + more
     ).repartition(3)
 
 

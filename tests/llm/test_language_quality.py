@@ -28,6 +28,18 @@ def test_backs_off_to_shorter_grams(spark):
     assert model.predict("the")[0] == "en" and model.predict("thingwith")[0] == "en"
     assert model.predict("größer")[0] == "de" and model.predict("ß")[0] == "de"
     assert model.predict("123 ...") == ("und", 0.0) and model.predict(None) == ("und", 0.0)
+    assert {model.predict(t) for t in ("½", "² ³", "Ⅷ", "1½ _")} == {("und", 0.0)}
+    assert model.predict("the½thing")[0] == "en"
+
+
+def test_sample_is_a_share_of_each_language(spark):
+    rows = [(i, f"alpha beta {i}", "en") for i in range(2000)] + [(i, "gamma", "de") for i in range(30)]
+    frame = spark.createDataFrame(rows * 2, "doc_id long, text string, lang string")
+    model = language.fit_language_model(frame, sample_per_language=200)
+    # About one in ten of the numbered texts was read, each once; all of the rare language.
+    assert model.languages == ["de", "en"] and {"alpha", "gamma"} <= model.words.keys()
+    few = language.fit_language_model(frame.where("lang = 'en'"), sample_per_language=1)
+    assert few.languages in ([], ["en"])
 
 
 def test_language_edge_cases(spark, docs, no_docs):
