@@ -4,7 +4,8 @@ Pages of a host share templates. Their element trees are merged into one tree pe
 host, whose nodes are styles (tag and classes below the same ancestors). Content that
 many pages of the host repeat under one style has high entropy over the pages and
 little importance; so has presentation that HTML itself marks as not the article.
-A branch whose importance is low is cut from every page of the host.
+A branch whose importance is low is cut from every page of the host, but never all of a
+page's article or main element: what many pages syndicate is still their article.
 
 Blocks and features are counted with map-side aggregates; per host only the list of
 its low branches, as long as its template is varied, meets the pages again.
@@ -12,6 +13,7 @@ its low branches, as long as its template is varied, meets the pages again.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections.abc import Iterator
@@ -21,12 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fourthtick.llm.common import by_bytes
 from fourthtick.sources.storage import stage
 
 #: A branch is cut below this importance.
 LEAST_IMPORTANCE = 0.5
-#: Unmarked styles of hosts with fewer pages are judged by the tree of all hosts.
-LEAST_PAGES = 8
+#: The tree of all hosts counts like so many more pages of a host when its styles are judged.
+PRIOR_PAGES = 8
 #: A branch marked by words alone is judged without the mark when the unmarked rest of its
 #: site has less than this part of its important content.
 LEAST_REST = 0.1
@@ -50,6 +53,10 @@ ASIDE_WORDS = frozenset(
     "sharing social related recommended comment comments disqus reply replies widget search pagination "
     "pager complementary contentinfo toolbar".split()
 )
+#: A compound name tells a state, not what the element is, if one of these is in it.
+STATE_WORDS = frozenset("no not non has have with without is hide show hidden visible".split())
+#: Inside an article these are its own: the title often stands in a header.
+OF_ARTICLES = frozenset("header masthead".split())
 #: Elements that hold the page or the article are not marked by any class word.
 NEVER_ASIDE = frozenset("html body main article".split())
 CLOSES = {
@@ -69,19 +76,37 @@ _MARKS = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)",
 _DIGITS = re.compile(r"\d+")
 
 
-def style_of(tag: str, attrs: str) -> str:
+_PARTS = re.compile(r"[-_]+")
+
+
+def _names_aside(value: str, inside: bool) -> bool:
+    """Whether a class, id or role names something beside the article, as a whole or in a compound.
+
+    ``comment-list`` does, ``no-banner`` and ``content-with-comments`` do not.
+    """
+    for name in value.split():
+        parts = set(_PARTS.split(name))
+        if len(parts) > 1 and not parts.isdisjoint(STATE_WORDS):
+            continue
+        found = (parts | {name}) & ASIDE_WORDS
+        if found - OF_ARTICLES if inside else found:
+            return True
+    return False
+
+
+def style_of(tag: str, attrs: str, inside: bool = False) -> str:
     """Tag and classes; a final ``!`` marks what is not the article by its tag, class, id or role.
 
-    A class, id or role counts as a whole: ``no-banner`` is not a banner.
+    ``inside``: the element is part of an article, whose header is its own.
     """
-    classes, aside = "", tag in ASIDE_TAGS
+    classes, aside = "", tag in ASIDE_TAGS and not (inside and tag in OF_ARTICLES)
     if attrs and "=" in attrs:
         for name, value in _MARKS.findall(attrs):
             value = html.unescape(value.strip("\"'")).lower()
             if name.lower() == "class":
                 classes = ".".join(sorted(_DIGITS.sub("0", value).replace("/", "_").split()))
             if tag not in NEVER_ASIDE:
-                aside = aside or not ASIDE_WORDS.isdisjoint(value.split())
+                aside = aside or _names_aside(value, inside)
     return f"{tag}.{classes}" * bool(classes) + tag * (not classes) + "!" * aside
 
 
@@ -126,7 +151,7 @@ def blocks_of(page: str | None) -> list[tuple[str, str]]:
         if tag == "br":
             parts.append(" ")
             continue
-        style = style_of(tag, m["attrs"])
+        style = style_of(tag, m["attrs"], any(t == "article" for t, _ in stack))
         if tag in INLINE and not style.endswith("!"):
             continue
         flush()
@@ -148,22 +173,24 @@ def blocks_of(page: str | None) -> list[tuple[str, str]]:
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per page each style path once with a null feature and once per distinct block text."""
-    for batch in batches:
-        hosts, paths, features = [], [], []
+    """Per page each style path once with a null feature and once per distinct block text.
+
+    ``page`` stands for the blocks of the page: pages with the same are one page of the site.
+    """
+    for batch in by_bytes(batches, 1):
+        hosts, paths, features, pages = [], [], [], []
         for host, page in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            found = set(blocks_of(page.as_py()))
-            for path in {p for p, _ in found}:
-                hosts.append(host)
-                paths.append(path)
-                features.append(None)
-            for path, text in found:
-                hosts.append(host)
-                paths.append(path)
-                features.append(text)
+            blocks = blocks_of(page.as_py())
+            found = set(blocks)
+            rows = [(path, None) for path in {p for p, _ in found}] + list(found)
+            hosts += [host] * len(rows)
+            paths += [path for path, _ in rows]
+            features += [text for _, text in rows]
+            digest = hashlib.blake2b(repr(blocks).encode("utf-8", "surrogatepass"), digest_size=8)
+            pages += [int.from_bytes(digest.digest(), "little", signed=True)] * len(rows)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(x, pa.string()) for x in (hosts, paths, features)],
-            names=["host", "path", "feature"],
+            [*[pa.array(x, pa.string()) for x in (hosts, paths, features)], pa.array(pages, pa.int64())],
+            names=["host", "path", "feature", "page"],
         )
 
 
@@ -174,7 +201,7 @@ def host_of(url: str = "url"):
 def style_tree(pages: DataFrame) -> DataFrame:
     """(host, path, pages, importance, bare, held) of every node; host null is the tree of all hosts.
 
-    A text on k of the m pages that have its style has the entropy log k / log m
+    A text on k of the m different pages that have its style has the entropy log k / log m
     there; the importance of a style is one minus the mean entropy of what it
     holds, times its weight. An inner node is as important as the best of its
     branch, so it is low only if everything below it is. ``bare`` is the importance
@@ -183,8 +210,15 @@ def style_tree(pages: DataFrame) -> DataFrame:
     """
     texts = (
         pages.select(host_of().alias("host"), "html")
-        .mapInArrow(_features, "host string, path string, feature string")
-        .select("host", "path", F.xxhash64("feature").alias("feature"), F.col("feature").isNull().alias("whole"))
+        .mapInArrow(_features, "host string, path string, feature string, page long")
+        .select(
+            "host",
+            "path",
+            F.xxhash64("feature").alias("feature"),
+            F.col("feature").isNull().alias("whole"),
+            "page",
+        )
+        .distinct()
     )
     counted = stage(
         texts.groupBy("host", "path", "feature", "whole").agg(F.count(F.lit(1)).alias("k")),
@@ -241,18 +275,26 @@ def style_tree(pages: DataFrame) -> DataFrame:
     )
 
 
+_IN_ARTICLE = re.compile(r"(^|/)(article|main)[./]|(^|/)(article|main)$")
+
+
+def _is_cut(path: str, cut: set[str]) -> bool:
+    steps = path.split("/")
+    return any("/".join(steps[:n]) in cut for n in range(1, len(steps) + 1))
+
+
 def extract_main_text(
-    pages: DataFrame, least: float = LEAST_IMPORTANCE, least_pages: int = LEAST_PAGES
+    pages: DataFrame, least: float = LEAST_IMPORTANCE, prior_pages: int = PRIOR_PAGES
 ) -> DataFrame:
     """page_id, url, text and n_chars of every page, without the low branches of its site.
 
     Null html is an empty page; a url without a host counts as one site of its own;
-    repeated rows are each extracted (and weigh on their site); an empty table gives
-    none. Only page_id, url and html are read.
+    repeated rows are each extracted and count as one page of their site; an empty table
+    gives none. A header inside an article is the article's own and stays, other headers
+    go. Only page_id, url and html are read.
     """
     pages = pages.select("page_id", "url", "html")
     tree = stage(style_tree(pages), "style-tree")
-    low = F.col("importance") < least
     nodes = tree.where("host IS NOT NULL")
     # Per host the outermost marked branch (empty: no mark) with the most important content.
     top = F.regexp_extract("path", "^[^!]*!", 0)
@@ -260,32 +302,32 @@ def extract_main_text(
         F.max("pages").alias("_pages"), F.sum("held").alias("_held")
     )
     is_rest = F.col("_top") == ""
-    sizes = (
+    main = (
         branches.groupBy("host")
         .agg(
-            F.max("_pages").alias("_pages"),
             F.coalesce(F.max(F.when(is_rest, F.col("_held"))), F.lit(0.0)).alias("_rest"),
             F.max(F.when(~is_rest, F.struct("_held", "_top"))).alias("_most"),
         )
         .select(
             "host",
-            "_pages",
             F.when(F.col("_rest") < LEAST_REST * F.col("_most._held"), F.col("_most._top")).alias("_main"),
         )
     )
     within = F.col("path").startswith(F.col("_main")) | F.col("_main").startswith(
         F.concat("path", F.lit("/"))
     )
-    nodes = nodes.join(sizes, "host").withColumn(
+    nodes = nodes.join(main, "host").withColumn(
         "importance", F.when(within, F.col("bare")).otherwise(F.col("importance"))
     )
-    # A mark needs no other pages to be judged; entropy does, so few pages ask all hosts.
-    few, marked = F.col("_pages") < least_pages, F.col("path").contains("!")
-    own = nodes.where(low & (~few | marked)).select("host", "path")
-    anywhere = tree.where(F.col("host").isNull() & low & (F.col("pages") >= least_pages))
-    shared = nodes.where(few & ~marked).select("host", "path").join(anywhere.select("path"), "path")
+    # A mark needs no other pages to be judged. Entropy does: what all hosts show of a style
+    # weighs the more, the fewer pages a host has beyond the first.
+    anywhere = tree.where("host IS NULL").select("path", F.col("importance").alias("_anywhere"))
+    seen = F.col("pages") - 1
+    judged = (seen * F.col("importance") + prior_pages * F.col("_anywhere")) / (seen + prior_pages)
+    marked = F.col("path").contains("!")
+    low = nodes.join(anywhere, "path").where(F.when(marked, F.col("importance")).otherwise(judged) < least)
     rules = stage(
-        own.unionByName(shared).groupBy("host").agg(F.collect_set("path").alias("cut")),
+        low.groupBy("host").agg(F.collect_set("path").alias("cut")),
         "style-rules",
     )
 
@@ -297,12 +339,13 @@ def extract_main_text(
                 cut = set(cut or ())
                 kept: dict[str, bool] = {}
                 out = []
-                for path, text in blocks_of(page.as_py()):
+                blocks = blocks_of(page.as_py())
+                articles = {path for path, _ in blocks if "!" not in path and _IN_ARTICLE.search(path)}
+                if articles and all(_is_cut(path, cut) for path in articles):
+                    kept = dict.fromkeys(articles, True)
+                for path, text in blocks:
                     if (keep := kept.get(path)) is None:
-                        steps = path.split("/")
-                        keep = kept[path] = not any(
-                            "/".join(steps[:n]) in cut for n in range(1, len(steps) + 1)
-                        )
+                        keep = kept[path] = not _is_cut(path, cut)
                     if keep:
                         out.append(text)
                 texts.append(" ".join(out))

@@ -109,3 +109,48 @@ def test_class_words_do_not_cost_the_article(spark):
     for r in ext.extract_main_text(pages).collect():
         i = r["page_id"] % 100
         assert r["text"] == f"Story {i * i + 7}", (r["url"], r["text"])
+
+
+def extracted(spark, rows):
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    return {r["page_id"]: r["text"] for r in ext.extract_main_text(pages).collect()}
+
+
+def test_repeated_and_syndicated_articles_stay(spark):
+    page = "<body><nav>Menu</nav><div class=y><p>One story</p><p>told again</p></div></body>"
+    rows = [(i, "http://r.example/", page) for i in range(9)]
+    rows += [
+        (100 + i, f"http://s.example/{i}", f"<body><nav>Menu</nav><p>Seen {i} times</p><article><h1>News</h1>"
+         "<p>For all</p><div class=share>Share</div></article></body>")
+        for i in range(12)
+    ]
+    found = extracted(spark, rows)
+    assert {found[i] for i in range(9)} == {"One story told again"}
+    assert [found[100 + i] for i in range(12)] == [f"Seen {i} times News For all" for i in range(12)]
+
+
+def test_compound_names_and_headers(spark):
+    """Comments and site headers under compound names go on hosts of any size, an article's header stays."""
+    rows = [
+        (
+            1000 * n + i,
+            f"http://n{n}.example/{i}",
+            f"<body><div class=site-header><p>Welcome {i}</p></div><article><header><h1>Title {i}</h1></header>"
+            f"<p>Story {i} {i * i + 5} alpha</p><footer>Filed {i}</footer></article>"
+            f"<ul class=comment-list><li>Reader {i} says {i + 1}</li></ul></body>",
+        )
+        for n in (1, 3, 30)
+        for i in range(n)
+    ]
+    for page_id, text in extracted(spark, rows).items():
+        i = page_id % 1000
+        assert text == f"Title {i} Story {i} {i * i + 5} alpha"
+
+
+def test_names_of_states_are_no_marks():
+    for value in ("comment-list", "site_header", "top-ad", "sidebar", "menu--main"):
+        assert ext.style_of("div", f'class="{value}"').endswith("!"), value
+    for value in ("no-banner", "has-sidebar", "content-with-comments", "headerless", "shared"):
+        assert not ext.style_of("div", f"class={value}").endswith("!"), value
+    assert not ext.style_of("div", "class=entry-header", inside=True).endswith("!")
+    assert ext.style_of("div", "class=entry-footer", inside=True).endswith("!")
