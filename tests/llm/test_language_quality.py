@@ -69,6 +69,56 @@ def test_held_out_quality(spark):
     assert sum((s >= 0.3) == q for s, q in known) / len(known) >= 0.95
 
 
+def test_predicted_on_few_labels(spark):
+    docs, labels = (read_table(spark, SF_DIR, t) for t in ("documents", "labels"))
+    truth = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    rows = quality.classify_quality(docs, labels).where("held_out").collect()
+    known = [(r["predicted"], truth[r["doc_id"]]) for r in rows if r["doc_id"] in truth]
+    assert sum(p == q for p, q in known) / len(known) >= 0.95
+    bad = [p for p, q in known if q == 0]
+    assert sum(p == 0 for p in bad) >= 0.7 * len(bad)
+
+
+def test_leader_equals_the_plain_formula():
+    """FTRL-proximal written out for one feature at a time."""
+    import math
+
+    import numpy as np
+
+    draw = np.random.default_rng(4)
+    examples = [
+        (np.append(np.sort(draw.choice(16, 3, replace=False)), 16), np.append(draw.random(3), 1.0), float(draw.random() < 0.6))
+        for _ in range(50)
+    ]
+    alpha, beta, l1, l2 = 0.7, 1.0, 0.05, 0.1
+    z, n = [0.0] * 17, [0.0] * 17
+
+    def weight(i):
+        if abs(z[i]) <= l1:
+            return 0.0
+        return -(z[i] - math.copysign(l1, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+
+    for _ in range(3):
+        for index, values, label in examples:
+            w = [weight(i) for i in index]
+            p = 1 / (1 + math.exp(-sum(a * b for a, b in zip(w, values))))
+            for i, a, v in zip(index, w, values):
+                g = (p - label) * v
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha * a
+                n[i] += g * g
+    got = quality.follow_the_leader(examples, bits=4, epochs=3, alpha=alpha, beta=beta, l1=l1, l2=l2)
+    assert np.allclose(got, [weight(i) for i in range(17)])
+
+
+def test_several_leaders_count_by_their_rows(spark):
+    rows = [(i, "good words" if i % 3 else "bad noise", float(i % 3 > 0)) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, quality double")
+    for shards in (1, 7):
+        weights = quality.fit_quality(docs, docs, shards=shards)
+        scored = quality.score_quality(docs, weights, ["doc_id"]).collect()
+        assert all((r["score"] > 0.5) == (r["doc_id"] % 3 > 0) for r in scored)
+
+
 def test_leader_separates_and_stays_sparse():
     bad = [quality.features(f"!! noise{i} !!") for i in range(50)]
     good = [quality.features(f"calm words number{i}") for i in range(50)]
