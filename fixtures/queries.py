@@ -17,14 +17,58 @@ from pyspark.sql import functions as F
 from fixtures import raw
 from fixtures.relations import relations
 from fourthtick import Tables
-from fourthtick.operators import combine, quality
-from fourthtick.plans import details, ingest, reports, views
+from fourthtick.operators import combine, distinct, quality
+from fourthtick.plans import details, ingest, landing, reports, routes, summaries, views
 from fourthtick.sources import storage
 
 TEAM = "T01"
 SIX_HOURS = timedelta(hours=6)
 
 
+def _thirds(t: Tables) -> list[Tables]:
+    """The tables' candles and plays in three parts, by minute and by play."""
+    return [
+        replace(
+            t,
+            plays=t.plays.filter(f"play_id % 3 = {k}"),
+            prices=t.prices.filter(f"coalesce(minute(datetime_utc), 0) % 3 = {k}"),
+        )
+        for k in range(3)
+    ]
+
+
+def _with_increment_states(t: Tables) -> Tables:
+    """Facts out of the states of three increments, one of them stored twice, compacted half way."""
+    folder = f"{storage.shared_folder(t.spark)}/states-{uuid.uuid4().hex}"
+    first, second, third = _thirds(t)
+    summaries.add_states(first, folder)
+    summaries.add_states(second, folder, "second")
+    summaries.compact_states(t.spark, folder, f"{folder}-compact")
+    for _ in range(2):
+        summaries.add_states(third, f"{folder}-compact", "third")
+    return summaries.with_states(t, f"{folder}-compact")
+
+
+def _overlap_by_day(t: Tables) -> DataFrame:
+    """Sets of the games of two halves of the plays, stored apart; numbers of the second added to the first's."""
+    folder = f"{storage.shared_folder(t.spark)}/overlap-{uuid.uuid4().hex}"
+    early = t.games.filter("week <= 10")
+    numbers = distinct.numbered(early, "game_id")
+    for k, games in enumerate((early, t.games)):
+        numbers = distinct.numbered(games, "game_id", numbers)
+        plays = t.plays.join(games.select("game_id"), "game_id", "left_semi")
+        reports.overlap_sets(replace(t, plays=plays), numbers).write.parquet(f"{folder}/part={k}")
+    return reports.overlap_by_day(t.spark.read.parquet(folder))
+
+
+def _route(call: str, **args) -> Callable[[Tables], DataFrame]:
+    def run(t: Tables) -> DataFrame:
+        routes.publish_functions(t)
+        return t.spark.sql(f"SELECT * FROM {call}", args=args)
+
+    return run
+
+
 def _on_tables(run: Callable[[Tables], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: run(relations(spark, sf_dir))
 
@@ -124,6 +168,33 @@ def _two_ingests(spark: SparkSession, sf_dir: str) -> Tables:
     return storage.open_tables(spark, folder)
 
 
+def _taken_in(spark: SparkSession, sf_dir: str) -> Tables:
+    """What two landings leave in the store, each taken in by a stream; markets land with the first."""
+    base = f"{storage.shared_folder(spark)}/taken-{uuid.uuid4().hex}"
+    landed, store = f"{base}/landed", f"{base}/store"
+    plays, markets = raw.play_by_play(spark, sf_dir), raw.markets(spark, sf_dir)
+    pages = raw.candles(spark, sf_dir, raw.WINNER_TICKER)
+    even = F.substring("game_id", 2, 20).cast("int") % 2 == 0
+    plays.filter(even).write.parquet(f"{landed}/play_by_play")
+    markets.write.json(f"{landed}/markets")
+    pages.write.json(f"{landed}/candles")
+    landing.take_in(spark, landed, store, **INGEST)
+    plays.filter(~even).write.mode("append").parquet(f"{landed}/play_by_play")
+    landing.take_in(spark, landed, store, **INGEST)
+    return storage.open_tables(spark, store)
+
+
+def _stored_twice(spark: SparkSession, sf_dir: str) -> Tables:
+    """Candles and plays stored as increments, the last of them twice."""
+    folder = f"{storage.shared_folder(spark)}/repeated-{uuid.uuid4().hex}"
+    first, second, third = _thirds(relations(spark, sf_dir))
+    storage.save_tables(first, folder)
+    for name, part in (("second", second), ("third", third), ("third", third)):
+        rest = {k: getattr(part, k).limit(0) for k in ("teams", "games", "markets")}
+        storage.save_increment(replace(part, **rest), folder, name)
+    return storage.open_tables(spark, folder)
+
+
 def _damaged(t: Tables) -> Tables:
     """Keys three times and NULL, a team without a name, and an orphan of each reference."""
     plays, prices = t.plays.filter("play_id % 50 = 3"), t.prices.filter("kalshi_volume = 7")
@@ -243,6 +314,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     # Reports
     "market_bias": _on_tables(reports.market_bias),
     "market_bias_from_facts": _on_tables(lambda t: reports.market_bias(views.with_facts(t))),
+    "market_bias_from_increments": _on_tables(
+        lambda t: reports.market_bias(_with_increment_states(t))
+    ),
+    "results_from_increments": _on_tables(lambda t: views.game_results(_with_increment_states(t))),
     "market_swings": _on_tables(reports.market_swings),
     "adversity_performance": _on_tables(reports.adversity_performance),
     "accuracy_by_week": _on_tables(reports.accuracy_by_week),
@@ -257,6 +332,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "vegas_vs_market": _on_tables(reports.vegas_vs_market),
     "score_vs_market": _on_tables(_scores),
     "timestamp_overlap": _on_tables(reports.timestamp_overlap),
+    "overlap_by_day": _on_tables(_overlap_by_day),
+    # Reports as table functions
+    "sql_market_bias": _on_tables(_route("market_bias(:least)", least=5)),
+    "sql_market_swings": _on_tables(_route("market_swings()")),
+    "sql_underdog_win_rate": _on_tables(_route("underdog_win_rate(max_prob => :most)", most=0.4)),
+    "sql_favorite_win_rate": _on_tables(_route("favorite_win_rate()")),
+    "sql_early_hype_fade": _on_tables(_route("early_hype_fade(:drop, 5)", drop=0.1)),
     # Ingest
     "build_games": lambda spark, d: ingest.build_games(raw.play_by_play(spark, d)),
     "build_plays": lambda spark, d: ingest.build_plays(raw.play_by_play(spark, d)),
@@ -286,6 +368,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "build_tables_increment_markets": lambda spark, d: _two_ingests(spark, d).markets.select(
         "market_ticker", "target_team"
     ),
+    "taken_in_prices": lambda spark, d: _taken_in(spark, d).prices,
+    "taken_in_games": lambda spark, d: _taken_in(spark, d).games,
+    "taken_in_plays": lambda spark, d: _taken_in(spark, d).plays,
     "landed_candles": _landed_candles,
     "rejected_payloads": _rejected,
     "play_by_play_files": lambda spark, d: ingest.build_plays(raw.play_files(spark, d)),
@@ -298,6 +383,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "rejected_csv_rows": _bad_csv_rows,
     "stored_plays": lambda spark, d: _stored(spark, d).plays,
     "stored_prices": lambda spark, d: _stored(spark, d).prices,
+    "stored_twice_plays": lambda spark, d: _stored_twice(spark, d).plays,
+    "stored_twice_prices": lambda spark, d: _stored_twice(spark, d).prices,
     "csv_only_if_absent": _kept_csv,
     "check_keys": _on_tables(quality.check_keys),
     "check_keys_damaged": _on_tables(lambda t: quality.check_keys(_damaged(t))),

@@ -11,6 +11,7 @@ from fourthtick.functions.rounding import exact, round_half_up
 from fourthtick.functions.times import EASTERN, time_slice, utc_to_wall, wall_to_utc
 from fourthtick.operators.asof import asof_backward, within_interval
 from fourthtick.operators.combine import side_by_side
+from fourthtick.operators.distinct import key_sets, set_sizes
 from fourthtick.plans.views import (
     TRADED,
     finished_games,
@@ -46,7 +47,13 @@ def market_bias(t: Tables, min_games: int = 5) -> DataFrame:
 
 
 def market_swings(t: Tables, limit: int = 20) -> DataFrame:
-    """Markets with the widest price range since midnight of game day.
+    """Markets with the widest price range since midnight of game day."""
+    widest = swings(t).orderBy(F.desc("swing"), "game_id", "market_ticker").limit(limit)
+    return widest.drop("market_ticker", "swing")
+
+
+def swings(t: Tables) -> DataFrame:
+    """Price range of every market since midnight of game day, rounded and exact.
 
     Midnight is a day boundary, so candles are first reduced to one row per
     market and day; the game date is compared on those.
@@ -65,8 +72,6 @@ def market_swings(t: Tables, limit: int = 20) -> DataFrame:
         .groupBy("game_id", "home_team", "away_team", "market_ticker", "target_team")
         .agg(F.min("low").alias("low"), F.max("high").alias("high"))
         .withColumn("swing", F.col("high") - F.col("low"))
-        .orderBy(F.desc("swing"), "game_id", "market_ticker")
-        .limit(limit)
         .select(
             "game_id",
             "home_team",
@@ -75,6 +80,8 @@ def market_swings(t: Tables, limit: int = 20) -> DataFrame:
             round_half_up(F.col("low"), 3).alias("min_price"),
             round_half_up(F.col("high"), 3).alias("max_price"),
             round_half_up(F.col("swing"), 3).alias("price_swing"),
+            "market_ticker",
+            "swing",
         )
     )
 
@@ -294,9 +301,7 @@ def early_hype_fade(t: Tables, min_price_drop: float = 0.3, window_size: int = 5
     Prices are compared with the threshold as decimals, so the result cannot
     hinge on float noise.
     """
-    traded = t.prices.filter(TRADED).select(
-        "market_ticker", "datetime_utc", "kalshi_close", "kalshi_volume"
-    )
+    traded = traded_parts(t)
     totals = (
         traded.groupBy("market_ticker")
         .agg(F.count("*").alias("num_candles"), F.sum("kalshi_volume").alias("total_volume"))
@@ -327,7 +332,15 @@ def early_hype_fade(t: Tables, min_price_drop: float = 0.3, window_size: int = 5
 RANK_PARTS = 64
 
 
-def _edges(traded: DataFrame, size: int) -> DataFrame:
+def traded_parts(t: Tables) -> DataFrame:
+    """Traded candles with the part of their market that they are ranked in first."""
+    part = F.pmod(F.xxhash64("datetime_utc"), F.lit(RANK_PARTS)).alias("part")
+    return t.prices.filter(TRADED).select(
+        "market_ticker", "datetime_utc", "kalshi_close", "kalshi_volume", part
+    )
+
+
+def _edges(dealt: DataFrame, size: int) -> DataFrame:
     """Volume and mean price of each market's first, mean price of its last candles.
 
     The first (last) ``size`` candles of a market are among the first (last) ``size``
@@ -336,15 +349,12 @@ def _edges(traded: DataFrame, size: int) -> DataFrame:
     hot market, and for short windows Spark cuts every map task's output to ``size``
     rows per part before it moves them.
     """
-    part = F.pmod(F.xxhash64("datetime_utc"), F.lit(RANK_PARTS))
-    dealt = traded.withColumn("_part", part)
-
     def edge(order: Column):
         def kept(rows: DataFrame, *keys: str) -> DataFrame:
             rank = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
             return rows.withColumn("rank", rank).filter(F.col("rank") <= size)
 
-        return kept(kept(dealt, "market_ticker", "_part"), "market_ticker").groupBy("market_ticker")
+        return kept(kept(dealt, "market_ticker", "part"), "market_ticker").groupBy("market_ticker")
 
     first = edge(F.asc("datetime_utc")).agg(
         F.sum("kalshi_volume").alias("first_window_volume"), F.avg("kalshi_close").alias("early")
@@ -478,19 +488,51 @@ def timestamp_overlap(
     prices = t.prices.agg(
         F.min(candle_at).alias("kalshi_ts_min"), F.max(candle_at).alias("kalshi_ts_max")
     )
-    near = within_interval(
-        t.plays.filter(played_at.isNotNull())
+    near = _plays_near_candles(t, tolerance, candle_zone)
+    overlap = near.agg(F.countDistinct("game_id").alias("games_with_ts_overlap"))
+    return side_by_side(plays, prices, overlap)
+
+
+def _plays_near_candles(t: Tables, tolerance: timedelta, candle_zone: str) -> DataFrame:
+    """Times of plays that have a candle of a market on their game within ``tolerance``."""
+    return within_interval(
+        t.plays.filter(F.col("timestamp_utc").isNotNull())
         .select("game_id", "timestamp_utc")
         .distinct()
         .join(t.markets.select("market_ticker", "game_id"), "game_id"),
-        t.prices.select("market_ticker", wall_to_utc(candle_at, candle_zone).alias("candle_utc")),
+        t.prices.select(
+            "market_ticker", wall_to_utc(F.col("datetime_utc"), candle_zone).alias("candle_utc")
+        ),
         by="market_ticker",
         left_time="timestamp_utc",
         right_time="candle_utc",
         tolerance=tolerance,
     )
-    overlap = near.agg(F.countDistinct("game_id").alias("games_with_ts_overlap"))
-    return side_by_side(plays, prices, overlap)
+
+
+def overlap_sets(
+    t: Tables,
+    numbers: DataFrame,
+    tolerance: timedelta = timedelta(minutes=10),
+    candle_zone: str = EASTERN,
+) -> DataFrame:
+    """(day, bucket, keys): per day the set of games with a candle near a play, to be stored.
+
+    ``numbers`` are those of ``distinct.numbered`` games. Days that are added later are
+    counted alone; any range of days is counted from the stored sets, exactly.
+    """
+    near = _plays_near_candles(t, tolerance, candle_zone)
+    days = near.select("game_id", F.col("timestamp_utc").cast("date").alias("day"))
+    return key_sets(days, "day", "game_id", numbers)
+
+
+def overlap_by_day(sets: DataFrame) -> DataFrame:
+    """Games with an overlap per day, and of all days (day NULL), from stored ``overlap_sets``."""
+    each = set_sizes(sets, "day", name="games_with_ts_overlap")
+    whole = set_sizes(sets, name="games_with_ts_overlap").select(
+        F.lit(None).cast("date").alias("day"), "games_with_ts_overlap"
+    )
+    return each.unionByName(whole).orderBy(F.asc_nulls_last("day"))
 
 
 def filter_plays(

@@ -29,7 +29,7 @@ def _kind(column: pq.ColumnSchema) -> str:
     return f"{column.physical_type} {logical}".lower()
 
 
-def physical_schemas(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+def physical_schemas(spark: SparkSession, path: str | list[str], columns: list[str]) -> DataFrame:
     """(file, kinds): of every parquet file below ``path``, the stored type of each column.
 
     The list of files is a table and footers are read by the tasks that hold it: the
@@ -63,7 +63,7 @@ def physical_schemas(spark: SparkSession, path: str, columns: list[str]) -> Data
 
 
 def files_by_schema(
-    spark: SparkSession, path: str, columns: list[str]
+    spark: SparkSession, path: str | list[str], columns: list[str]
 ) -> list[tuple[list[str | None], list[str] | None]]:
     """Each set of physical types with its files, or with None where all files are alike.
 

@@ -157,7 +157,7 @@ def load_tables(spark: SparkSession, folder: str, line_breaks: bool = True) -> T
     )
 
 
-def read_play_by_play(spark: SparkSession, path: str) -> DataFrame:
+def read_play_by_play(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Landed play-by-play parquet, only the columns the tables need.
 
     The counters are stored as floats in some files and as integers in others. Footers are
@@ -166,24 +166,25 @@ def read_play_by_play(spark: SparkSession, path: str) -> DataFrame:
     """
     wanted = schemas.RAW_PLAY_BY_PLAY.fields
     names = [f.name for f in wanted]
+    paths = [path] if isinstance(path, str) else path
     parts = []
-    for kinds, files in footers.files_by_schema(spark, path, names):
+    for kinds, files in footers.files_by_schema(spark, paths, names):
         if missing := [name for name, kind in zip(names, kinds, strict=True) if kind is None]:
-            raise ValueError(f"{(files or [path])[0]} has no column {', '.join(missing)}")
+            raise ValueError(f"{(files or paths)[0]} has no column {', '.join(missing)}")
         stored = ", ".join(f"`{name}` {kind}" for name, kind in zip(names, kinds, strict=True))
         parts.append(
             spark.read.schema(stored)
-            .parquet(*(files or [path]))
+            .parquet(*(files or paths))
             .select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in wanted])
         )
     return reduce(DataFrame.unionByName, parts)
 
 
-def read_landed_markets(spark: SparkSession, path: str) -> DataFrame:
+def read_landed_markets(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Landed market lists: one JSON line per request, the response body kept as text."""
     return spark.read.schema(schemas.LANDED_MARKETS).json(path)
 
 
-def read_landed_candles(spark: SparkSession, path: str) -> DataFrame:
+def read_landed_candles(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Landed candle lists: one JSON line per request, the response body kept as text."""
     return spark.read.schema(schemas.LANDED_CANDLES).json(path)

@@ -237,6 +237,8 @@ FROM games WHERE week = 3"""
     ),
     "stored_plays": query("FROM plays"),
     "stored_prices": query("FROM prices"),
+    "stored_twice_plays": query("FROM plays"),
+    "stored_twice_prices": query("FROM prices"),
     "csv_only_if_absent": query("FROM teams"),
     "check_keys": query(
         """SELECT 'teams' AS table_name, 'team_abbr' AS columns, 'primary key' AS rule,
@@ -274,3 +276,9 @@ HAVING count(*) > 1 OR game_id IS NULL OR down IS NULL"""
 WHERE game_id NOT IN (SELECT game_id FROM markets) GROUP BY game_id"""
     ),
 }
+
+# What two landings leave is what one ingest of both gives.
+ORACLES |= {
+    f"taken_in_{name}": ORACLES[f"build_tables_increment{suffix}"]
+    for name, suffix in (("prices", ""), ("games", "_games"), ("plays", "_plays"))
+}

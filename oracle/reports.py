@@ -160,6 +160,8 @@ ORACLES = {
     "first_play_wp": query("SELECT * FROM kickoffs"),
     "market_bias": query("FROM bias ORDER BY avg_signed_error DESC, target_team", BIAS),
     "market_bias_from_facts": query("FROM bias", BIAS),
+    "market_bias_from_increments": query("FROM bias", BIAS),
+    "results_from_increments": query("SELECT game_id, winner FROM results"),
     "published_views": query(
         "SELECT p.game_id, p.target_team AS favorite_team, p.price AS favorite_prob,"
         " s.price_swing, r.market_ticker"
@@ -206,4 +208,22 @@ FROM (SELECT DISTINCT ON (game_id) game_id, total_home_score AS hs, total_away_s
       ORDER BY game_id, quarter_seconds_remaining, play_id DESC)
 JOIN games USING (game_id)"""
     ),
+    "overlap_by_day": query(
+        """SELECT CAST(p.timestamp_utc AS DATE) AS day, count(DISTINCT p.game_id) AS games_with_ts_overlap
+  FROM plays p JOIN markets m USING (game_id) JOIN prices c USING (market_ticker)
+ WHERE abs(epoch_us(c.datetime_utc + INTERVAL 5 HOUR) - epoch_us(p.timestamp_utc)) <= 600000000
+ GROUP BY GROUPING SETS ((CAST(p.timestamp_utc AS DATE)), ())"""
+    ),
+}
+
+# The table functions return what the reports do.
+ORACLES |= {
+    f"sql_{name}": ORACLES[name]
+    for name in (
+        "market_bias",
+        "market_swings",
+        "underdog_win_rate",
+        "favorite_win_rate",
+        "early_hype_fade",
+    )
 }
