@@ -41,6 +41,48 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM doc LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+# A window is near where its rarest word stands and all its words are at most 2 from their places.
+PROXIMITY = rf"""
+WITH exact AS ({DECONTAMINATION}),
+doc AS (
+    SELECT row_number() OVER () AS r, doc_id,
+           regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM documents
+), place AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM doc),
+frequency AS (SELECT word, count(*) AS df FROM place GROUP BY word),
+item AS (
+    SELECT item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM benchmark
+), item_window AS (
+    SELECT row_number() OVER () AS v, item_id, words
+    FROM (SELECT DISTINCT item_id, w[i:i + 9] AS words
+          FROM (SELECT item_id, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS i
+                FROM item WHERE len(w) > 0))
+), part AS (
+    SELECT v, i, word, df
+    FROM (SELECT v, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM item_window)
+    LEFT JOIN frequency USING (word)
+), rarest AS (
+    SELECT v, min({{'df': df, 'word': word, 'i': i}}) AS first, count(*) AS n
+    FROM part GROUP BY v HAVING count(df) = count(*)
+), anchor AS (
+    SELECT v, r, p, first.i AS k, n FROM rarest JOIN place ON word = first.word
+), near AS (
+    SELECT DISTINCT v, r FROM (
+        SELECT anchor.v, anchor.r, anchor.p
+        FROM anchor JOIN part ON part.v = anchor.v
+        JOIN place ON place.r = anchor.r AND place.word = part.word
+                  AND abs(place.p - (anchor.p + part.i - anchor.k)) <= 2
+        GROUP BY anchor.v, anchor.r, anchor.p, n HAVING count(DISTINCT part.i) = n)
+), named AS (
+    SELECT r, count(*) AS n, string_agg(name, ',' ORDER BY name) AS names
+    FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS name FROM near JOIN item_window USING (v))
+    WHERE name IS NOT NULL GROUP BY r
+)
+SELECT exact.*, coalesce(n, 0) AS n_near_items, sha256(coalesce(names, '')) AS near_items_sha256
+FROM doc JOIN exact USING (doc_id) LEFT JOIN named USING (r)
+"""
+
 SUBSTRINGS = """
 WITH doc AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
 piece AS (
@@ -211,6 +253,7 @@ LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM c.conv_id
 
 ORACLES: dict[str, str] = {
     "op5_decontamination": DECONTAMINATION,
+    "op5_proximity_matches": PROXIMITY,
     "op7_suffix_array_dedup": SUBSTRINGS,
     "op10_ngram_jaccard_join": JACCARD,
     "op12_lexical_search": LEXICAL,
