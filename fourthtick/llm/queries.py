@@ -85,6 +85,17 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_limited_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of at most 2048 tokens in sequences that every capacity limits: tokens, documents, attention."""
+    import public_tokenizers
+
+    from fourthtick.llm.packing import pack_pieces, tokenize_pieces
+
+    docs = read_table(spark, sf_dir, "documents")
+    pieces = tokenize_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), 2048)
+    return pack_pieces(pieces, 4096, max_documents=8, max_attention=5_000_000)
+
+
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fourthtick.llm.substrings import remove_repeats
 
@@ -152,6 +163,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontamination": op5_decontamination,
     "op5_proximity_matches": op5_proximity_matches,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op6_limited_packing": op6_limited_packing,
     "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op8_sharding": op8_sharding,
     "op9_html_extraction": op9_html_extraction,

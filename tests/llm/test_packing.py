@@ -95,3 +95,24 @@ def test_packs_whole_documents(spark, docs, no_docs, tokenizer):
     total = sum(r["length"] for r in rows)
     assert len(sequences) <= -(-total // 512) + 1
     assert packing.pack_documents(no_docs, PATH).count() == 0
+
+
+def test_every_limit_binds_in_the_limited_query(spark):
+    from collections import defaultdict
+
+    from fourthtick.llm.queries import op6_limited_packing
+
+    rows = op6_limited_packing(spark, "/root/testdata/sf0.01").collect()
+    sequences = defaultdict(list)
+    for r in rows:
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+    tokens = [sum(n for _, n in s) for s in sequences.values()]
+    counts = [len(s) for s in sequences.values()]
+    costs = [sum(n * n for _, n in s) for s in sequences.values()]
+    assert max(tokens) <= 4096 and max(counts) <= 8 and max(costs) <= 5_000_000
+    assert max(tokens) > 4000 and max(counts) == 8 and max(costs) > 4_500_000
+    # Tokens alone would need far fewer sequences than documents and attention allow.
+    assert sum(t < 3500 for t in tokens) > len(tokens) / 4
+    for s in sequences.values():
+        places = sorted(s)
+        assert [o for o, _ in places] == [sum(n for _, n in places[:k]) for k in range(len(places))]
