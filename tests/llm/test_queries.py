@@ -53,3 +53,10 @@ def test_pipeline_stage_by_stage(spark):
     assert all(masked[i] == t or "[secret]" in masked[i] for i, t in texts(clean))
     packed = results["best_fit_packing"]
     assert {r["doc_id"] for r in packed.select("doc_id").collect()} == masked.keys()
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    for name in ("documents", "benchmark"):
+        spark.read.parquet(f"{SF_DIR}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    packed = corpus_pipeline.run(spark, str(tmp_path))
+    assert packed.count() == 0 and {"doc_id", "piece", "sequence_id"} <= set(packed.columns)
