@@ -28,54 +28,76 @@ from fourthtick.sources.storage import stage
 MAX_TOKENS = 4096
 END_ID = 1
 SALTS = 64
-CHUNKS_KEPT = 250_000
-WORDS_KEPT = 500_000
+#: Runs kept at least; twice as many at most, which is about 90 MB.
+CHUNKS_KEPT = 300_000
+#: Letters up to this one are single characters in every normal form that the tokenizer makes.
+LAST_LATIN = "\u024f"
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+def _byte_letters() -> str:
+    """The character that stands for each byte in the vocabulary: itself where it can be seen."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = iter(range(256, 512))
+    return "".join(chr(b if b in seen else next(others)) for b in range(256))
+
+
+_BYTE_LETTERS = _byte_letters()
+
+
 class Encoder:
-    """Token ids of a text as little-endian 32-bit bytes, remembered word by word.
+    """Token ids of a text as little-endian 32-bit bytes, remembered run by run.
 
     This vocabulary never joins tokens across white space or across the pieces of
-    its splitting pattern, so ids of words can be kept and put together. Texts whose
-    normalisation is not per character go to the tokenizer whole.
+    its splitting pattern, so ids of runs can be kept and put together. Texts whose
+    normalisation is not per character go to the tokenizer whole. Of the runs seen,
+    those since the last ``CHUNKS_KEPT`` new ones stay: what is frequent is never forgotten.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.chunks: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def direct(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def word(self, word: str) -> bytes:
-        if (ids := self.words.get(word)) is None:
-            if len(self.words) >= WORDS_KEPT:
-                self.words.clear()
-            ids = self.words[word] = self.direct(word)
-        return ids
+    def letters(self, word: str) -> bytes:
+        """A word of Latin letters in lower case is one piece, which the model takes as it is."""
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(_BYTE_LETTERS)
+        ids = [token.id for token in self.model.tokenize(word)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def chunk(self, chunk: str) -> bytes:
-        """A run without white space. Letters are cut off only where that is certain to be a cut."""
+        """A run without white space."""
         if (ids := self.chunks.get(chunk)) is None:
+            if (ids := self.older.get(chunk)) is None:
+                ids = self._cut(chunk)
             if len(self.chunks) >= CHUNKS_KEPT:
-                self.chunks.clear()
-            letters = len(chunk)
-            while letters and not chunk[letters - 1].isalpha():
-                letters -= 1
-            head = chunk[:letters]
-            if letters < len(chunk) and head.isalpha() and "'" not in chunk and "<" not in chunk:
-                ids = self.word(head) + self.word(chunk[letters:])
-            else:
-                ids = self.word(chunk)
+                self.older, self.chunks = self.chunks, {}
             self.chunks[chunk] = ids
         return ids
 
+    def _cut(self, chunk: str) -> bytes:
+        """Letters are cut off only where that is certain to be a cut."""
+        letters = len(chunk)
+        while letters and not chunk[letters - 1].isalpha():
+            letters -= 1
+        head = chunk[:letters]
+        if not head.isalpha():
+            return self.direct(chunk)
+        if letters == len(chunk):
+            return self.letters(chunk) if max(chunk) <= LAST_LATIN else self.direct(chunk)
+        if "'" in chunk or "<" in chunk:
+            return self.direct(chunk)
+        return self.chunk(head) + self.chunk(chunk[letters:])
+
     def encode(self, text: str) -> bytes:
         lower = text.lower()
         if (

@@ -29,6 +29,30 @@ def test_remembered_words_give_the_same_ids(tokenizer):
         assert encoder.encode(text) == struct.pack(f"<{len(ids)}I", *ids), text
 
 
+def test_every_latin_letter_has_the_ids_of_the_tokenizer(tokenizer):
+    encoder = packing.Encoder(PATH)
+    letters = sorted({c for k in range(ord(packing.LAST_LATIN) + 9) for c in chr(k).lower() if c.isalpha()})
+    draw = random.Random(5)
+    words = [*letters, *(c + d for c in letters for d in "aß" + letters[-10])]
+    words += ["".join(draw.choices(letters, k=draw.randrange(3, 30))) for _ in range(4000)]
+    words += ["".join(draw.choices("etaoinshr", k=draw.randrange(1, 400))) for _ in range(500)]
+    for word in words:
+        ids = tokenizer.encode(word, add_special_tokens=False).ids
+        assert encoder.encode(word) == struct.pack(f"<{len(ids)}I", *ids), word
+
+
+def test_frequent_runs_are_cut_once_however_many_follow(tokenizer, monkeypatch):
+    monkeypatch.setattr(packing, "CHUNKS_KEPT", 20)
+    encoder, calls = packing.Encoder(PATH), []
+    cut = encoder._cut
+    monkeypatch.setattr(encoder, "_cut", lambda chunk: calls.append(chunk) or cut(chunk))
+    text = " ".join(f"often, rare{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(400))
+    ids = tokenizer.encode(text, add_special_tokens=False).ids
+    assert b"".join(encoder.encode(t) for t in text.split(" ")) == struct.pack(f"<{len(ids)}I", *ids)
+    assert calls.count("often,") == calls.count("often") == 1
+    assert len(encoder.chunks) <= 20 and len(encoder.older) <= 20
+
+
 def places(plan):
     """sequence -> [(offset, length)] of a plan."""
     bins = defaultdict(list)
