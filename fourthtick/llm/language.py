@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -165,22 +166,21 @@ def fit_language_model(
             <= F.when(F.col("n") == 0, words_per_language).otherwise(grams_per_language)
         )
         .select("lang", "n", "item", "times")
-        .collect()
+        .toArrow()
     )
-
-    languages = sorted({r["lang"] for r in kept})
-    column = {lang: i for i, lang in enumerate(languages)}
+    # Columns, not rows: the driver holds no Python object for each of them but the items' texts.
+    languages = sorted(pc.unique(kept["lang"]).to_pylist())
     tables: dict[bool, tuple[dict[str, int], np.ndarray]] = {}
     for is_word in (True, False):
-        chosen = [r for r in kept if (r["n"] == 0) == is_word]
-        index: dict[str, int] = {}
-        for r in chosen:
-            index.setdefault(r["item"], len(index))
+        chosen = kept.filter(pc.equal(pc.equal(kept["n"], 0), is_word)).combine_chunks()
+        items = chosen["item"].combine_chunks().dictionary_encode()
+        row = items.indices.to_numpy()
+        index = {item: k for k, item in enumerate(items.dictionary.to_pylist())}
         table = np.zeros((len(index), len(languages)))
+        column = pc.index_in(chosen["lang"], pa.array(languages, pa.string())).to_numpy()
+        table[row, column] = chosen["times"].to_numpy()
         size = np.zeros(len(index), dtype=np.int64)
-        for r in chosen:
-            table[index[r["item"]], column[r["lang"]]] = r["times"]
-            size[index[r["item"]]] = r["n"]
+        size[row] = chosen["n"].to_numpy()
         for n in set(size.tolist()):  # each length is a distribution of its own
             rows_n = size == n
             part = table[rows_n] + 0.5

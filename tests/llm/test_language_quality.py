@@ -1,3 +1,4 @@
+import math
 import zlib
 
 import pytest
@@ -42,6 +43,21 @@ def test_sample_is_a_share_of_each_language(spark):
     assert few.languages in ([], ["en"])
 
 
+def test_the_model_reaches_the_driver_in_columns(spark, monkeypatch):
+    rows = [(1, "alpha alpha beta", "x"), (2, "beta gamma", "y"), (3, "alpha", "y")]
+    labelled = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+
+    def refused(*_):
+        raise AssertionError("a Python object for every word and n-gram")
+
+    monkeypatch.setattr(type(labelled), "collect", refused)
+    model = language.fit_language_model(labelled)
+    assert model.languages == ["x", "y"] and set(model.words) == {"alpha", "beta", "gamma"}
+    for word, times in (("alpha", (2.5, 1.5)), ("beta", (1.5, 1.5)), ("gamma", (0.5, 1.5))):
+        expected = [math.log(t / 4.5) for t in times]
+        assert model.word_scores[model.words[word]].tolist() == pytest.approx(expected)
+
+
 def test_language_edge_cases(spark, docs, no_docs):
     rows = language.identify_languages(docs).collect()
     assert len(rows) == len(DOCS)
