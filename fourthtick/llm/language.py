@@ -195,12 +195,14 @@ def predict_language(docs: DataFrame, model: LanguageModel, keep: list[str] | No
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, score double")
-    def predict(texts):
-        import pandas as pd
-
+    @F.arrow_udf("lang_pred string, score double")
+    def predict(texts: pa.Array) -> pa.Array:
+        # One text at a time: a batch's texts stand in memory once, as they came.
         predict_one = sent.value.predict
-        return pd.DataFrame([predict_one(t) for t in texts], columns=["lang_pred", "score"])
+        found = [predict_one(t.as_py()) for t in texts]
+        lang = pa.array([f[0] for f in found], pa.string())
+        score = pa.array([f[1] for f in found], pa.float64())
+        return pa.StructArray.from_arrays([lang, score], names=["lang_pred", "score"])
 
     return docs.select(*keep, predict("text").alias("_p")).select(*keep, "_p.lang_pred", "_p.score")
 
