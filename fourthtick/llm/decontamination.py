@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fourthtick.llm.common import bounded, documents_of
+from fourthtick.llm.common import bounded, documents_of, small_batches
 from fourthtick.sources.storage import stage
 
 WINDOW_WORDS = 10
@@ -304,8 +304,9 @@ def keep_uncontaminated(docs: DataFrame, items: DataFrame, length: int = WINDOW_
     documents or of items takes nothing away.
     """
     key = F.xxhash64("doc_id", "text")
-    found = find_contamination(docs.select(key.alias("doc_id"), "text"), items, length)
-    hit = stage(found.where("n_hit > 0").select(F.col("doc_id").alias("hit")).distinct(), "hit")
+    with small_batches(docs.sparkSession):
+        found = find_contamination(docs.select(key.alias("doc_id"), "text"), items, length)
+        hit = stage(found.where("n_hit > 0").select(F.col("doc_id").alias("hit")).distinct(), "hit")
     # The caller's columns travel as one, so that none of them can clash with ours.
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     kept = docs.select(key.alias("key"), row).join(bounded(hit), F.col("key") == F.col("hit"), "left_anti")

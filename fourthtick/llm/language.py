@@ -17,8 +17,16 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-
-from fourthtick.llm.common import bounded, by_bytes, crc_bucket
+from pyspark.sql.types import DoubleType, StringType, StructType
+
+from fourthtick.llm.common import (
+    bounded,
+    by_bytes,
+    crc_bucket,
+    own_columns,
+    small_batches,
+    without_texts,
+)
 from fourthtick.sources.storage import stage
 
 LONGEST = 5
@@ -34,6 +42,7 @@ SAMPLE_BYTES = 1 << 20
 
 _WORD = re.compile(r"[^\W\d_]+")
 _MEMO = 100_000
+_PREDICTED = StructType().add("lang_pred", StringType()).add("score", DoubleType())
 
 
 def words_of(text: str) -> Counter[str]:
@@ -190,21 +199,25 @@ def fit_language_model(
 
 
 def predict_language(docs: DataFrame, model: LanguageModel, keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns (doc_id by default) with lang_pred and score of every whole text."""
-    keep = keep or ["doc_id"]
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(model)
+    """``keep`` columns (doc_id by default) with lang_pred and score of every whole text.
+
+    The text goes to Python once and does not come back; no row waits for its prediction.
+    """
+    rows = docs.select(*(keep or ["doc_id"]), F.col("text").alias("_text"))
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    schema = StructType([*rows.schema.fields[:-1], *_PREDICTED.fields])
 
-    @F.arrow_udf("lang_pred string, score double")
-    def predict(texts: pa.Array) -> pa.Array:
+    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # One text at a time: a batch's texts stand in memory once, as they came.
         predict_one = sent.value.predict
-        found = [predict_one(t.as_py()) for t in texts]
-        lang = pa.array([f[0] for f in found], pa.string())
-        score = pa.array([f[1] for f in found], pa.float64())
-        return pa.StructArray.from_arrays([lang, score], names=["lang_pred", "score"])
+        for batch in batches:
+            *kept, texts = batch.columns
+            found = [predict_one(t.as_py()) for t in texts]
+            lang = pa.array([f[0] for f in found], pa.string())
+            score = pa.array([f[1] for f in found], pa.float64())
+            yield pa.RecordBatch.from_arrays([*kept, lang, score], names=schema.names)
 
-    return docs.select(*keep, predict("text").alias("_p")).select(*keep, "_p.lang_pred", "_p.score")
+    return rows.mapInArrow(predict, schema)
 
 
 def identify_languages(docs: DataFrame) -> DataFrame:
@@ -231,11 +244,13 @@ def keep_identified(docs: DataFrame, least_score: float = 0.4) -> DataFrame:
     to learn from, nothing can be told and only texts without a letter go. Repeated rows
     are each judged, and an empty table stays empty.
     """
-    model = fit_language_model(docs.where(crc_bucket() != 0))
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    if not model.languages:
-        return docs.where(F.col("text").rlike(r"\p{L}"))
-    rows = docs.select(F.struct(*names).alias("_row"), "text")
-    told = predict_language(rows, model, ["_row"])
-    told = told.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least_score))
-    return told.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
+    # Only keys of what goes are written: no caller's column travels to Python.
+    with small_batches(docs.sparkSession):
+        model = fit_language_model(docs.where(crc_bucket() != 0))
+        if not model.languages:
+            return docs.where(F.col("text").rlike(r"\p{L}"))
+        keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+        told = predict_language(keyed, model, ["doc_id", "text_key"])
+        unsure = told.where((F.col("lang_pred") == UNDETERMINED) | (F.col("score") < least_score))
+        gone = stage(unsure.select("doc_id", "text_key").distinct(), "unidentified")
+    return own_columns(without_texts(docs, gone), docs)

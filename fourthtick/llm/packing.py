@@ -22,14 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fourthtick.llm.common import documents_of
+from fourthtick.llm.common import documents_of, small_batches
 from fourthtick.sources.storage import stage
 
 MAX_TOKENS = 4096
 END_ID = 1
 SALTS = 64
-#: Runs kept at least; twice as many at most, which is about 90 MB.
-CHUNKS_KEPT = 300_000
+#: Runs kept at least; twice as many at most, which is about 30 MB.
+CHUNKS_KEPT = 100_000
 #: Letters up to this one are single characters in every normal form that the tokenizer makes.
 LAST_LATIN = "\u024f"
 
@@ -320,6 +320,7 @@ def pack_documents(
     packed as often as they occur; an empty table gives no rows. Only doc_id and
     text are read of the input.
     """
-    return pack_pieces(
-        tokenize_pieces(docs, tokenizer_path, max_tokens, end_id), max_tokens, **limits
-    )
+    with small_batches(docs.sparkSession):
+        return pack_pieces(
+            tokenize_pieces(docs, tokenizer_path, max_tokens, end_id), max_tokens, **limits
+        )

@@ -73,6 +73,24 @@ def test_language_edge_cases(spark, docs, no_docs):
     assert language.keep_identified(unlabelled).count() == len([d for d in DOCS if d[1] and any(c.isalpha() for c in d[1])])
 
 
+def test_whole_rows_do_not_meet_the_prediction(spark):
+    """Texts go to Python once and no row waits for its answer; what is kept is read without Python."""
+    english, german = "the thing with that", "der und über größe"
+    rows = [(i, english, "en", "a") for i in range(20)] + [(100 + i, german, "de", "b") for i in range(20)]
+    # One id with several texts, a null id and repeated rows: each row is judged by its own text.
+    odd = [(1, "123 ...", "en", "c"), (1, None, None, "d"), (None, "½", "en", "e"), (None, english, "en", "f")]
+    docs = spark.createDataFrame(rows + odd + odd, "doc_id long, text string, lang string, row string")
+
+    def plan(frame):
+        return frame._jdf.queryExecution().executedPlan().toString()
+
+    predicted = plan(language.identify_languages(docs))
+    assert "MapInArrow" in predicted and "EvalPython" not in predicted
+    kept = language.keep_identified(docs)
+    assert "InArrow" not in plan(kept) and "EvalPython" not in plan(kept)
+    assert sorted(map(tuple, kept.collect()), key=repr) == sorted([*rows, odd[3], odd[3]], key=repr)
+
+
 def test_held_out_quality(spark):
     docs, labels = (read_table(spark, "/root/testdata/sf0.1", t) for t in ("documents", "labels"))
     truth = {r["doc_id"]: r["quality"] for r in labels.collect()}

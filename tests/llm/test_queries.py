@@ -5,6 +5,7 @@ from compare import connect, differences
 
 import __spark_entry__ as entry
 import corpus_pipeline
+from fourthtick.llm import decontamination, jaccard, language, packing
 from fourthtick.llm.oracles import ORACLES
 from fourthtick.llm.queries import QUERIES
 
@@ -55,6 +56,25 @@ def test_pipeline_stage_by_stage(spark):
     assert {r["doc_id"] for r in packed.select("doc_id").collect()} == masked.keys()
 
 
+@pytest.mark.parametrize(
+    ("module", "name"),
+    [(language, "unidentified"), (jaccard, "entries"), (decontamination, "index"), (packing, "pieces")],
+)
+def test_texts_are_read_in_few_rows_at_once(spark, monkeypatch, module, name):
+    setting, seen, stage = "spark.sql.parquet.columnarReaderBatchSize", {}, module.stage
+
+    def recorded(rows, to, *more):
+        seen[to] = int(spark.conf.get(setting))
+        return stage(rows, to, *more)
+
+    monkeypatch.setattr(module, "stage", recorded)
+    before = spark.conf.get(setting)
+    step = {language: 0, jaccard: 1, decontamination: 2, packing: 4}[module]
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").limit(50)
+    corpus_pipeline.STAGES[step][1](spark, docs, SF_DIR)
+    assert seen[name] == 256 and spark.conf.get(setting) == before
+
+
 def test_pipeline_of_an_empty_table(spark, tmp_path):
     for name in ("documents", "benchmark"):
         spark.read.parquet(f"{SF_DIR}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
