@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fourthtick.llm.common import bounded, documents_of, small_batches
+from fourthtick.llm.common import bounded, documents_of, released, small_batches
 from fourthtick.sources.storage import stage
 
 WINDOW_WORDS = 10
@@ -52,11 +52,16 @@ def _segment_rows(segment: int, ids: list, sizes: list, words: dict, stream: lis
     n_words = np.array(sizes, dtype=np.int64)
     base = np.concatenate([[0], np.cumsum(n_words + gap)[:-1]]) if len(sizes) else n_words
     code = np.concatenate(stream) if stream else np.empty(0, np.int32)
-    place = np.arange(len(code)) + np.repeat(np.arange(len(sizes)) * gap, n_words)
-    # One sort of (word, position) pairs packed into 64 bits.
-    packed = np.sort((code.astype(np.int64) << 32) | place)
-    code, place = packed >> 32, (packed & 0xFFFFFFFF).astype(np.int32)
+    stream.clear()
     found = np.bincount(code, minlength=len(words))
+    # One sort, in place, of (word, position) pairs packed into 64 bits.
+    packed = code.astype(np.int64)
+    del code
+    packed <<= 32
+    packed |= np.arange(len(packed)) + np.repeat(np.arange(len(sizes)) * gap, n_words)
+    packed.sort()
+    place = packed.astype(np.uint32).view(np.int32)  # the low half
+    del packed
     bounds = np.concatenate([[0], np.cumsum(found)]).astype(np.int32)
     gaps = np.diff(place, prepend=np.int32(0))
     gaps[bounds[:-1]] = place[bounds[:-1]]  # every list starts with a position
@@ -86,7 +91,7 @@ def build_index(
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = counter((TaskContext.get().partitionId() if TaskContext.get() else 0) << 32)
         ids, sizes, words, stream, held = [], [], {}, [], 0
-        for batch in batches:
+        for batch in released(batches):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if held and held + gap * len(ids) >= segment_words:
                     yield _segment_rows(next(number), ids, sizes, words, stream, gap)

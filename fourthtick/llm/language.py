@@ -24,6 +24,7 @@ from fourthtick.llm.common import (
     by_bytes,
     crc_bucket,
     own_columns,
+    released,
     small_batches,
     without_texts,
 )
@@ -210,7 +211,7 @@ def predict_language(docs: DataFrame, model: LanguageModel, keep: list[str] | No
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # One text at a time: a batch's texts stand in memory once, as they came.
         predict_one = sent.value.predict
-        for batch in batches:
+        for batch in released(batches):
             *kept, texts = batch.columns
             found = [predict_one(t.as_py()) for t in texts]
             lang = pa.array([f[0] for f in found], pa.string())

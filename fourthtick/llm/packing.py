@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fourthtick.llm.common import documents_of, small_batches
+from fourthtick.llm.common import documents_of, released, small_batches
 from fourthtick.sources.storage import stage
 
 MAX_TOKENS = 4096
@@ -138,7 +138,7 @@ def tokenize_pieces(
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer_path).encode
         width = 4 * max_tokens
-        for batch in batches:
+        for batch in released(batches):
             ids, number, start, length, crc = [], [], [], [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 data = encode(text.as_py() or "") + struct.pack("<I", end_id)

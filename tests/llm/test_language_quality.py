@@ -4,7 +4,7 @@ import zlib
 import pytest
 from conftest import DOCS
 
-from fourthtick.llm import language, quality
+from fourthtick.llm import common, language, quality
 from fourthtick.llm.common import read_table
 
 SF_DIR = "/root/testdata/sf0.01"
@@ -91,6 +91,21 @@ def test_whole_rows_do_not_meet_the_prediction(spark):
     assert sorted(map(tuple, kept.collect()), key=repr) == sorted([*rows, odd[3], odd[3]], key=repr)
 
 
+def test_workers_give_unused_memory_back(monkeypatch):
+    """What tasks before and the task itself leave in the Arrow pool does not stay with the worker."""
+    calls = []
+
+    class Pool:
+        def release_unused(self):
+            calls.append("released")
+
+    monkeypatch.setattr(common.pa, "default_memory_pool", Pool)
+    batch = common.pa.RecordBatch.from_pydict({"text": ["a" * 10, None, "b"]})
+    for cut in common.by_bytes(iter([batch, batch]), 0, limit=10):
+        calls.append(cut.num_rows)
+    assert calls == ["released", 2, 1, 2, 1, "released"]
+
+
 def test_held_out_quality(spark):
     docs, labels = (read_table(spark, "/root/testdata/sf0.1", t) for t in ("documents", "labels"))
     truth = {r["doc_id"]: r["quality"] for r in labels.collect()}
